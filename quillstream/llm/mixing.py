@@ -21,8 +21,8 @@ SEED = "mix-1"
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """source, source_size -> target: shares by weight, held at ``epochs`` times the source, the excess shared again.
 
-    Water filling: with sources ordered by cap / weight, the k first are full once the level that the others would
-    get reaches theirs; the first k for which that no longer holds fixes the level. One row per source, never more.
+    Water filling: with sources ordered by cap / weight, each k gives the level that the others get when the k first are
+    full. Those levels rise up to the right k and fall after it, so the greatest is the solution. One row per source.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -32,7 +32,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ep
     s = s.withColumn("budget", F.floor(F.sum("source_size").over(everything) * F.lit(share)).cast("double"))
     s = s.withColumn("full", F.coalesce(F.sum("cap").over(rank), F.lit(0.0))).withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(rank), F.lit(0.0)))
     s = s.withColumn("level", (F.col("budget") - F.col("full")) / F.col("open"))
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
+    level = F.max("level").over(everything)
     return s.withColumn("target", F.coalesce(F.least(F.col("cap"), level * F.col("weight")), F.col("cap"))).select("source", "source_size", "target")
 
 
@@ -86,7 +86,7 @@ w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (
 v AS (SELECT *, floor(sum(source_size) OVER () * 1.5::DOUBLE) AS budget,
              coalesce(sum(cap) OVER o, 0.0::DOUBLE) AS full_, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0.0::DOUBLE) AS open_
       FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT min(CASE WHEN (budget - full_) / open_ * weight <= cap THEN (budget - full_) / open_ END) AS level FROM v),
+l AS (SELECT max((budget - full_) / open_) AS level FROM v),
 t AS (SELECT source, source_size, coalesce(least(cap, level * weight), cap) AS target FROM v, l),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sofar,
