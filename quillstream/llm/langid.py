@@ -183,7 +183,7 @@ def identify(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame
             langs, scores = shared.value.predict(batch.column(keep.index(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
-    schema = d.schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     return d.mapInArrow(run, schema)
 
 

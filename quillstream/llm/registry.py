@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import langid, mixing
+from quillstream.llm import embeddings, langid, mixing, pieces, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_vectors": embeddings.op1_near_vectors,
+    "op3_nearest": embeddings.op3_nearest,
     "op6_mix": mixing.op6_mix,
+    "op7_pii": pii.op7_pii,
+    "op8_quality": quality.op8_quality,
     "op9_langid": langid.op9_langid,
+    "op10_pieces": pieces.op10_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {
