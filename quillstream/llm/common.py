@@ -238,3 +238,49 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
     else:
         raise RuntimeError("components did not converge")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
+
+
+def fixed_blobs(df: DataFrame, dtype: str, op: Callable = np.add) -> list[bytes]:
+    """Element-wise reduction of (part int, blob binary) rows by part, in two steps; the few parts go to the driver.
+
+    For arrays of a fixed size only (sketches, bitmaps): what the driver gets doesn't grow with the input.
+    """
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                v = np.frombuffer(blob, dtype)
+                sums[part] = op(sums[part], v) if part in sums else v.copy()
+        for part, v in sums.items():
+            yield pa.record_batch({"part": pa.array([part], pa.int32()), "blob": pa.array([v.tobytes()], pa.binary())})
+
+    d = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(32))).repartition("part", "_salt").drop("_salt").mapInArrow(reduce, "part int, blob binary")
+    rows = d.repartition("part").mapInArrow(reduce, "part int, blob binary").collect()
+    return [r["blob"] for r in sorted(rows, key=lambda r: r["part"])]
+
+
+def cut_blobs(a: np.ndarray, parts: int = 16) -> pa.RecordBatch:
+    return pa.record_batch({"part": pa.array(range(parts), pa.int32()), "blob": pa.array([x.tobytes() for x in np.split(a, parts)], pa.binary())})
+
+
+class IdFilter:
+    """A bitmap of hashed ids: tells rows that can't be wanted before they are shuffled. False positives do no harm."""
+
+    def __init__(self, ids_: DataFrame, most_bits: int = 28):
+        n = ids_.count()
+        self.bits = bits = min(most_bits, max(18, (16 * n).bit_length()))
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            flags = np.zeros(1 << bits, bool)
+            for batch in batches:
+                flags[mix(batch.column(0).to_numpy().astype(np.uint64)) >> np.uint64(64 - bits)] = True
+            if flags.any():
+                yield cut_blobs(np.packbits(flags))
+
+        blobs = fixed_blobs(ids_.mapInArrow(fill, "part int, blob binary"), "uint8", np.bitwise_or)
+        self.map = np.frombuffer(b"".join(blobs), np.uint8) if blobs else np.zeros((1 << bits) // 8, np.uint8)
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        h = mix(x.astype(np.uint64)) >> np.uint64(64 - self.bits)
+        return (self.map[h >> np.uint64(3)] >> (np.uint8(7) - (h & np.uint64(7)).astype(np.uint8))) & 1 == 1

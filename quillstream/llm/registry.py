@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import embeddings, langid, mixing, pieces, pii, quality
+from quillstream.llm import embeddings, fingerprints, jaccard, langid, mixing, pieces, pii, quality, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_vectors": embeddings.op1_near_vectors,
+    "op2_suffixes": suffixes.op2_suffixes,
     "op3_nearest": embeddings.op3_nearest,
+    "op4_jaccard": jaccard.op4_jaccard,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_mix": mixing.op6_mix,
     "op7_pii": pii.op7_pii,
     "op8_quality": quality.op8_quality,
