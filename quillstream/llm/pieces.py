@@ -35,17 +35,20 @@ class PieceModel:
     """Vocabulary and forward pass. Small and picklable: it is broadcast, its size that of the vocabulary."""
 
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], unknown: int, special: set[int], kind: str | None = None):
-        self.pieces, self.byte_ids, self.unknown, self.special = pieces, byte_ids, unknown, special
+        self.pieces, self.byte_ids, self.unknown, self.special, self.scores = pieces, byte_ids, unknown, special, scores
         self.id_of = {p: i for i, p in enumerate(pieces) if i not in special}
         self.score = {p: scores[i] for p, i in self.id_of.items()}
-        self.longest = max(map(len, self.id_of), default=1)
         self.kind = kind or ("bpe" if all(float(s).is_integer() for s in self.score.values()) else "unigram")
         self.unknown_score = min(self.score.values(), default=0.0) - 10.0
-        self._pair: dict[tuple[str, str], bool] = {}
-        self._alone: dict[str, bool] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self._nodes: tuple | None = None
+        self._pair: dict[int, bool] = {}
+        self._alone: dict[int, bool] = {}
         self._memo: dict[bytes, int] = {}
-        self._starts, self._lens, self._flat = [], [], []
-        self._arrays = None
+        self._table = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self._bytes = None
 
     @classmethod
     def load(cls, path: str = MODEL_FILE, kind: str | None = None) -> PieceModel:
@@ -60,7 +63,11 @@ class PieceModel:
         return cls(pieces, [m.get_score(i) for i in range(n)], byte_ids, m.unk_id(), special, kind)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_pair": {}, "_alone": {}, "_memo": {}, "_starts": [], "_lens": [], "_flat": [], "_arrays": None}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._clear()
 
     # --- BPE admissibility -----------------------------------------------------------------------------------------
     def merged(self, text: str) -> list[str]:
@@ -77,78 +84,133 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def alone(self, piece: str) -> bool:
-        ok = self._alone.get(piece)
+    def _text(self, token: int) -> str:
+        """Tokens from the vocabulary's size on are single characters that it lacks."""
+        return self.pieces[token] if token < len(self.pieces) else chr(token - len(self.pieces))
+
+    def alone(self, token: int) -> bool:
+        """Whether BPE makes the token of its own text."""
+        ok = self._alone.get(token)
         if ok is None:
-            ok = self._alone[piece] = self.merged(piece) == [piece]
+            ok = self._alone[token] = len(self.merged(self._text(token))) == 1
         return ok
 
-    def fits(self, left: str, right: str) -> bool:
-        ok = self._pair.get((left, right))
-        if ok is None:
-            if len(self._pair) > 4 * REMEMBER:
-                self._pair.clear()
-            ok = self._pair[left, right] = self.merged(left + right) == [left, right]
+    def fits(self, left: int, right: int) -> bool:
+        """Whether BPE makes these two tokens of their joined text."""
+        x, y = self._text(left), self._text(right)
+        if len(self._pair) > 8 * REMEMBER:
+            self._pair.clear()
+        ok = self._pair[left << 22 | right] = self.merged(x + y) == [x, y]
         return ok
 
     # --- forward pass over the trie --------------------------------------------------------------------------------
+    def _automaton(self) -> tuple[list[dict[str, int]], list[int], list[list[tuple[int, int]]]]:
+        """For each state: its steps, the state of the longest proper suffix, and the pieces that end there as
+        (length, id), longest first. A state is reached by the longest suffix that starts a piece."""
+        steps: list[dict[str, int]] = [{}]
+        ends: list[list[tuple[int, int]]] = [[]]
+        back = [0]
+        for piece, i in self.id_of.items():
+            at = 0
+            for c in piece:
+                to = steps[at].get(c)
+                if to is None:
+                    to = steps[at][c] = len(steps)
+                    steps.append({})
+                    ends.append([])
+                    back.append(0)
+                at = to
+            ends[at].insert(0, (len(piece), i))
+        queue = list(steps[0].values())
+        for at in queue:  # grows while it is walked: breadth first
+            for c, to in steps[at].items():
+                f = back[at]
+                while f and c not in steps[f]:
+                    f = back[f]
+                back[to] = steps[f].get(c, 0)
+                queue.append(to)
+            ends[at] = ends[at] + ends[back[at]]
+        return steps, back, ends
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of sorted distinct marked words."""
-        out = []
-        last: list[str] = [""]  # last piece of each prefix's best path; the states of the current trie path
-        total: list[float] = [0.0]
-        before, bpe = "", self.kind == "bpe"
+        if self._nodes is None:
+            self._nodes = self._automaton()
+        steps, back, ends = self._nodes
+        first, pair, v, bpe = steps[0], self._pair, len(self.pieces), self.kind == "bpe"
+        # of each prefix on the current path of the words' trie: automaton state, last token, its length, score
+        state, last, size, total = [0], [-1], [0], [0.0]
+        before, out = "", []
         for w in words:
             shared, most = 0, min(len(w), len(before))
             while shared < most and w[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :], total[shared + 1 :]
+            del state[shared + 1 :], last[shared + 1 :], size[shared + 1 :], total[shared + 1 :]
+            at = state[shared]
             for end in range(shared + 1, len(w) + 1):
-                best, best_score = w[end - 1], -np.inf
-                for start in range(max(0, end - self.longest), end):
-                    piece = w[start:end]
-                    s = self.score.get(piece)
-                    if s is None:
-                        if start != end - 1:
-                            continue
-                        s = self.unknown_score
-                    if bpe:
-                        if self.alone(piece) and (start == 0 or self.fits(last[start], piece)):
-                            best, best_score = piece, total[start] + s
+                c = w[end - 1]
+                while True:
+                    to = steps[at].get(c)
+                    if to is not None:
+                        at = to
+                        break
+                    if not at:
+                        break
+                    at = back[at]
+                token, length, best = v + ord(c), 1, None
+                if bpe:
+                    for n, i in ends[at]:
+                        start = end - n
+                        if start:
+                            ok = pair.get(last[start] << 22 | i)
+                            if ok is None:
+                                ok = self.fits(last[start], i)
+                        else:
+                            ok = self.alone(i)
+                        if ok:
+                            token, length, best = i, n, total[start] + self.scores[i]
                             break
-                    elif total[start] + s > best_score:
-                        best, best_score = piece, total[start] + s
-                last.append(best)
-                total.append(best_score)
-            ids, at = [], len(w)
-            while at:
-                piece = last[at]
-                ids.append(piece)
-                at -= len(piece)
-            out.append([i for p in reversed(ids) for i in self.ids_of(p)])
+                else:
+                    for n, i in ends[at]:
+                        s = total[end - n] + self.scores[i]
+                        if best is None or s > best:
+                            token, length, best = i, n, s
+                    if c not in first or not ends[at] or ends[at][-1][0] > 1:  # the character alone is no piece
+                        s = total[end - 1] + self.unknown_score
+                        if best is None or s > best:
+                            token, length, best = v + ord(c), 1, s
+                state.append(at)
+                last.append(token)
+                size.append(length)
+                total.append(total[end - 1] + self.unknown_score if best is None else best)
+            ids, end = [], len(w)
+            while end:
+                ids.append(last[end])
+                end -= size[end]
+            ids.reverse()
+            out.append(ids if max(ids, default=0) < v else [i for t in ids for i in ([t] if t < v else self.ids_of(chr(t - v)))])
             before = w
         return out
 
-    def ids_of(self, piece: str) -> list[int]:
-        got = self.id_of.get(piece)
-        if got is not None:
-            return [got]
-        return [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
+    def ids_of(self, char: str) -> list[int]:
+        return [self.byte_ids[b] for b in char.encode()] if self.byte_ids else [self.unknown]
 
     # --- batches ---------------------------------------------------------------------------------------------------
     def _learn(self, words: list[bytes]) -> np.ndarray:
         """Index of each distinct word in the flat table of ids."""
-        if len(self._memo) > REMEMBER:
-            self._memo, self._starts, self._lens, self._flat, self._arrays = {}, [], [], [], None
-        new = sorted({w.decode().replace(" ", MARK) for w in words if w not in self._memo})
-        for w, ids in zip(new, self.encode_words(new), strict=True):
-            self._memo[w.replace(MARK, " ").encode()] = len(self._starts)
-            self._starts.append(len(self._flat))
-            self._lens.append(len(ids))
-            self._flat.extend(ids)
-        if new or self._arrays is None:
-            self._arrays = np.array(self._starts, np.int64), np.array(self._lens, np.int64), np.array(self._flat, np.int32)
-        return np.array([self._memo[w] for w in words], np.int64)
+        memo = self._memo
+        if len(memo) > REMEMBER:
+            memo.clear()
+            self._table = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        new = sorted(w.decode().replace(" ", MARK) for w in words if w not in memo)
+        if new:
+            starts, lens, flat = self._table
+            got = self.encode_words(new)
+            for k, w in enumerate(new, len(starts)):
+                memo[w.replace(MARK, " ").encode()] = k
+            n = np.array([len(x) for x in got], np.int64)
+            self._table = np.concatenate([starts, len(flat) + np.cumsum(n) - n]), np.concatenate([lens, n]), np.concatenate([flat, np.array([i for x in got for i in x], np.int32)])
+        return np.array([memo[w] for w in words], np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets by text. A null or empty text has no ids."""
@@ -172,7 +234,7 @@ class PieceModel:
                 _, at, which = np.unique(h, return_index=True, return_inverse=True)
                 raw = d.tobytes()
                 index = self._learn([raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)])[which]
-                starts, lens, table = self._arrays
+                starts, lens, table = self._table
                 n = lens[index]
                 ends = np.cumsum(n)
                 flat.append(table[np.repeat(starts[index] - ends + n, n) + np.arange(ends[-1])])
@@ -190,7 +252,7 @@ class PieceModel:
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """UTF-8 of each text: the pieces' bytes joined, marks as spaces, the leading mark dropped."""
-        if not hasattr(self, "_bytes"):
+        if self._bytes is None:
             self._bytes = self.bytes_table()
         starts, lens, table = self._bytes
         out: list[bytes] = []
