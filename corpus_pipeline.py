@@ -69,5 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = common.Scratch(spark, "pipeline")
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.put(stage(spark, docs, sf_dir), f"stage-{k}")
+        docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{k}")
     return docs

@@ -5,12 +5,14 @@ Nothing outside ``quillstream.llm`` imports this module.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,30 +30,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tune(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, so that a batch of long texts can't exhaust a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 class Scratch:
-    """Tables in the shared folder that cut lineage; ``drop`` deletes one as soon as nothing reads it any more."""
+    """Intermediate tables of one operator call.
+
+    ``put`` writes rows to the shared checkpoint folder and cuts the lineage; Spark deletes the files when nothing refers
+    to them (with spark.cleaner.referenceTracking.cleanCheckpoints). ``keep`` holds rows that are read more than once
+    on the executors' disks: no cut, lost blocks are computed anew.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:  # single machine, as in tests
             base = tempfile.mkdtemp(prefix="quill-")
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/quill-{name}-{uuid.uuid4().hex[:12]}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
-        return self.get(name, df)
+    def put(self, df: DataFrame) -> DataFrame:
+        return df.checkpoint()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.DISK_ONLY)
 
-    def get(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Written as Parquet and read again."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def tidy(self) -> None:
+        """Lets Spark's cleaner delete files of plans that are over."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession, n_bytes: float = 0, each: float = 16e6) -> int:
@@ -206,11 +219,12 @@ def blocks(df: DataFrame, keys: list[str], member: str, most: int) -> DataFrame:
     return dealt.withColumn("bi", F.least("own", "_o")).withColumn("bj", F.greatest("own", "_o")).drop("_g", "_o")
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) long edges by alternating large-star and small-star steps.
 
     Returns (id, component_id) for every id that has an edge, component_id the smallest id reachable. Each round is
-    written to the shared folder; nothing is gathered on the driver but one boolean. Converges in O(log^2 n) rounds.
+    written to the shared folder, which cuts the lineage; nothing is gathered on the driver but one boolean. Converges in
+    O(log^2 n) rounds.
     """
 
     def star(e: DataFrame) -> DataFrame:
@@ -226,12 +240,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
         moved = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
-    now = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    for k in range(1, rounds):
-        new = scratch.put(small(star(now)), f"{name}-{k}")
+    now = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    for _ in range(rounds):
+        new = scratch.put(small(star(now)))
         # a star forest: nobody is both a child and a parent, and no child has two parents
         loose = new.select("a").intersect(new.select("b")).limit(1).count() or new.groupBy("a").count().where("count > 1").limit(1).count()
-        scratch.drop(f"{name}-{k - 1}")
         now = new
         if not loose:
             break

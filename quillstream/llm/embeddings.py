@@ -133,7 +133,7 @@ def link_near(df: DataFrame, scratch: common.Scratch, vec_id: str = "vec_id", ve
         p, q = np.concatenate([x for x, _ in edges]), np.concatenate([x for _, x in edges])
         return pa.record_batch({"a": pa.array(np.concatenate([i, p])), "b": pa.array(np.concatenate([np.full(len(i), -(2**63)), q])), "n": pa.array(np.concatenate([m, np.zeros(len(p), np.int64)]))})
 
-    found = scratch.put(common.grouped(parts, [*keys, "bi", "bj"], pairs, "a long, b long, n long", ["vec_id"]), "links")
+    found = scratch.put(common.grouped(parts, [*keys, "bi", "bj"], pairs, "a long, b long, n long", ["vec_id"]))
     counts = found.where("n > 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     return counts, found.where("n = 0").select("a", "b")
 

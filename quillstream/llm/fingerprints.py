@@ -33,33 +33,26 @@ class FingerprintIndex:
 
     def __init__(self, scratch: common.Scratch, parts: int, fan_out: int = FAN_OUT):
         self.scratch, self.parts, self.fan_out = scratch, parts, fan_out
-        self.runs: list[tuple[int, str, DataFrame]] = []  # level, name, rows
-        self.made = 0
-
-    def _name(self) -> str:
-        self.made += 1
-        return f"run-{self.made}"
+        self.runs: list[tuple[int, DataFrame]] = []  # level, rows
 
     def add(self, batch: DataFrame) -> DataFrame:
         """batch: rows of ``matching.ask_anchors``. Answers to chunks, written; the batch joins the index."""
         every = batch
-        for _, _, run in self.runs:
+        for _, run in self.runs:
             every = every.unionByName(run)
-        name = self._name()
-        both = self.scratch.put(matching.at_buckets(every.withColumn("kind", F.lit(0)), self.parts, _merge_join(self.parts)), name)
-        self.runs.append((0, name, both.where(F.col("kind") == RUN)))
+        both = self.scratch.put(matching.at_buckets(every.withColumn("kind", F.lit(0)), self.parts, _merge_join(self.parts)))
+        self.runs.append((0, both.where(F.col("kind") == RUN)))
         self._compact()
         return both.where(F.col("kind") == FOUND)
 
     def _compact(self) -> None:
         """Merges runs while a level holds fan_out of them. Merged runs are superseded, not changed."""
         while self.runs and (same := [r for r in self.runs if r[0] == self.runs[-1][0]])[self.fan_out - 1 :]:
-            every = same[0][2]
+            every = same[0][1]
             for r in same[1:]:
-                every = every.unionByName(r[2])
-            name = self._name()
-            merged = self.scratch.put(matching.at_buckets(every, self.parts, _merge_runs(self.parts)), name)
-            self.runs = [r for r in self.runs if r not in same] + [(same[0][0] + 1, name, merged)]
+                every = every.unionByName(r[1])
+            merged = self.scratch.put(matching.at_buckets(every, self.parts, _merge_runs(self.parts)))
+            self.runs = [r for r in self.runs if r not in same] + [(same[0][0] + 1, merged)]
 
 
 def _sorted_bucket(chunks: np.ndarray, blobs: list[list[bytes]]) -> tuple[np.ndarray, ...]:
@@ -128,12 +121,13 @@ def remove_known(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     """
     spark = docs.sparkSession
     common.tune(spark)
-    scratch, parts = common.Scratch(spark, "fingerprints"), common.partitions(spark)
+    scratch = common.Scratch(spark, "fingerprints")
     spec = matching.Spec("words", length, gram, False)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     cuts = d.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     number = sum((F.coalesce(F.col("doc_id") > c, F.lit(True)).cast("int") for c in cuts), F.lit(0))
-    chunks = matching.chunk_table(d.withColumn("batch", number.cast("int")), scratch, parts, "batch")
+    chunks = matching.chunk_table(d.withColumn("batch", number.cast("int")), scratch, common.partitions(spark), "batch")
+    parts = matching.parts_for(chunks, 48 << 20)
     index, found = FingerprintIndex(scratch, parts), None
     for b in range(batches):
         got = index.add(matching.ask_anchors(chunks.where(F.col("batch") == b), spec, parts))

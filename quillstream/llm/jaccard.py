@@ -122,7 +122,11 @@ def shared_tokens(groups: DataFrame, parts: int) -> DataFrame:
         if not got[0]:
             return
         token, ids, n, pos = (np.frombuffer(b"".join(x), t) for x, t in zip(got, ("u8", "i8", "i4", "i4"), strict=True))
-        order = np.argsort(token)
+        order = np.lexsort((ids, token))
+        t, i = token[order], ids[order]
+        again = np.zeros(len(t), bool)  # a repeated row
+        again[1:] = (t[1:] == t[:-1]) & (i[1:] == i[:-1])
+        order = order[~again]
         t = token[order]
         twin = np.zeros(len(t), bool)
         twin[1:] = t[1:] == t[:-1]
@@ -186,7 +190,22 @@ def open_pairs(postings: DataFrame, comp: DataFrame, percent: int, block: int =
     return common.grouped(parts, ["token", "bi", "bj"], pairs, "a long, b long", ["id"]).where("a <> b").distinct()
 
 
-def verify(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, name: str, k: int, percent: int) -> DataFrame:
+def enough_in_common(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Drops pairs whose prefixes share too little. No pair that meets the threshold is dropped.
+
+    Sets of sizes na and nb need an overlap of percent / (100 + percent) * (na + nb). At most the tokens that both
+    prefixes hold come from before the end of the prefix that ends first, and n - prefix of its set from after it.
+    tokens: id, n, tokens (its prefix tokens that some other prefix has).
+    """
+    a = tokens.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    b = tokens.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    after = lambda n: F.floor((n * percent + 99) / 100) - 1  # noqa: E731  what is not in the prefix
+    both = F.size(F.array_intersect("ta", "tb"))
+    ok = (both + F.greatest(after(F.col("na")), after(F.col("nb")))) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return pairs.join(a, "a").join(b, "b").where(ok).select("a", "b")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc ids whose whole sets meet the threshold. Only documents in a pair are shuffled, as sets."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     flt = docs.sparkSession.sparkContext.broadcast(common.IdFilter(wanted))
@@ -209,9 +228,11 @@ def verify(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, name: str
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     # rows repeated whole give equal sets; of rows that share an id but not a text, each counts
-    made = scratch.put(docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(sets, "id long, s binary"), f"{name}-sets").dropDuplicates(["id", "s"])
+    made = scratch.keep(docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(sets, "id long, s binary").dropDuplicates(["id", "s"]))
     got = pairs.join(made.withColumnsRenamed({"id": "a", "s": "x"}), "a").join(made.withColumnsRenamed({"id": "b", "s": "y"}), "b")
-    links = scratch.put(got.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), f"{name}-links").distinct()
+    links = scratch.put(got.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct())
+    made.unpersist()
+    scratch.tidy()
     return links
 
 
@@ -227,21 +248,24 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text:
     common.tune(spark)
     scratch = common.Scratch(spark, "jaccard")
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sigs = scratch.put(signatures(d, k, percent, count_sketch(d, k)), "signatures")
+    wide = scratch.keep(signatures(d, k, percent, count_sketch(d, k)))
+    sigs = wide.drop("prefix")
     full = sigs.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("class_id"))
-    members = scratch.put(full.join(classes, ["n", "h1", "h2"]).select("doc_id", "n", "h1", "h2", "ph", "class_id", F.when(F.col("doc_id") == F.col("class_id"), F.col("prefix")).alias("prefix")), "members")
-    reps = members.where("prefix is not null").dropDuplicates(["n", "h1", "h2"]).select(F.col("doc_id").alias("id"), "n", "ph", "prefix")
-    w = Window.partitionBy("n", "ph")
-    reps = reps.withColumn("gid", F.min("id").over(w)).withColumn("size", F.count(F.lit(1)).over(w))
-    reps = scratch.put(reps, "groups")
+    classes = full.groupBy("n", "h1", "h2", "ph").agg(F.min("doc_id").alias("class_id"))
+    members = scratch.put(full.join(classes, ["n", "h1", "h2", "ph"]).select("doc_id", "n", "h1", "h2", "ph", "class_id"))
+    reps = classes.select(F.col("class_id").alias("id"), "n", "ph")
+    reps = scratch.put(reps.join(reps.groupBy("n", "ph").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("size")), ["n", "ph"]))
+    heads = reps.where("id = gid").select(F.col("id").alias("doc_id"), "n", "ph")
     parts = common.partitions(spark, 24.0 * 80 * sigs.count(), 24e6)
-    postings = scratch.put(shared_tokens(reps.where("id = gid"), parts), "postings")
+    postings = scratch.put(shared_tokens(wide.join(heads, ["doc_id", "n", "ph"]).withColumnRenamed("doc_id", "id"), parts))
+    scratch.tidy()
+    tokens = postings.groupBy("id", "n").agg(F.collect_list("token").alias("tokens"))
     # members of one group meet in a list of their own, under the hash of the prefix they share
     inside = reps.where("size > 1").select(F.col("ph").alias("token"), "id", "n", F.lit(0).alias("pos"))
     family = reps.where("size > 1").select("gid", "id")
 
     def expand(pairs: DataFrame) -> DataFrame:
+        pairs = enough_in_common(pairs, tokens, percent)
         left = pairs.join(family.withColumnsRenamed({"gid": "a", "id": "x"}), "a", "left").select(F.coalesce("x", "a").alias("a"), "b")
         both = left.join(family.withColumnsRenamed({"gid": "b", "id": "y"}), "b", "left").select("a", F.coalesce("y", "b").alias("b"))
         return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -250,18 +274,18 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text:
     same = members.where("doc_id <> class_id").groupBy("doc_id", "class_id").count().select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
     twice = members.groupBy("doc_id").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo <> hi").select("doc_id")
     same = same.join(twice.withColumnRenamed("doc_id", "a"), "a", "left_semi")
-    first = scratch.put(expand(neighbour_pairs(postings, percent)).unionByName(neighbour_pairs(inside, percent)).distinct(), "first")
-    links = verify(first, d, scratch, "first", k, percent)
-    near = common.components(links.unionByName(same), scratch, "near")
+    first = scratch.put(expand(neighbour_pairs(postings, percent)).unionByName(neighbour_pairs(inside, percent)).distinct())
+    links = verify(first, d, scratch, k, percent)
+    near = common.components(links.unionByName(same), scratch)
     # a group counts as one in the lists of tokens only as far as its members are connected: hold them apart otherwise
     rest = expand(open_pairs(postings, near, percent, block)).unionByName(open_pairs(inside, near, percent, block)).distinct()
     cross = expand(_groups_open(postings, reps, near, percent))
     rest = rest.unionByName(cross).distinct()
     root = lambda c: near.withColumnsRenamed({"id": c, "component_id": f"_{c}"})
     rest = rest.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b")
-    second = scratch.put(rest.join(first, ["a", "b"], "left_anti"), "second")
-    more = verify(second, d, scratch, "second", k, percent)
-    comp = common.components(links.unionByName(more).unionByName(same), scratch, "all")
+    second = scratch.put(rest.join(first, ["a", "b"], "left_anti"))
+    more = verify(second, d, scratch, k, percent)
+    comp = common.components(links.unionByName(more).unionByName(same), scratch)
     cls = members.select("doc_id", "n", "h1", "h2", "class_id").dropDuplicates(["doc_id", "n", "h1", "h2"])
     out = sigs.select("doc_id", "n", "h1", "h2").join(cls, ["doc_id", "n", "h1", "h2"], "left").join(comp.withColumnRenamed("id", "class_id"), "class_id", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "class_id", "doc_id").alias("component_id"))

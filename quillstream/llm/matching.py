@@ -29,9 +29,12 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import common
 
-CHUNK = 1 << 20
+#: Bytes of text in a chunk. Well under half a heap region, so that rows are no humongous objects to the executors.
+CHUNK = 192 << 10
 #: Distinct contexts of an anchor from which on its stretches are dealt one by one instead of by anchor.
 HOT = 4096
+#: Contexts that are sorted at once.
+SLICE = 4096
 _K1, _K2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -45,19 +48,21 @@ class Spec:
 
 # --- chunks -------------------------------------------------------------------------------------------------------------
 def chunk_table(docs: DataFrame, scratch: common.Scratch, parts: int, batch: str | None = None) -> DataFrame:
-    """docs (doc_id, text and perhaps batch) packed into rows of about CHUNK bytes, a table bucketed by chunk."""
+    """docs (doc_id, text and perhaps batch) packed into rows of about CHUNK bytes, a table bucketed by chunk.
+
+    A task numbers its chunks so that they fall into one bucket: it writes one file, and nothing is shuffled.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part = TaskContext.get().partitionId()
+        numbers = bucket_ids(part, parts)
         held: dict[int, tuple[list, list, int]] = {}
 
         def row(b: int) -> pa.RecordBatch:
-            nonlocal seq
             ids, texts, size = held.pop(b)
             order = np.argsort(np.array(ids), kind="stable").tolist()
-            seq += 1
             offs = np.cumsum([0] + [len(texts[i]) for i in order])
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) | seq]), pa.array([b], pa.int32()), pa.array([np.array(ids)[order].tobytes()], pa.binary()), pa.array([offs.tobytes()], pa.binary()), pa.array([b"".join(texts[i] for i in order)], pa.binary())], names=["chunk", "batch", "ids", "offs", "text"])
+            return pa.RecordBatch.from_arrays([pa.array([next(numbers)]), pa.array([b], pa.int32()), pa.array([np.array(ids)[order].tobytes()], pa.binary()), pa.array([offs.tobytes()], pa.binary()), pa.array([b"".join(texts[i] for i in order)], pa.binary())], names=["chunk", "batch", "ids", "offs", "text"])
 
         for got in batches:
             data, offs = common.utf8(got.column(1))
@@ -79,6 +84,31 @@ def chunk_table(docs: DataFrame, scratch: common.Scratch, parts: int, batch: str
     return docs.sparkSession.table(name)
 
 
+def bucket_ids(part: int, buckets: int) -> Iterator[int]:
+    """Distinct numbers of a task, all of the bucket that Spark's hash (Murmur3 of a long, seed 42) gives part % buckets."""
+    rot = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    m1, m2 = np.uint32(0xCC9E2D51), np.uint32(0x1B873593)
+    high = np.uint32(part)
+    at, step = 0, max(1024, 4 * buckets)
+    while True:
+        low = np.arange(at, at + step, dtype=np.uint32)
+        h = np.full(step, 42, np.uint32)
+        for k in (low, np.full(step, high, np.uint32)):
+            h = rot(h ^ (rot(k * m1, 15) * m2), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(8)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64)
+        for k in np.flatnonzero(h % buckets == part % buckets).tolist():
+            yield (part << 32) | int(low[k])
+        at += step
+
+
+def parts_for(chunks: DataFrame, each: int = 24 << 20) -> int:
+    """Buckets for questions: about one for ``each`` bytes of text, and enough for the session's cores."""
+    return max(chunks.sparkSession.sparkContext.defaultParallelism, -(-chunks.count() * CHUNK // each))
+
+
 class Chunk:
     """One chunk's tokens; everything that the steps need of it, computed on demand."""
 
@@ -439,8 +469,19 @@ def stretch_answers(mail: DataFrame, parts: int, spec: Spec, sort: Callable | No
             heads, row = spread(blobs[0], "u8")
             heads, row = heads.reshape(-1, 2), row[::2]
             ids, size, text = spread(blobs[1], "i8")[0], spread(blobs[2], "u2")[0].reshape(-1, 2).astype(np.int64), spread(blobs[3], "u1")[0]
-            context, offset = sort(heads[:, 0], ids, size[:, 0], size[:, 1], text, spec.length)
-            yield from answers(GONE_T, chunks, row[context], heads[context, 1], offset.astype(np.uint16))
+            n = size.sum(1)
+            begin = np.cumsum(n) - n
+            order = np.argsort(heads[:, 0], kind="stable")
+            starts = np.append(firsts(heads[order, 0]), len(order))
+            at = 0
+            while at < len(starts) - 1:  # some anchors at a time, so that the sort's memory is bounded
+                end = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE, "right")) - 1)
+                k = order[starts[at] : starts[end]]
+                sums = np.cumsum(n[k])
+                part = text[np.repeat(begin[k] - sums + n[k], n[k]) + np.arange(sums[-1])]
+                context, offset = sort(heads[k, 0], ids[k], size[k, 0], size[k, 1], part, spec.length)
+                yield from answers(GONE_T, chunks, row[k[context]], heads[k[context], 1], offset.astype(np.uint16))
+                at = end
 
     return at_buckets(mail, parts, run)
 
@@ -487,9 +528,9 @@ def removed(c: Chunk, box: dict) -> np.ndarray:
 
 def verify_and_finish(chunks: DataFrame, shared: DataFrame, spec: Spec, scratch: common.Scratch, parts: int, finish: Callable[[Chunk, np.ndarray], pa.RecordBatch], schema: str, sort: Callable | None = None) -> DataFrame:
     """Steps B and C for the shared anchors, and finish(chunk, removed tokens) for every chunk."""
-    contexts = scratch.put(context_answers(ask_contexts(chunks, shared, spec, parts), parts), "contexts")
-    said = scratch.put(publish(chunks, [shared, contexts], spec, parts), "said")
-    gone = scratch.put(stretch_answers(said.where(F.col("kind").isin(TEXTS, STRETCHES)), parts, spec, sort), "gone")
+    contexts = context_answers(ask_contexts(chunks, shared, spec, parts), parts)
+    said = scratch.put(publish(chunks, [shared, contexts], spec, parts))
+    gone = stretch_answers(said.where(F.col("kind").isin(TEXTS, STRETCHES)), parts, spec, sort)
 
     def run(chunk: int, rows: tuple, box: dict) -> Iterator[pa.RecordBatch]:
         c = Chunk(*rows, spec)

@@ -94,8 +94,8 @@ def repeated(anchor: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.nd
     same = np.zeros(len(rank), bool)
     same[1:] = (g[1:] == g[:-1]) & (common_extension(p, sorted_at[1:], sorted_at[:-1], length) == length)
     pairs = np.flatnonzero(same)
-    for s in range(0, len(pairs), 200_000):  # collision check: the bytes themselves
-        q = pairs[s : s + 200_000]
+    for s in range(0, len(pairs), 20_000):  # collision check: the bytes themselves
+        q = pairs[s : s + 20_000]
         span = np.arange(length)
         same[q] = (text[sorted_at[q][:, None] + span] == text[sorted_at[q - 1][:, None] + span]).all(1)
     starts = np.flatnonzero(~same)
@@ -129,10 +129,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     common.tune(spark)
-    scratch, parts = common.Scratch(spark, "suffixes"), common.partitions(spark)
+    scratch = common.Scratch(spark, "suffixes")
     spec = matching.Spec("bytes", length, gram, True)
-    chunks = matching.chunk_table(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), scratch, parts)
-    shared = scratch.put(matching.shared_anchors(matching.ask_anchors(chunks, spec, parts), parts), "shared")
+    chunks = matching.chunk_table(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), scratch, common.partitions(spark))
+    parts = matching.parts_for(chunks)
+    shared = scratch.put(matching.shared_anchors(matching.ask_anchors(chunks, spec, parts), parts))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return matching.verify_and_finish(chunks, shared, spec, scratch, parts, _finish, schema, repeated)
 
