@@ -43,6 +43,7 @@ class FingerprintIndex:
         both = self.scratch.put(matching.at_buckets(every.withColumn("kind", F.lit(0)), self.parts, _merge_join(self.parts)))
         self.runs.append((0, both.where(F.col("kind") == RUN)))
         self._compact()
+        self.scratch.tidy()
         return both.where(F.col("kind") == FOUND)
 
     def _compact(self) -> None:

@@ -1,13 +1,14 @@
 """N-gram Jaccard join by grouped prefixes.
 
 Documents become sets of word shingles. Sets that are equal are one class. Classes with identical prefixes and size are
-one group; an inverted index over the groups' prefixes gives candidate group pairs, which size and position filters
-thin out; what remains is expanded to the members and verified on whole sets.
+one group; an inverted index over the groups' prefixes finds the tokens that groups share. The groups of a token's list
+are expanded to their members, pairs are filtered by size, by the places of the token and by a bound on their symmetric
+difference, and what remains is verified on whole sets.
 
 Prefixes take the rarest shingles first, by a count sketch of all documents (a fixed 4 MB), so passages that many
-documents share stay out of the index. Candidates come in two rounds: neighbours in each posting list first, and after
-their links are joined, all pairs of a list that are not connected yet. So a large group of near copies costs about one
-verification a member, not one a pair, and no link between components is lost.
+documents share stay out of the index. Candidates come in two rounds: for each member of a list its first possible
+partner, and after the links found are joined, all possible pairs of a list that are not connected yet. So a large group
+of near copies costs about one verification a member and list, not one a pair, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.llm import common
@@ -67,14 +68,19 @@ def count_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray
     return np.frombuffer(b"".join(blobs), np.uint32) if blobs else np.zeros(1 << bits, np.uint32)
 
 
+def odd_bits(x: np.ndarray) -> bytes:
+    """1,024 bits: each hash flips one. Two sets differ in at least as many elements as their bits differ."""
+    return np.packbits((np.bincount((x >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).tobytes()
+
+
 def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (of the set), ph (of the prefix), prefix (hashes, rarest first)."""
+    """doc_id, n (set size), h1, h2 (of the set), ph (of the prefix), prefix (hashes, rarest first), parity (see ``odd_bits``)."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.minimum(shared.value, 2**20 - 1).astype(np.uint64)
         for batch in batches:
-            n, h, prefixes = [], [], []
+            n, h, prefixes, parities = [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 x = common.mix(s + np.uint64(0x9E3779B97F4A7C15))
@@ -87,12 +93,13 @@ def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, bits:
                     near = np.argsort(rank, kind="stable")
                 p = s[near]
                 prefixes.append(p.tobytes())
+                parities.append(odd_bits(x))
                 seq = common.mix(p * np.uint64(2) + np.uint64(1)) * (np.arange(len(p), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
                 h.append((int(x.sum(dtype=np.uint64)), int(common.mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)), int(seq.sum(dtype=np.uint64))))
             hs = np.array(h, np.uint64).reshape(-1, 3).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), *(pa.array(hs[:, c]) for c in range(3)), pa.array(prefixes, pa.binary())], names=["doc_id", "n", "h1", "h2", "ph", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), *(pa.array(hs[:, c]) for c in range(3)), pa.array(prefixes, pa.binary()), pa.array(parities, pa.binary())], names=["doc_id", "n", "h1", "h2", "ph", "prefix", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, h1 long, h2 long, ph long, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, h1 long, h2 long, ph long, prefix binary, parity binary")
 
 
 def shared_tokens(groups: DataFrame, parts: int) -> DataFrame:
@@ -140,69 +147,56 @@ def shared_tokens(groups: DataFrame, parts: int) -> DataFrame:
     return packed.repartition(parts, "bucket").mapInArrow(find, "token long, id long, n int, pos int")
 
 
-def _possible(na, nb, pa_, pb, percent: int):
-    """Whether two sets can still meet the threshold: by size, and by what can follow a common token at these places.
+def candidates(lists: DataFrame, percent: int, comp: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """Pairs (a > b) of a list that may meet the threshold.
 
-    ``least(pa, pb) + 1`` common tokens at most up to it, and no more than either set has left after it.
+    lists: token, id, n, pos, parity. Two sets of sizes na and nb need an overlap of need = percent / (100 + percent) *
+    (na + nb), so the token that they share first stands at na - need and nb - need at most, and they differ in
+    na + nb - 2 * need elements at most. Without ``comp`` each member gives its first possible partner, which is linear
+    in the list; with it all possible pairs of different components.
     """
-    low, high = F.least(na, nb), F.greatest(na, nb)
-    most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    return (low * 100 >= high * percent) & (most * (100 + percent) >= (na + nb) * percent)
-
-
-def neighbour_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of neighbours in each posting list, ordered by size: a chain, linear in the list."""
-    w = Window.partitionBy("token").orderBy("n", "id")
-    before = postings.withColumn("b", F.lag("id").over(w)).withColumn("nb", F.lag("n").over(w)).withColumn("pb", F.lag("pos").over(w))
-    ok = before.where(F.col("b").isNotNull() & _possible(F.col("n"), F.col("nb"), F.col("pos"), F.col("pb"), percent))
-    return ok.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).where("a <> b").distinct()
-
-
-def open_pairs(postings: DataFrame, comp: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """All pairs of a posting list that lie in different components and pass the filters."""
-    p = postings.join(comp, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
-    mixed = p.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    parts = common.blocks(p.join(mixed, "token"), ["token"], "id", block)
+    if comp is not None:
+        lists = lists.join(comp, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
+        mixed = lists.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+        lists = lists.join(mixed, "token")
+    else:
+        lists = lists.withColumn("c", F.col("id"))
+    parts = common.blocks(lists, ["token"], "id", block)
+    first_only = comp is None
 
     def pairs(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
         ends = np.append(starts[1:], t.num_rows)
         ids, n, pos, c, own, bi, bj = (t.column(x).to_numpy() for x in ("id", "n", "pos", "c", "own", "bi", "bj"))
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        raw, _ = common.utf8(t.column("parity"))
+        bits = raw.reshape(-1, 128).view(np.uint64)
         out = []
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            m = e - s
-            if m < 2:
+            if e - s < 2:
                 continue
-            a, b = np.triu_indices(m, 1)
-            a, b = a + s, b + s
-            on = c[a] != c[b]
-            if bi[s] != bj[s]:
-                on &= own[a] != own[b]
-            a, b = a[on], b[on]
-            na, nb, pa_, pb = (x.astype(np.int64) for x in (n[a], n[b], pos[a], pos[b]))
-            most = np.minimum(pa_, pb) + 1 + np.minimum(na - pa_ - 1, nb - pb - 1)
-            ok = (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (most * (100 + percent) >= (na + nb) * percent)
-            out.append((np.maximum(ids[a[ok]], ids[b[ok]]), np.minimum(ids[a[ok]], ids[b[ok]])))
+            for at in range(s, e - 1, 256):  # some rows against all after them, so that memory is bounded
+                a, b = np.meshgrid(np.arange(at, min(at + 256, e - 1)), np.arange(at + 1, e), indexing="ij")
+                a, b = a.ravel(), b.ravel()
+                on = (a < b) & (c[a] != c[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
+                if bi[s] != bj[s]:
+                    on &= own[a] != own[b]
+                a, b = a[on], b[on]
+                need = -(-(n[a] + n[b]) * percent // (100 + percent))
+                on = (pos[a] <= n[a] - need) & (pos[b] <= n[b] - need)
+                a, b, need = a[on], b[on], need[on]
+                differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+                on = differ <= n[a] + n[b] - 2 * need
+                a, b = a[on], b[on]
+                if first_only and len(a):
+                    keep = np.union1d(np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1])
+                    a, b = a[keep], b[keep]
+                out.append((np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b])))
         if not out:
             return None
         ab = np.unique(np.stack([np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])]), axis=1)
         return pa.record_batch({"a": pa.array(ab[0]), "b": pa.array(ab[1])})
 
-    return common.grouped(parts, ["token", "bi", "bj"], pairs, "a long, b long", ["id"]).where("a <> b").distinct()
-
-
-def enough_in_common(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs whose prefixes share too little. No pair that meets the threshold is dropped.
-
-    Sets of sizes na and nb need an overlap of percent / (100 + percent) * (na + nb). At most the tokens that both
-    prefixes hold come from before the end of the prefix that ends first, and n - prefix of its set from after it.
-    tokens: id, n, tokens (its prefix tokens that some other prefix has).
-    """
-    a = tokens.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    b = tokens.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    after = lambda n: F.floor((n * percent + 99) / 100) - 1  # noqa: E731  what is not in the prefix
-    both = F.size(F.array_intersect("ta", "tb"))
-    ok = (both + F.greatest(after(F.col("na")), after(F.col("nb")))) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    return pairs.join(a, "a").join(b, "b").where(ok).select("a", "b")
+    return common.grouped(parts, ["token", "bi", "bj"], pairs, "a long, b long", ["n", "id"]).where("a <> b").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, k: int, percent: int) -> DataFrame:
@@ -249,56 +243,36 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text:
     scratch = common.Scratch(spark, "jaccard")
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     wide = scratch.keep(signatures(d, k, percent, count_sketch(d, k)))
-    sigs = wide.drop("prefix")
+    sigs = wide.drop("prefix", "parity")
     full = sigs.where("n > 0 and doc_id is not null")
     classes = full.groupBy("n", "h1", "h2", "ph").agg(F.min("doc_id").alias("class_id"))
     members = scratch.put(full.join(classes, ["n", "h1", "h2", "ph"]).select("doc_id", "n", "h1", "h2", "ph", "class_id"))
-    reps = classes.select(F.col("class_id").alias("id"), "n", "ph")
-    reps = scratch.put(reps.join(reps.groupBy("n", "ph").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("size")), ["n", "ph"]))
-    heads = reps.where("id = gid").select(F.col("id").alias("doc_id"), "n", "ph")
+    reps = members.where("doc_id = class_id").select(F.col("doc_id").alias("id"), "n", "h1", "h2", "ph").distinct()
+    groups = scratch.put(reps.join(reps.groupBy("n", "ph").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("size")), ["n", "ph"]))
+    heads = groups.where("id = gid").select(F.col("id").alias("doc_id"), "n", "h1", "h2", "ph")
     parts = common.partitions(spark, 24.0 * 80 * sigs.count(), 24e6)
-    postings = scratch.put(shared_tokens(wide.join(heads, ["doc_id", "n", "ph"]).withColumnRenamed("doc_id", "id"), parts))
+    headed = wide.drop("parity").join(heads, ["doc_id", "n", "h1", "h2", "ph"]).select(F.col("doc_id").alias("id"), "n", "prefix")
+    postings = scratch.put(shared_tokens(headed, parts).withColumnRenamed("id", "gid"))
     scratch.tidy()
-    tokens = postings.groupBy("id", "n").agg(F.collect_list("token").alias("tokens"))
-    # members of one group meet in a list of their own, under the hash of the prefix they share
-    inside = reps.where("size > 1").select(F.col("ph").alias("token"), "id", "n", F.lit(0).alias("pos"))
-    family = reps.where("size > 1").select("gid", "id")
-
-    def expand(pairs: DataFrame) -> DataFrame:
-        pairs = enough_in_common(pairs, tokens, percent)
-        left = pairs.join(family.withColumnsRenamed({"gid": "a", "id": "x"}), "a", "left").select(F.coalesce("x", "a").alias("a"), "b")
-        both = left.join(family.withColumnsRenamed({"gid": "b", "id": "y"}), "b", "left").select("a", F.coalesce("y", "b").alias("b"))
-        return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-
+    # a list's groups expand to their members; members of one group also meet under the hash of the prefix they share
+    family = groups.select("gid", "n", "id", "h1", "h2")
+    inside = groups.where("size > 1").select(F.col("ph").alias("token"), F.lit(0).alias("pos"), "id", "n", "h1", "h2")
+    lists = postings.join(family, ["gid", "n"]).select("token", "pos", "id", "n", "h1", "h2").unionByName(inside)
+    bits = wide.select(F.col("doc_id").alias("id"), "n", "h1", "h2", "parity").join(lists.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "n", "h1", "h2"])
+    lists = scratch.put(lists.join(bits, ["id", "n", "h1", "h2"]).select("token", "id", "n", "pos", "parity"))
     # rows that share an id are one document, whatever their sets
-    same = members.where("doc_id <> class_id").groupBy("doc_id", "class_id").count().select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    twice = members.groupBy("doc_id").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo <> hi").select("doc_id")
-    same = same.join(twice.withColumnRenamed("doc_id", "a"), "a", "left_semi")
-    first = scratch.put(expand(neighbour_pairs(postings, percent)).unionByName(neighbour_pairs(inside, percent)).distinct())
+    twice = members.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("a")).where("a <> b")
+    same = members.join(twice.select("doc_id", "b"), "doc_id").select(F.col("class_id").alias("a"), "b").where("a <> b")
+    first = scratch.put(candidates(lists, percent, None, block))
     links = verify(first, d, scratch, k, percent)
     near = common.components(links.unionByName(same), scratch)
-    # a group counts as one in the lists of tokens only as far as its members are connected: hold them apart otherwise
-    rest = expand(open_pairs(postings, near, percent, block)).unionByName(open_pairs(inside, near, percent, block)).distinct()
-    cross = expand(_groups_open(postings, reps, near, percent))
-    rest = rest.unionByName(cross).distinct()
-    root = lambda c: near.withColumnsRenamed({"id": c, "component_id": f"_{c}"})
-    rest = rest.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b")
-    second = scratch.put(rest.join(first, ["a", "b"], "left_anti"))
-    more = verify(second, d, scratch, k, percent)
+    second = scratch.put(candidates(lists, percent, near, block).join(first, ["a", "b"], "left_anti"))
+    more = verify(second, d, scratch, k, percent) if second.limit(1).count() else second
     comp = common.components(links.unionByName(more).unionByName(same), scratch)
     cls = members.select("doc_id", "n", "h1", "h2", "class_id").dropDuplicates(["doc_id", "n", "h1", "h2"])
     out = sigs.select("doc_id", "n", "h1", "h2").join(cls, ["doc_id", "n", "h1", "h2"], "left").join(comp.withColumnRenamed("id", "class_id"), "class_id", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "class_id", "doc_id").alias("component_id"))
 
 
-def _groups_open(postings: DataFrame, reps: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups in a list whose heads are connected while a member of one of them is not: they are expanded too."""
-    loose = reps.where("size > 1").join(near, "id", "left").groupBy("gid").agg(F.min(F.coalesce("component_id", "id")).alias("lo"), F.max(F.coalesce("component_id", "id")).alias("hi")).where("lo <> hi").select(F.col("gid").alias("id"))
-    left = postings.join(loose, "id")
-    right = postings.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    both = left.join(right, "token").where(F.col("id") != F.col("b")).where(_possible(F.col("n"), F.col("nb"), F.col("pos"), F.col("pb"), percent))
-    return both.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-
-
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_id")

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import common
 
-#: Bytes of text in a chunk. Well under half a heap region, so that rows are no humongous objects to the executors.
-CHUNK = 192 << 10
+#: Bytes of text in a chunk. Under half a heap region, so that rows are no humongous objects to the executors.
+CHUNK = 384 << 10
 #: Distinct contexts of an anchor from which on its stretches are dealt one by one instead of by anchor.
 HOT = 4096
 #: Contexts that are sorted at once.
@@ -530,6 +530,7 @@ def verify_and_finish(chunks: DataFrame, shared: DataFrame, spec: Spec, scratch:
     """Steps B and C for the shared anchors, and finish(chunk, removed tokens) for every chunk."""
     contexts = context_answers(ask_contexts(chunks, shared, spec, parts), parts)
     said = scratch.put(publish(chunks, [shared, contexts], spec, parts))
+    scratch.tidy()
     gone = stretch_answers(said.where(F.col("kind").isin(TEXTS, STRETCHES)), parts, spec, sort)
 
     def run(chunk: int, rows: tuple, box: dict) -> Iterator[pa.RecordBatch]:

@@ -16,16 +16,18 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import common, matching
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 28
 
 
 def common_extension(p: common.Prefixes, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
     """How many bytes the suffixes at i and j share, up to ``most``, by binary search over prefix hashes."""
-    lo, hi = np.zeros(len(i), np.int64), np.full(len(i), most)
-    while (lo < hi).any():
+    a, b, x, y = p.sums[i], p.sums[j], p.down[i], p.down[j]
+    lo, hi = np.zeros(len(i), np.int32), np.full(len(i), most, np.int32)
+    for _ in range(int(most).bit_length()):
         mid = (lo + hi + 1) >> 1
-        same = p.of(i, i + mid) == p.of(j, j + mid)
+        same = (p.sums[i + mid] - a) * x == (p.sums[j + mid] - b) * y
         lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        hi = np.maximum(lo, hi)
     return lo
 
 
@@ -134,6 +136,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     chunks = matching.chunk_table(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), scratch, common.partitions(spark))
     parts = matching.parts_for(chunks)
     shared = scratch.put(matching.shared_anchors(matching.ask_anchors(chunks, spec, parts), parts))
+    scratch.tidy()
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return matching.verify_and_finish(chunks, shared, spec, scratch, parts, _finish, schema, repeated)
 
