@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.operators import layout, pagework, pairs, relational, scoring, segments, store, telemetry, terms, texts
+from quillstream.operators import layout, pagework, rowwork, pairs, relational, rowwork, scoring, segments, store, telemetry, terms, texts
 from quillstream.plans import dataflow
 from quillstream.sources import pages
 from quillstream.streaming import queries as streams
 
-_MODULES = (segments, store, telemetry, terms, pairs, relational, layout, pagework, scoring, texts, pages, streams, dataflow)
+_MODULES = (segments, store, telemetry, terms, pairs, relational, layout, pagework, rowwork, scoring, texts, pages, streams, dataflow)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
