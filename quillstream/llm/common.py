@@ -5,6 +5,7 @@ Nothing outside ``quillstream.llm`` imports this module.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -50,15 +51,28 @@ class Scratch:
             spark.sparkContext.setCheckpointDir(base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/quill-{name}-{uuid.uuid4().hex[:12]}"
 
+    @contextlib.contextmanager
+    def _last_use(self) -> Iterator[None]:
+        """Shuffle files of what runs inside are deleted when it ends: the rows are written, nothing reads them again."""
+        key, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", self.spark.conf
+        before = conf.get(key, None)
+        conf.set(key, "true")
+        try:
+            yield
+        finally:
+            conf.unset(key) if before is None else conf.set(key, before)
+
     def put(self, df: DataFrame) -> DataFrame:
-        return df.checkpoint()
+        with self._last_use():
+            return df.checkpoint()
 
     def keep(self, df: DataFrame) -> DataFrame:
         return df.persist(StorageLevel.DISK_ONLY)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Written as Parquet and read again."""
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        """Written as Parquet and read again: compressed, and nothing of the plan before it is held."""
+        with self._last_use():
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def tidy(self) -> None:
@@ -213,10 +227,15 @@ def blocks(df: DataFrame, keys: list[str], member: str, most: int) -> DataFrame:
     Adds bi <= bj (the pair) and own (the row's block). A group of n rows has g = ceil(n / most) blocks, chosen by the
     member's hash; each row goes to the g pairs that hold its block. Groups of one row are left out: they have no pair.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("_g", F.ceil(F.col("_n") / most).cast("int"))
-    own = F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_g")).cast("int")
-    dealt = df.join(sizes.drop("_n"), keys).withColumn("own", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
-    return dealt.withColumn("bi", F.least("own", "_o")).withColumn("bj", F.greatest("own", "_o")).drop("_g", "_o")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return block_pairs(df.join(sizes, keys), member, most)
+
+
+def block_pairs(df: DataFrame, member: str, most: int) -> DataFrame:
+    """The same for rows that carry the size of their group as _n."""
+    d = df.withColumn("_g", F.ceil(F.col("_n") / most).cast("int"))
+    d = d.withColumn("own", F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_g")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    return d.withColumn("bi", F.least("own", "_o")).withColumn("bj", F.greatest("own", "_o")).drop("_g", "_o", "_n")
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:

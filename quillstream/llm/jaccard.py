@@ -17,7 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.llm import common
@@ -147,29 +148,33 @@ def shared_tokens(groups: DataFrame, parts: int) -> DataFrame:
     return packed.repartition(parts, "bucket").mapInArrow(find, "token long, id long, n int, pos int")
 
 
-def candidates(lists: DataFrame, percent: int, comp: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def candidates(lists: DataFrame, bits: DataFrame, percent: int, comp: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs (a > b) of a list that may meet the threshold.
 
-    lists: token, id, n, pos, parity. Two sets of sizes na and nb need an overlap of need = percent / (100 + percent) *
-    (na + nb), so the token that they share first stands at na - need and nb - need at most, and they differ in
-    na + nb - 2 * need elements at most. Without ``comp`` each member gives its first possible partner, which is linear
-    in the list; with it all possible pairs of different components.
+    lists: token, id, n, pos; bits: id, n, parity (null: unknown), joined last, as it is the widest. Two sets of sizes na
+    and nb need an overlap of need = percent / (100 + percent) * (na + nb), so the token that they share first stands at
+    na - need and nb - need at most, and they differ in na + nb - 2 * need elements at most.
+
+    Without ``comp``, a first look: of one list in eight, each member's first possible partner, which is linear in the
+    lists. With it all possible pairs of different components, whatever the first look has found.
     """
-    if comp is not None:
-        lists = lists.join(comp, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
-        mixed = lists.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-        lists = lists.join(mixed, "token")
+    w = Window.partitionBy("token")
+    if comp is None:
+        lists = lists.where(F.pmod("token", F.lit(8)) == 0).withColumn("c", F.col("id")).withColumn("_n", F.count(F.lit(1)).over(w)).where("_n > 1")
     else:
-        lists = lists.withColumn("c", F.col("id"))
-    parts = common.blocks(lists, ["token"], "id", block)
+        lists = lists.join(comp, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
+        lists = lists.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_lo", F.min("c").over(w)).withColumn("_hi", F.max("c").over(w)).where("_lo <> _hi").drop("_lo", "_hi")
+    parts = common.block_pairs(lists, "id", block).join(bits, ["id", "n"])
     first_only = comp is None
 
     def pairs(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
         ends = np.append(starts[1:], t.num_rows)
         ids, n, pos, c, own, bi, bj = (t.column(x).to_numpy() for x in ("id", "n", "pos", "c", "own", "bi", "bj"))
         n, pos = n.astype(np.int64), pos.astype(np.int64)
-        raw, _ = common.utf8(t.column("parity"))
-        bits = raw.reshape(-1, 128).view(np.uint64)
+        parity = t.column("parity").combine_chunks() if isinstance(t.column("parity"), pa.ChunkedArray) else t.column("parity")
+        unknown = parity.is_null().to_numpy(zero_copy_only=False)
+        raw, _ = common.utf8(pc.coalesce(parity, pa.scalar(bytes(128))))
+        odd = raw.reshape(-1, 128).view(np.uint64)
         out = []
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
             if e - s < 2:
@@ -184,8 +189,8 @@ def candidates(lists: DataFrame, percent: int, comp: DataFrame | None = None, bl
                 need = -(-(n[a] + n[b]) * percent // (100 + percent))
                 on = (pos[a] <= n[a] - need) & (pos[b] <= n[b] - need)
                 a, b, need = a[on], b[on], need[on]
-                differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
-                on = differ <= n[a] + n[b] - 2 * need
+                differ = np.bitwise_count(odd[a] ^ odd[b]).sum(1, dtype=np.int64)
+                on = (differ <= n[a] + n[b] - 2 * need) | unknown[a] | unknown[b]
                 a, b = a[on], b[on]
                 if first_only and len(a):
                     keep = np.union1d(np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1])
@@ -255,18 +260,20 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text:
     postings = scratch.put(shared_tokens(headed, parts).withColumnRenamed("id", "gid"))
     scratch.tidy()
     # a list's groups expand to their members; members of one group also meet under the hash of the prefix they share
-    family = groups.select("gid", "n", "id", "h1", "h2")
-    inside = groups.where("size > 1").select(F.col("ph").alias("token"), F.lit(0).alias("pos"), "id", "n", "h1", "h2")
-    lists = postings.join(family, ["gid", "n"]).select("token", "pos", "id", "n", "h1", "h2").unionByName(inside)
-    bits = wide.select(F.col("doc_id").alias("id"), "n", "h1", "h2", "parity").join(lists.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "n", "h1", "h2"])
-    lists = scratch.put(lists.join(bits, ["id", "n", "h1", "h2"]).select("token", "id", "n", "pos", "parity"))
+    family = groups.where("size > 1").select("gid", "n", "id")
+    inside = groups.where("size > 1").select(F.col("ph").alias("token"), "id", "n", F.lit(0).alias("pos"))
+    lists = postings.join(family, ["gid", "n"], "left").select("token", F.coalesce("id", "gid").alias("id"), "n", "pos").unionByName(inside)
+    lists = scratch.put(lists)
+    # an id with two sets of one size has no bits: its pairs are not thinned out by them
+    bits = wide.where("doc_id is not null").select(F.col("doc_id").alias("id"), "n", "parity").join(lists.select("id").distinct(), "id", "left_semi")
+    bits = scratch.put(bits.groupBy("id", "n").agg(F.min("parity").alias("lo"), F.max("parity").alias("hi")).select("id", "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("parity")))
     # rows that share an id are one document, whatever their sets
     twice = members.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("a")).where("a <> b")
     same = members.join(twice.select("doc_id", "b"), "doc_id").select(F.col("class_id").alias("a"), "b").where("a <> b")
-    first = scratch.put(candidates(lists, percent, None, block))
+    first = scratch.put(candidates(lists, bits, percent, None, block))
     links = verify(first, d, scratch, k, percent)
     near = common.components(links.unionByName(same), scratch)
-    second = scratch.put(candidates(lists, percent, near, block).join(first, ["a", "b"], "left_anti"))
+    second = scratch.put(candidates(lists, bits, percent, near, block).join(first, ["a", "b"], "left_anti"))
     more = verify(second, d, scratch, k, percent) if second.limit(1).count() else second
     comp = common.components(links.unionByName(more).unionByName(same), scratch)
     cls = members.select("doc_id", "n", "h1", "h2", "class_id").dropDuplicates(["doc_id", "n", "h1", "h2"])

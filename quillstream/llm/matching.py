@@ -529,7 +529,7 @@ def removed(c: Chunk, box: dict) -> np.ndarray:
 def verify_and_finish(chunks: DataFrame, shared: DataFrame, spec: Spec, scratch: common.Scratch, parts: int, finish: Callable[[Chunk, np.ndarray], pa.RecordBatch], schema: str, sort: Callable | None = None) -> DataFrame:
     """Steps B and C for the shared anchors, and finish(chunk, removed tokens) for every chunk."""
     contexts = context_answers(ask_contexts(chunks, shared, spec, parts), parts)
-    said = scratch.put(publish(chunks, [shared, contexts], spec, parts))
+    said = scratch.table(publish(chunks, [shared, contexts], spec, parts), "said")
     scratch.tidy()
     gone = stretch_answers(said.where(F.col("kind").isin(TEXTS, STRETCHES)), parts, spec, sort)
 

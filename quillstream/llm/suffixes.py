@@ -135,7 +135,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spec = matching.Spec("bytes", length, gram, True)
     chunks = matching.chunk_table(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), scratch, common.partitions(spark))
     parts = matching.parts_for(chunks)
-    shared = scratch.put(matching.shared_anchors(matching.ask_anchors(chunks, spec, parts), parts))
+    shared = scratch.table(matching.shared_anchors(matching.ask_anchors(chunks, spec, parts), parts), "shared")
     scratch.tidy()
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return matching.verify_and_finish(chunks, shared, spec, scratch, parts, _finish, schema, repeated)
