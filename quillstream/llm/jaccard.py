@@ -6,9 +6,9 @@ are expanded to their members, pairs are filtered by size, by the places of the
 difference, and what remains is verified on whole sets.
 
 Prefixes take the rarest shingles first, by a count sketch of all documents (a fixed 4 MB), so passages that many
-documents share stay out of the index. Candidates come in two rounds: for each member of a list its first possible
-partner, and after the links found are joined, all possible pairs of a list that are not connected yet. So a large group
-of near copies costs about one verification a member and list, not one a pair, and no link between components is lost.
+documents share stay out of the index. Candidates come in rounds: for each member of a list its first possible partner;
+the same across the components that those links make; then all possible pairs of a list that are still not connected.
+So a large group of near copies costs some verifications a member, not one a pair, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -148,7 +148,7 @@ def shared_tokens(groups: DataFrame, parts: int) -> DataFrame:
     return packed.repartition(parts, "bucket").mapInArrow(find, "token long, id long, n int, pos int")
 
 
-def candidates(lists: DataFrame, bits: DataFrame, percent: int, comp: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def candidates(lists: DataFrame, bits: DataFrame, percent: int, comp: DataFrame | None = None, block: int = BLOCK, first: bool = True) -> DataFrame:
     """Pairs (a > b) of a list that may meet the threshold.
 
     lists: token, id, n, pos; bits: id, n, parity (null: unknown), joined last, as it is the widest. Two sets of sizes na
@@ -156,7 +156,8 @@ def candidates(lists: DataFrame, bits: DataFrame, percent: int, comp: DataFrame
     na - need and nb - need at most, and they differ in na + nb - 2 * need elements at most.
 
     Without ``comp``, a first look: of one list in eight, each member's first possible partner, which is linear in the
-    lists. With it all possible pairs of different components, whatever the first look has found.
+    lists. With it only members of different components are paired: each one's first possible partner with ``first``,
+    else all of them, whatever the looks before have found.
     """
     w = Window.partitionBy("token")
     if comp is None:
@@ -165,7 +166,6 @@ def candidates(lists: DataFrame, bits: DataFrame, percent: int, comp: DataFrame
         lists = lists.join(comp, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
         lists = lists.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_lo", F.min("c").over(w)).withColumn("_hi", F.max("c").over(w)).where("_lo <> _hi").drop("_lo", "_hi")
     parts = common.block_pairs(lists, "id", block).join(bits, ["id", "n"])
-    first_only = comp is None
 
     def pairs(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
         ends = np.append(starts[1:], t.num_rows)
@@ -192,7 +192,7 @@ def candidates(lists: DataFrame, bits: DataFrame, percent: int, comp: DataFrame
                 differ = np.bitwise_count(odd[a] ^ odd[b]).sum(1, dtype=np.int64)
                 on = (differ <= n[a] + n[b] - 2 * need) | unknown[a] | unknown[b]
                 a, b = a[on], b[on]
-                if first_only and len(a):
+                if first and len(a):
                     keep = np.union1d(np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1])
                     a, b = a[keep], b[keep]
                 out.append((np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b])))
@@ -270,12 +270,18 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text:
     # rows that share an id are one document, whatever their sets
     twice = members.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("a")).where("a <> b")
     same = members.join(twice.select("doc_id", "b"), "doc_id").select(F.col("class_id").alias("a"), "b").where("a <> b")
-    first = scratch.put(candidates(lists, bits, percent, None, block))
-    links = verify(first, d, scratch, k, percent)
-    near = common.components(links.unionByName(same), scratch)
-    second = scratch.put(candidates(lists, bits, percent, near, block).join(first, ["a", "b"], "left_anti"))
-    more = verify(second, d, scratch, k, percent) if second.limit(1).count() else second
-    comp = common.components(links.unionByName(more).unionByName(same), scratch)
+    links, near, tried = same, None, None
+    for first in (True, True, False):  # a look, a look across components, then all that is left
+        found = scratch.put(candidates(lists, bits, percent, near, block, first))
+        if near is not None and not found.limit(1).count():
+            break
+        new = found if tried is None else scratch.put(found.join(tried, ["a", "b"], "left_anti"))
+        if tried is not None and not new.limit(1).count():
+            continue
+        links = links.unionByName(verify(new, d, scratch, k, percent))
+        tried = new if tried is None else tried.unionByName(new)
+        near = common.components(links, scratch)
+    comp = near
     cls = members.select("doc_id", "n", "h1", "h2", "class_id").dropDuplicates(["doc_id", "n", "h1", "h2"])
     out = sigs.select("doc_id", "n", "h1", "h2").join(cls, ["doc_id", "n", "h1", "h2"], "left").join(comp.withColumnRenamed("id", "class_id"), "class_id", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "class_id", "doc_id").alias("component_id"))
