@@ -325,3 +325,25 @@ def script_language(col: Column) -> Column:
     letters, han = count_of(col, LETTER), count_of(col, r"\p{IsHan}")
     kana, hangul = count_of(col, r"[\p{IsHiragana}\p{IsKatakana}]"), count_of(col, r"\p{IsHangul}")
     return F.when(letters + 2 * han < 20, None).when(kana + han >= 0.5 * letters, F.when(kana > 0, F.lit("ja")).when(han >= 0.6 * letters, F.lit("zh"))).when(hangul >= 0.5 * letters, F.lit("ko"))
+
+
+def retryable(status: Column) -> Column:
+    """All failures but those that a repeat can't mend."""
+    return ~status.isin(401, 403, 404)
+
+
+#: Titles of reference lists in the languages at hand.
+REFERENCE_TITLES = ("references", "bibliography", "works cited", "literature", "literatur", "literaturverzeichnis", "bibliographie", "références", "bibliografía", "referencias")
+
+
+def is_reference_title(col: Column) -> Column:
+    """A known title of a list of references, of at most 40 characters, a number in front allowed."""
+    t = F.lower(F.regexp_replace(F.trim(col), r"^[0-9.]+\s+|[:.]$", ""))
+    return (F.length(F.trim(col)) <= 40) & t.isin(*REFERENCE_TITLES)
+
+
+def dictionary_entry(content: Column, selection: Column) -> Column:
+    """headword, phonetic, senses (at most 8 of pos and meaning) from the outermost JSON object of a reply; null without senses."""
+    e = F.from_json(F.regexp_extract(content, r"(\{[\s\S]*\})", 1), "headword STRING, phonetic STRING, senses ARRAY<STRUCT<pos: STRING, meaning: STRING>>")
+    senses = F.slice(F.filter(e["senses"], lambda s: F.trim(s["meaning"]) != ""), 1, 8)
+    return F.when(F.size(senses) > 0, F.struct(F.coalesce(F.nullif(F.trim(e["headword"]), F.lit("")), selection).alias("headword"), e["phonetic"].alias("phonetic"), senses.alias("senses")))

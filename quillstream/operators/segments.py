@@ -133,6 +133,14 @@ def stratified_sample(spark: SparkSession, sf_dir: str, limit: int = 100) -> Dat
     return d.orderBy("rn", "source").limit(limit).select("source", "doc_id", "rn")
 
 
+def footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters that each source holds, texts that it holds twice counted once, and how many of its documents others share."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", X.digest(F.col("text")).alias("digest"), "n_chars")
+    sources = d.groupBy("digest").agg(F.countDistinct("source").alias("sources"))
+    once = d.groupBy("source", "digest").agg(F.max("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("docs")).join(sources, "digest")
+    return once.groupBy("source").agg(F.sum("n_chars").alias("chars"), F.sum("docs").alias("docs"), F.sum(F.when(F.col("sources") > 1, F.col("docs")).otherwise(0)).alias("shared"))
+
+
 _SEG = "s AS (SELECT doc_id, i - 1 AS seg_no, trim(l[i], ' ') AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) AS r(i) WHERE trim(l[i], ' ') <> '')"
 _MASK = "regexp_replace(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ')), '[0-9]+', '#', 'g')"
 _CODE = "regexp_replace(regexp_replace(regexp_replace(text, '!\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'), '`[^`]*`', ' ', 'g'), 'https?://[^\\s]+', ' ', 'g')"
@@ -151,6 +159,7 @@ count(*) FILTER (length(text) BETWEEN 1 AND 16 AND (regexp_matches(lower(text),
 count(*) FILTER (len(regexp_extract_all(text, '\\p{{L}}')) >= 2 AND len(regexp_extract_all(text, '\\p{{Lu}}')) >= 2) AS n_acronym,
 count(*) FILTER (len(regexp_extract_all(text, '\\p{{L}}')) >= 2 AND NOT regexp_matches(text, '^https?://[^\\s]+$')) AS n_selectable, count(DISTINCT {_MASK}) AS n_masked,
 count(*) FILTER (regexp_matches(text, '^\\s*([0-9]+(?:\\.[0-9]+)*)\\.?\\s+\\p{{L}}')) AS n_numbered FROM s GROUP BY doc_id""",
+    "footprint": "WITH d AS (SELECT source, sha1(text) AS h, n_chars FROM documents), c AS (SELECT h, count(DISTINCT source) AS sources FROM d GROUP BY h), o AS (SELECT source, h, max(n_chars) AS n_chars, count(*) AS docs FROM d GROUP BY source, h) SELECT source, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(sum(docs) AS BIGINT) AS docs, CAST(sum(CASE WHEN sources > 1 THEN docs ELSE 0 END) AS BIGINT) AS shared FROM o JOIN c USING (h) GROUP BY source",
     "running_lines": f"WITH {_SEG}, m AS (SELECT {_MASK} AS masked, doc_id FROM s) SELECT sha1(masked) AS line_sha, count(DISTINCT doc_id) AS docs, count(*) AS times FROM m GROUP BY masked HAVING count(DISTINCT doc_id) >= 5",
     "doc_sample": f"""WITH {_SEG}, a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no) - 1 AS rn, greatest(1, count(*) OVER (PARTITION BY doc_id) // 40) AS k FROM s),
 p AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM a WHERE rn % k = 0)
@@ -163,6 +172,6 @@ SELECT doc_id, seg_no, suspect FROM c WHERE EXISTS (SELECT 1 FROM c x WHERE x.do
 SELECT source, doc_id, rn FROM d ORDER BY rn, source LIMIT 100""",
 }
 QUERIES = {
-    "doc_batches": doc_batches, "unique_segments": q_unique_segments, "digest_sharing": digest_sharing, "predicates": predicates, "running_lines": running_lines,
+    "doc_batches": doc_batches, "unique_segments": q_unique_segments, "digest_sharing": digest_sharing, "predicates": predicates, "running_lines": running_lines, "footprint": footprint,
     "doc_sample": doc_sample, "doc_excerpt": doc_excerpt, "neighbour_drop": neighbour_drop, "stratified_sample": stratified_sample,
 }

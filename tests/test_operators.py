@@ -118,6 +118,14 @@ def test_scalar_functions(spark):
     assert one(spark, ["Text 123", "Привет 456"], X.stray_scripts(A, B, F.array().cast("array<string>")), X.numbers_differ(A, B)) == [["Cyrillic"], True]
 
 
+def test_replies_and_titles(spark):
+    reply = 'Sure: {"headword": " ", "phonetic": "x", "senses": [{"pos": "n", "meaning": "a thing"}, {"pos": "v", "meaning": " "}]} done'
+    got = one(spark, [reply, "word", "no object"], X.dictionary_entry(A, B), X.dictionary_entry(C, B))
+    assert got[0].headword == "word" and [s.meaning for s in got[0].senses] == ["a thing"] and got[1] is None
+    assert one(spark, ["7 References", "Literatur:", "References to others"], *[X.is_reference_title(F.col(c)) for c in "abc"]) == [True, True, False]
+    assert [r[0] for r in spark.createDataFrame([(404,), (429,)], "s int").select(X.retryable(F.col("s"))).collect()] == [False, True]
+
+
 def test_asof_and_range_joins(spark):
     left = spark.createDataFrame([("k", 5, 1), ("k", 0, 2), ("m", 9, 3)], "k string, t int, i int")
     right = spark.createDataFrame([("k", 1, 10), ("k", 5, 20), ("k", 6, 30)], "k string, u int, v int")
