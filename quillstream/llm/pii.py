@@ -313,7 +313,7 @@ def train(data: list[tuple[list[str], list[int]]], rounds: int = 12, rate: float
 
 # --- texts -----------------------------------------------------------------------------------------------------------
 _BRACKETS = re.compile(r"[\[(](?:at|dot)[\])]", re.I)
-_TRIM_LEFT, _TRIM_RIGHT = "\"'([{<,;:", "\"')]}>,;:.!?"
+_TRIM_LEFT, _TRIM_RIGHT = "\"'([{<,;:#$%&*|", "\"')]}>,;:.!?#$%&*|"
 
 
 def find_spans(texts: pa.Array, field: Field) -> tuple[list[list[Span]], list[list[Span]]]:
