@@ -202,6 +202,53 @@ def foreign_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("doc_id", "grp").agg(F.min("seg_no").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
+def merged_pieces(df: DataFrame, key: list[str], dy: float = 2.0, gap: float = 12.0) -> DataFrame:
+    """Pieces of one line joined until nothing joins any more: a page at a time, which bounds the group.
+
+    Two pieces join if their tops are within ``dy`` and the gap between them is at most ``gap``; a joined piece has a new
+    extent, so it may reach further ones, which is why one pass is not enough.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["y0", "x0"]).to_dict("records")
+        changed = True
+        while changed:
+            changed = False
+            for i, a in enumerate(rows):
+                for j in range(len(rows)):
+                    b = rows[j]
+                    if i != j and abs(a["y0"] - b["y0"]) <= dy and 0 <= b["x0"] - a["x1"] <= gap:
+                        rows[i] = a | {"x1": max(a["x1"], b["x1"]), "y1": max(a["y1"], b["y1"]), "text": f"{a['text']} {b['text']}", "pieces": a["pieces"] + b["pieces"]}
+                        del rows[j]
+                        changed = True
+                        break
+                if changed:
+                    break
+        return pd.DataFrame(rows, columns=list(pdf.columns))
+
+    d = df.select(*key, "x0", "y0", "x1", "y1", "text").withColumn("pieces", F.lit(1))
+    return d.groupBy(*key).applyInPandas(run, d.schema)
+
+
+def same_line_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the first lines of each page, set in a row with gaps of 4 to 20, joined where the gaps allow."""
+    b = boxes(spark, sf_dir).where("ord % 40 < 6")
+    w = b.select("doc_id", "page", "y0", "y1", F.posexplode(F.slice(F.split("text", " "), 1, 6)).alias("i", "text"))
+    w = w.withColumn("x0", (F.col("i") * 30).cast("double")).withColumn("x1", F.col("x0") + 10 + F.length("text") % 17)
+    m = merged_pieces(w, ["doc_id", "page"])
+    return m.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("left"), F.sum("pieces").alias("pieces"))
+
+
+def prepared_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with three terms or more, the key of their stored glossary (by content), and the key of the listing of
+    their candidates, which is looked up where the first is not stored (contents whose digest begins with 8 to f)."""
+    d = table(spark, sf_dir, "documents")
+    t = mined(d).groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys")).where(F.size("keys") >= 3)
+    j = t.join(d.select("doc_id", X.digest(F.col("text")).alias("digest")), "doc_id")
+    listing = X.cache_key(F.lit("terms"), F.array_join("keys", "\n"))
+    return j.select("doc_id", F.size("keys").alias("terms"), F.when(F.substring("digest", 1, 1) < "8", F.col("digest")).otherwise(listing).alias("k"))
+
+
 _SEG = "s AS (SELECT doc_id, i - 1 AS seg_no, trim(l[i], ' ') AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) AS r(i) WHERE trim(l[i], ' ') <> '')"
 _BOX = f"""{_SEG}, z AS (SELECT *, seg_no % 17 = 0 AS spanning, CASE WHEN seg_no % 17 = 0 THEN 40.0::DOUBLE ELSE 40.0::DOUBLE + (seg_no % 2) * 270 END AS x0 FROM s),
 b AS (SELECT doc_id, CAST(seg_no // 40 AS INT) AS page, seg_no AS ord, x0, CAST(60 + (seg_no % 40) * 18 AS DOUBLE) AS y0, CASE WHEN spanning THEN 560.0::DOUBLE ELSE x0 + least(250, length(text)) END AS x1, CAST(74 + (seg_no % 40) * 18 AS DOUBLE) AS y1, CAST(9 + length(text) % 4 AS DOUBLE) AS size, text, spanning FROM z)"""
@@ -232,5 +279,5 @@ h AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY seg_no) AS BIGI
 }
 QUERIES = {
     "format_runs": format_runs, "note_groups": note_groups, "region_joins": region_joins, "number_columns": number_columns, "number_cells": number_cells, "voted_right": voted_right, "toc_pages": toc_pages, "leaders": leaders, "shared_lines": shared_lines, "next_text_page": next_text_page,
-    "column_anchors": column_anchors, "numbered_lists": numbered_lists, "lone_fonts": lone_fonts, "touching_rules": touching_rules, "box_check": box_check, "bookmarks": bookmarks, "term_definitions": term_definitions, "foreign_lines": foreign_lines,
+    "column_anchors": column_anchors, "numbered_lists": numbered_lists, "lone_fonts": lone_fonts, "touching_rules": touching_rules, "box_check": box_check, "bookmarks": bookmarks, "term_definitions": term_definitions, "same_line_merge": same_line_merge, "prepared_glossary": prepared_glossary, "foreign_lines": foreign_lines,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as X
-from quillstream.operators import layout, pairs, relational, segments, store, telemetry
+from quillstream.operators import layout, pairs, relational, rowwork, segments, store, telemetry
 from quillstream.plans import dataflow
 from quillstream.sources import documents, pages, records
 from quillstream.streaming import queries as streams
@@ -152,6 +152,12 @@ def test_rows_are_anchored_on_their_first_word(spark):
     assert sorted((r.y0, r.row_no) for r in layout.row_clusters(df, ["k"]).collect()) == [(0.0, 0), (3.0, 0), (5.0, 1), (8.0, 1)]
 
 
+def test_pieces_merge_to_a_fixpoint(spark):
+    df = spark.createDataFrame([("p", 0.0, 0.0, 10.0, 5.0, "a"), ("p", 15.0, 1.0, 20.0, 5.0, "b"), ("p", 30.0, 2.0, 40.0, 6.0, "c"), ("p", 0.0, 20.0, 5.0, 25.0, "d")], "k string, x0 double, y0 double, x1 double, y1 double, text string")
+    got = sorted((r.text, r.pieces) for r in rowwork.merged_pieces(df, ["k"]).collect())
+    assert got == [("a b c", 3), ("d", 1)]
+
+
 def test_nearest_smaller_value(spark):
     df = spark.createDataFrame([("d", i, v) for i, v in enumerate((1, 2, 3, 2, 1))], "k string, ord int, level int")
     got = [r.parent for r in pages.nearest_smaller(df, ["k"], "ord", "level").orderBy("ord").collect()]
