@@ -226,8 +226,8 @@ def verify(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, k: int, p
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    # rows repeated whole give equal sets; of rows that share an id but not a text, each counts
-    made = scratch.keep(docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(sets, "id long, s binary").dropDuplicates(["id", "s"]))
+    # kept by id, so that neither join shuffles the sets again; rows repeated whole give equal sets; of rows that share an id but not a text, each counts
+    made = scratch.keep(docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(sets, "id long, s binary").repartition("id").dropDuplicates(["id", "s"]))
     got = pairs.join(made.withColumnsRenamed({"id": "a", "s": "x"}), "a").join(made.withColumnsRenamed({"id": "b", "s": "y"}), "b")
     links = scratch.put(got.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct())
     made.unpersist()
