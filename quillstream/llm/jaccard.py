@@ -204,6 +204,18 @@ def candidates(lists: DataFrame, bits: DataFrame, percent: int, comp: DataFrame
     return common.grouped(parts, ["token", "bi", "bj"], pairs, "a long, b long", ["n", "id"]).where("a <> b").distinct()
 
 
+def six_bytes(s: np.ndarray) -> bytes:
+    """Sorted hashes by their upper 48 bits: within a pair of sets two shingles share them with a chance below 10^-9."""
+    return (s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_six(raw: object) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(b), 8), np.uint8)
+    out[:, :6] = b
+    return out.view(np.uint64).ravel()
+
+
 def verify(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc ids whose whole sets meet the threshold. Only documents in a pair are shuffled, as sets."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -214,13 +226,13 @@ def verify(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, k: int, p
             on = np.flatnonzero(flt.value.has(common.ids(batch.column(0))))
             if len(on):
                 part = batch.take(pa.array(on))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), k)], pa.binary())], names=["id", "s"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([six_bytes(s) for s in shingle_sets(part.column(1), k)], pa.binary())], names=["id", "s"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                s, t = from_six(x.as_buffer()), from_six(y.as_buffer())
                 both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(t) else 0
                 if 100 * both >= percent * (len(s) + len(t) - both) and both:
                     keep.append(i)
@@ -248,7 +260,7 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text:
     scratch = common.Scratch(spark, "jaccard")
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     wide = scratch.keep(signatures(d, k, percent, count_sketch(d, k)))
-    sigs = wide.drop("prefix", "parity")
+    sigs = scratch.keep(wide.drop("prefix", "parity"))
     full = sigs.where("n > 0 and doc_id is not null")
     classes = full.groupBy("n", "h1", "h2", "ph").agg(F.min("doc_id").alias("class_id"))
     members = scratch.put(full.join(classes, ["n", "h1", "h2", "ph"]).select("doc_id", "n", "h1", "h2", "ph", "class_id"))
@@ -267,6 +279,7 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text:
     # an id with two sets of one size has no bits: its pairs are not thinned out by them
     bits = wide.where("doc_id is not null").select(F.col("doc_id").alias("id"), "n", "parity").join(lists.select("id").distinct(), "id", "left_semi")
     bits = scratch.put(bits.groupBy("id", "n").agg(F.min("parity").alias("lo"), F.max("parity").alias("hi")).select("id", "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("parity")))
+    wide.unpersist()
     # rows that share an id are one document, whatever their sets
     twice = members.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("a")).where("a <> b")
     same = members.join(twice.select("doc_id", "b"), "doc_id").select(F.col("class_id").alias("a"), "b").where("a <> b")
