@@ -207,25 +207,32 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected(e)
 
 
-def fixpoint_dedup(spark: SparkSession, sf_dir: str, rounds: int = 10) -> DataFrame:
-    """Merges equal objects, points references at the first, and repeats until nothing merges: obj -> kept.
+def merged_to_fixpoint(objects: DataFrame, most: int = 60) -> DataFrame:
+    """(obj, class) of objects (obj, body, ref): what repeating "merge equal objects, point references at the first" ends in.
+
+    At the end two objects are one if their bodies and those of all that they refer to, in turn, are equal. A round takes
+    a digest of twice as many of those, so a chain of n references takes log2 n rounds; ``body`` is a digest already. A
+    reference to what is no object counts as it stands. ``most`` is reached only by references that go round.
+    """
+    o = settle(objects.select("obj", "body", "ref"))
+    for _ in range(most):
+        going = o.where("ref IS NOT NULL")
+        if going.limit(1).count() == 0:
+            return o.select("obj", F.col("body").alias("class"))
+        to = o.select(F.col("obj").alias("ref"), F.col("body").alias("rest"), F.col("ref").alias("next_"))
+        both = F.sha1(F.concat_ws("\n", F.lit(""), "body", F.coalesce("rest", F.col("ref").cast("string"))).cast("binary"))
+        o = settle(o.where("ref IS NULL").unionByName(going.join(to, "ref", "left").select("obj", both.alias("body"), F.col("next_").alias("ref"))))
+    raise RuntimeError("references go round")
+
+
+def fixpoint_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges equal objects, points references at the first, and repeats until nothing merges: the kept ones, with counts.
 
     Objects are the lines of documents (by text); each refers to the line before it. A merge makes further pairs equal.
     """
-    s = segments(table(spark, sf_dir, "documents")).where("seg_no < 12")
-    o = s.select((F.col("doc_id") * 100 + F.col("seg_no")).alias("obj"), F.sha1(F.col("text").cast("binary")).alias("body"), F.when(F.col("seg_no") > 0, F.col("doc_id") * 100 + F.col("seg_no") - 1).alias("ref"))
-    o = settle(o.withColumn("rep", F.col("obj")))
-    for _ in range(rounds):
-        # the reference's representative, then equal (body, reference) share the least object
-        target = o.select(F.col("obj").alias("ref"), F.col("rep").alias("to"))
-        keyed = o.join(target, "ref", "left").withColumn("to", F.coalesce("to", "ref", F.lit(-1)))
-        first = keyed.groupBy("body", "to").agg(F.min("obj").alias("low"))
-        new = settle(keyed.join(first, ["body", "to"]).select("obj", "body", "ref", "low", "rep"))
-        done = new.where("low <> rep").limit(1).count() == 0
-        o = new.select("obj", "body", "ref", F.col("low").alias("rep"))
-        if done:
-            break
-    return o.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    s = segments(table(spark, sf_dir, "documents")).withColumn("obj", F.col("doc_id") * (1 << 31) + F.col("seg_no"))
+    o = s.select("obj", F.sha1(F.col("text").cast("binary")).alias("body"), F.lag("obj").over(Window.partitionBy("doc_id").orderBy("seg_no")).alias("ref"))
+    return merged_to_fixpoint(o).groupBy("class").agg(F.min("obj").alias("rep"), F.count(F.lit(1)).alias("n")).drop("class")
 
 
 _SEG = "s AS (SELECT doc_id, i - 1 AS seg_no, trim(l[i], ' ') AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) AS r(i) WHERE trim(l[i], ' ') <> '')"
