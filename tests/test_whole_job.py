@@ -1,6 +1,8 @@
 """Queries that once read only a part of their input, against brute force on inputs that reach past it."""
 
 from collections import Counter
+from datetime import datetime
+from random import Random
 
 import pytest
 
@@ -35,6 +37,33 @@ def test_lines_merge_to_a_fixpoint_past_the_twelfth(spark, made):
     assert got == Counter(rep.values()) and got[1, 44] == 3
 
 
+def test_components_take_every_order(spark, made):
+    day = lambda i: datetime(1995, 1, 1 + i * 5 % 28)
+    rows = [(k, k * k % 9, day(k)) for k in range(1, 70)] + [(900, 77, day(0))]
+    of = {}
+    for k, c, d in sorted(rows, key=lambda r: (r[2], r[0])):
+        of.setdefault(c, []).append(k)
+    got = layout.components(spark, made("orders", rows, "o_orderkey long, o_custkey long, o_orderdate timestamp")).collect()
+    assert {(r.node, r.component) for r in got} == {(k, min(ks)) for ks in of.values() if len(ks) > 1 for k in ks}
+
+
+def test_connected_equals_a_search(spark):
+    rng = Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for start in sorted(near):
+        todo = [start]
+        while todo:
+            if (n := todo.pop()) not in want:
+                want[n] = start
+                todo += near[n]
+    assert {r.node: r.component for r in layout.connected(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
 def test_references_that_go_round_are_an_error(spark):
     o = spark.createDataFrame([(1, "a", 2), (2, "b", 1)], "obj long, body string, ref long")
     with pytest.raises(RuntimeError):
