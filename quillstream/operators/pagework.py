@@ -185,11 +185,11 @@ def verbatim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchor_pairs(spark: SparkSession, sf_dir: str, reach: int = 40) -> DataFrame:
-    """Each 'the' with the closest following 'of' within ``reach`` words of the document's first 400, if there is one.
+    """Each 'the' with the closest following 'of' within ``reach`` words, if there is one.
 
     The nearest following anchor is the first in a window over word places, so no pairs are made.
     """
-    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), 1, 400)).alias("pos", "w"))
+    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("pos", "w"))
     after = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(1, reach)
     hit = w.withColumn("right_", F.min(F.when(F.col("w") == "of", F.col("pos"))).over(after))
     return hit.where("w = 'the' AND right_ IS NOT NULL").select("doc_id", "pos", (F.col("right_") - F.col("pos")).alias("gap"))

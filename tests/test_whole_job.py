@@ -6,7 +6,7 @@ from random import Random
 
 import pytest
 
-from quillstream.operators import layout
+from quillstream.operators import layout, pagework
 
 
 @pytest.fixture
@@ -64,6 +64,19 @@ def test_connected_equals_a_search(spark):
     assert {r.node: r.component for r in layout.connected(spark.createDataFrame(edges, "a long, b long")).collect()} == want
 
 
+def test_anchor_pairs_past_four_hundred_words(spark, made):
+    rng = Random(4)
+    texts = [" ".join(rng.choices(["the", "Of", "x"], [1, 1, rng.choice([5, 80])], k=n)) for n in (30, 900, 2000)]
+    want = set()
+    for d, t in enumerate(texts, 1):
+        w = t.lower().split()
+        for i, x in enumerate(w):
+            if x == "the" and "of" in w[i + 1 : i + 41]:
+                want.add((d, i, w.index("of", i + 1) - i))
+    got = [tuple(r) for r in pagework.anchor_pairs(spark, documents(made, *texts)).select("doc_id", "pos", "gap").collect()]
+    assert set(got) == want and len(got) == len(want) and max(pos for _, pos, _ in got) > 1000
+
+
 def test_references_that_go_round_are_an_error(spark):
     o = spark.createDataFrame([(1, "a", 2), (2, "b", 1)], "obj long, body string, ref long")
     with pytest.raises(RuntimeError):
