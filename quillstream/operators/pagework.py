@@ -170,10 +170,15 @@ def part_plan(spark: SparkSession, sf_dir: str, parts: int = 5) -> DataFrame:
 
 
 def verbatim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a document matched one to one with those of a changed copy: equal ones by rank, the rest by place where
-    their counts agree."""
-    s = segments(table(spark, sf_dir, "documents")).where("seg_no < 40")
+    """Lines of a document matched with those of a changed copy."""
+    s = segments(table(spark, sf_dir, "documents"))
     new = s.where("seg_no % 10 <> 3 OR seg_no % 20 = 3").withColumn("text", F.when(F.col("seg_no") % 7 == 5, F.upper("text")).otherwise(F.col("text")))
+    return matched_lines(s, new)
+
+
+def matched_lines(s: DataFrame, new: DataFrame) -> DataFrame:
+    """(doc_id, old, new, how): equal lines one to one by rank, the rest by place where their counts agree; where they
+    don't, a further copy of an old line goes with the first of that text again."""
     rank = lambda d: d.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("seg_no")))
     a, b = rank(s).select("doc_id", "text", "k", F.col("seg_no").alias("old")), rank(new).select("doc_id", "text", "k", F.col("seg_no").alias("new"))
     same = a.join(b, ["doc_id", "text", "k"]).select("doc_id", "old", "new")
@@ -181,7 +186,9 @@ def verbatim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = place(a.select("doc_id", "old").join(same, ["doc_id", "old"], "left_anti"), "old")
     right = place(b.select("doc_id", "new").join(same, ["doc_id", "new"], "left_anti"), "new")
     rest = left.join(right, ["doc_id", "p", "n"]).select("doc_id", "old", "new")
-    return same.withColumn("how", F.lit("equal")).unionByName(rest.withColumn("how", F.lit("place")))
+    first = a.where("k = 1").select("doc_id", "text", "old")
+    again = b.join(same, ["doc_id", "new"], "left_anti").join(rest, ["doc_id", "new"], "left_anti").join(first, ["doc_id", "text"]).select("doc_id", "old", "new")
+    return same.withColumn("how", F.lit("equal")).unionByName(rest.withColumn("how", F.lit("place"))).unionByName(again.withColumn("how", F.lit("again")))
 
 
 def anchor_pairs(spark: SparkSession, sf_dir: str, reach: int = 40) -> DataFrame:

@@ -79,7 +79,7 @@ def sequence_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def plan_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents against the same without page labels and with each 9th line doubled."""
-    s = segments(table(spark, sf_dir, "documents")).where("seg_no < 60")
+    s = segments(table(spark, sf_dir, "documents"))
     twice = F.explode(F.when(F.col("seg_no") % 9 == 4, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     new = s.where("seg_no % 13 <> 7").withColumn("_copy", twice).withColumn("seg_no", F.col("seg_no") * 10 + F.col("_copy")).drop("_copy")
     return sequence_diff(s, new, "doc_id")
@@ -87,8 +87,8 @@ def plan_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plan_multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order-insensitive part of the same comparison, as sets with counts."""
-    s = segments(table(spark, sf_dir, "documents")).where("seg_no < 60").select("doc_id", "text")
-    new = segments(table(spark, sf_dir, "documents")).where("seg_no < 60 AND seg_no % 13 <> 7").select("doc_id", "text")
+    s = segments(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    new = segments(table(spark, sf_dir, "documents")).where("seg_no % 13 <> 7").select("doc_id", "text")
     gone = s.exceptAll(new).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit("old"))
     return gone.unionByName(new.exceptAll(s).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit("new")))
 

@@ -6,7 +6,7 @@ from random import Random
 
 import pytest
 
-from quillstream.operators import layout, pagework
+from quillstream.operators import layout, pagework, scoring
 
 
 @pytest.fixture
@@ -77,6 +77,46 @@ def test_anchor_pairs_past_four_hundred_words(spark, made):
     assert set(got) == want and len(got) == len(want) and max(pos for _, pos, _ in got) > 1000
 
 
+def verbatim(old, new):
+    """The reference's rule on (place, text) lists."""
+    out, unused = {}, list(range(len(old)))
+    for i, (_, x) in enumerate(new):
+        if (j := next((j for j in unused if old[j][1] == x), None)) is not None:
+            out[i] = (j, "equal")
+            unused.remove(j)
+    rest, texts = [i for i in range(len(new)) if i not in out], [x for _, x in old]
+    if len(rest) == len(unused):
+        out |= {i: (j, "place") for i, j in zip(rest, unused, strict=True)}
+    else:
+        out |= {i: (texts.index(new[i][1]), "again") for i in rest if new[i][1] in texts}
+    return {(old[j][0], new[i][0], how) for i, (j, how) in out.items()}
+
+
+def test_lines_are_compared_past_the_sixtieth(spark, made):
+    rng = Random(5)
+    texts = [[rng.choice("abcdefgh") + str(rng.randrange(k)) for _ in range(n)] for n, k in ((150, 1), (130, 90), (20, 3))]
+    sf = documents(made, *map("\n".join, texts))
+    multi, match, counts = {}, set(), {}
+    for d, t in enumerate(texts, 1):
+        kept = [(i, x) for i, x in enumerate(t) if i % 13 != 7]
+        multi[d] = sum((Counter(t) - Counter(x for _, x in kept)).values())
+        new = [x for i, x in kept for _ in range(2 if i % 9 == 4 else 1)]
+        counts[d] = (len(t), len(new))
+        match |= {(d, *m) for m in verbatim(list(enumerate(t)), [(i, x.upper() if i % 7 == 5 else x) for i, x in enumerate(t) if i % 10 != 3 or i % 20 == 3])}
+    assert {r.doc_id: r.n for r in scoring.plan_multiset_diff(spark, sf).where("side = 'old'").collect()} == multi
+    assert {tuple(r) for r in pagework.verbatim_match(spark, sf).select("doc_id", "old", "new", "how").collect()} == match
+    ops = {(r.doc_id, r.op): r.n for r in scoring.plan_diff(spark, sf).collect()}
+    assert {d: (ops[d, "equal"] + ops[d, "delete"], ops[d, "equal"] + ops[d, "insert"]) for d in counts} == counts
+
+
+def test_further_copies_of_a_matched_line(spark):
+    cases = [("aab", "aaaab"), ("abc", "xaa"), ("abc", "aXb"), ("ab", "aabbq"), ("aabc", "bbd"), ("a", "aaa"), ("", "a")]
+    side = lambda k: spark.createDataFrame([(d, i, x) for d, c in enumerate(cases) for i, x in enumerate(c[k])], "doc_id long, seg_no int, text string")
+    want = {(d, *m) for d, (a, b) in enumerate(cases) for m in verbatim(list(enumerate(a)), list(enumerate(b)))}
+    got = [tuple(r) for r in pagework.matched_lines(side(0), side(1)).select("doc_id", "old", "new", "how").collect()]
+    assert set(got) == want and len(got) == len(want) and (0, 0, 2, "again") in want
+
+
 def test_references_that_go_round_are_an_error(spark):
     o = spark.createDataFrame([(1, "a", 2), (2, "b", 1)], "obj long, body string, ref long")
     with pytest.raises(RuntimeError):
