@@ -96,8 +96,8 @@ def toc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents entries with dot leaders and a page number, taken apart again."""
-    s = segments(table(spark, sf_dir, "documents")).where("seg_no < 20")
-    entry = F.concat(F.regexp_replace(F.substring("text", 1, 40), "[ .0-9]+$", ""), F.when(F.col("seg_no") % 3 == 0, F.concat(F.lit(" ..... "), (F.col("seg_no") * 7).cast("string"))).otherwise(F.lit("")))
+    s = segments(table(spark, sf_dir, "documents"))
+    entry = F.concat(F.regexp_replace("text", "[ .0-9]+$", ""), F.when(F.col("seg_no") % 3 == 0, F.concat(F.lit(" ..... "), (F.col("seg_no") * 7).cast("string"))).otherwise(F.lit("")))
     s = s.withColumn("entry", entry)
     p = r"^(.*?)[ .]{3,}([0-9]+)$"
     return s.select("doc_id", "seg_no", F.sha1(F.when(F.col("entry").rlike(p), F.regexp_extract("entry", p, 1)).otherwise(F.col("entry")).cast("binary")).alias("title_sha"), F.regexp_extract("entry", p, 2).alias("page"))
@@ -133,7 +133,7 @@ def numbered_lists(spark: SparkSession, sf_dir: str, least: int = 4) -> DataFram
 
     The expected number is a state that a line moves on, so it is a fold over a document's lines (a bounded group).
     """
-    s = segments(table(spark, sf_dir, "documents")).where("seg_no < 200").withColumn("number", F.when(F.col("seg_no") % 11 < 7, F.col("seg_no") % 11 + 1))
+    s = segments(table(spark, sf_dir, "documents")).withColumn("number", F.when(F.col("seg_no") % 11 < 7, F.col("seg_no") % 11 + 1))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("seg_no")

@@ -2,11 +2,12 @@
 
 from collections import Counter
 from datetime import datetime
+from hashlib import sha1
 from random import Random
 
 import pytest
 
-from quillstream.operators import layout, pagework, scoring
+from quillstream.operators import layout, pagework, pairs, rowwork, scoring
 
 
 @pytest.fixture
@@ -117,6 +118,18 @@ def test_further_copies_of_a_matched_line(spark):
     assert set(got) == want and len(got) == len(want) and (0, 0, 2, "again") in want
 
 
+def test_lists_entries_and_slots_of_long_documents(spark, made):
+    lines = [f"entry {i} " + "of a long title " * (i % 6) + "end 12 .." for i in range(430)]
+    sf = documents(made, "\n".join(lines))
+    # 7 numbers begin every 11 lines; 430 lines end with a list of one, which is too short
+    lists = rowwork.numbered_lists(spark, sf).collect()
+    assert sorted((r.first, r["last"], r.n) for r in lists) == [(i, i + 6, 7) for i in range(0, 429, 11)]
+    titles = {r.seg_no: (r.title_sha, r.page) for r in rowwork.leaders(spark, sf).collect()}
+    assert titles == {i: (sha1(t.rstrip(" .0123456789").encode()).hexdigest(), str(i * 7) if i % 3 == 0 else "") for i, t in enumerate(lines)}
+    slots = {r.seg_no: (r.kept, r.alien) for r in pairs.slot_checks(spark, sf).collect()}
+    assert slots == {i: (i % 3 == 0, int(i % 3 == 1)) for i in range(430)}
+
+
 def test_references_that_go_round_are_an_error(spark):
     o = spark.createDataFrame([(1, "a", 2), (2, "b", 1)], "obj long, body string, ref long")
     with pytest.raises(RuntimeError):
