@@ -116,8 +116,8 @@ def suppressed(df: DataFrame, key: list[str], most: float = 0.45) -> DataFrame:
 
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = detections(spark, sf_dir, "ref").unionByName(detections(spark, sf_dir, "new"))
-    b = b.where("page = 0 AND ord < 30").withColumn("score", ((F.col("ord") * 37 + F.col("x0").cast("int")) % 101).cast("double") / 101)
-    return suppressed(b.select("doc_id", "class", "ord", "x0", "y0", "x1", "y1", "score"), ["doc_id", "class"]).select("doc_id", "class", "ord", "score")
+    b = b.withColumn("score", ((F.col("ord") * 37 + F.col("x0").cast("int")) % 101).cast("double") / 101)
+    return suppressed(b.select("doc_id", "page", "class", "ord", "x0", "y0", "x1", "y1", "score"), ["doc_id", "page", "class"]).select("doc_id", "class", "ord", "score")
 
 
 def column_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,14 +170,14 @@ def row_clusters(df: DataFrame, key: list[str], tol: float = 4.0) -> DataFrame:
 
 
 def word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and cells of the first page's words: a cell ends where the next word is more than 8 away."""
-    b = boxes(spark, sf_dir).where("page = 0")
-    w = b.select("doc_id", "ord", F.posexplode(F.slice(F.split("text", " "), 1, 12)).alias("i", "word"), "x0", "y0")
+    """Rows and cells of each page's words: a cell ends where the next word is more than 8 away."""
+    b = boxes(spark, sf_dir)
+    w = b.select("doc_id", "page", "ord", F.posexplode(F.split("text", " ")).alias("i", "word"), "x0", "y0")
     w = w.withColumn("x0", F.col("x0") + F.col("i") * 20).withColumn("x1", F.col("x0") + 8 + F.length("word") % 9).withColumn("y0", F.col("y0") + F.col("i") % 3)
-    r = row_clusters(w, ["doc_id"])
-    o = Window.partitionBy("doc_id", "row_no").orderBy("x0", "ord", "i")
+    r = row_clusters(w, ["doc_id", "page"])
+    o = Window.partitionBy("doc_id", "page", "row_no").orderBy("x0", "ord", "i")
     r = r.withColumn("cut", (F.col("x0") - F.lag("x1").over(o) > 8).cast("int"))
-    return r.groupBy("doc_id", "row_no").agg(F.count(F.lit(1)).alias("words"), (F.sum(F.coalesce("cut", F.lit(0))) + 1).alias("cells"))
+    return r.groupBy("doc_id", "page", "row_no").agg(F.count(F.lit(1)).alias("words"), (F.sum(F.coalesce("cut", F.lit(0))) + 1).alias("cells"))
 
 
 def connected(edges: DataFrame, most: int = 50) -> DataFrame:

@@ -5,6 +5,7 @@ As in ``pagework``, boxes are derived from lines; numbers come from the lines' o
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -210,30 +211,31 @@ def merged_pieces(df: DataFrame, key: list[str], dy: float = 2.0, gap: float = 1
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["y0", "x0"]).to_dict("records")
-        changed = True
-        while changed:
-            changed = False
-            for i, a in enumerate(rows):
-                for j in range(len(rows)):
-                    b = rows[j]
-                    if i != j and abs(a["y0"] - b["y0"]) <= dy and 0 <= b["x0"] - a["x1"] <= gap:
-                        rows[i] = a | {"x1": max(a["x1"], b["x1"]), "y1": max(a["y1"], b["y1"]), "text": f"{a['text']} {b['text']}", "pieces": a["pieces"] + b["pieces"]}
-                        del rows[j]
-                        changed = True
-                        break
-                if changed:
+        pdf = pdf.sort_values(["y0", "x0"], ignore_index=True)
+        x0, y0, x1, y1, pieces = (pdf[c].to_numpy().copy() for c in ("x0", "y0", "x1", "y1", "pieces"))
+        texts, there = [[t] for t in pdf["text"]], np.ones(len(pdf), bool)
+        # tops and left edges stay, so a piece that takes no other one never will: each is settled once, in order
+        low, high = np.searchsorted(y0, y0 - 2 * dy, "left"), np.searchsorted(y0, y0 + 2 * dy, "right")
+        for i in range(len(pdf)):
+            near = slice(low[i], high[i])
+            while there[i]:
+                hit = there[near] & (np.abs(y0[near] - y0[i]) <= dy) & (x0[near] >= x1[i]) & (x0[near] - x1[i] <= gap)
+                hit[i - low[i]] = False
+                if not hit.any():
                     break
-        return pd.DataFrame(rows, columns=list(pdf.columns))
+                j = int(low[i] + hit.argmax())
+                x1[i], y1[i], pieces[i], there[j] = max(x1[i], x1[j]), max(y1[i], y1[j]), pieces[i] + pieces[j], False
+                texts[i] += texts[j]
+        return pdf.assign(x1=x1, y1=y1, pieces=pieces, text=[" ".join(t) for t in texts])[there]
 
     d = df.select(*key, "x0", "y0", "x1", "y1", "text").withColumn("pieces", F.lit(1))
     return d.groupBy(*key).applyInPandas(run, d.schema)
 
 
 def same_line_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of the first lines of each page, set in a row with gaps of 4 to 20, joined where the gaps allow."""
-    b = boxes(spark, sf_dir).where("ord % 40 < 6")
-    w = b.select("doc_id", "page", "y0", "y1", F.posexplode(F.slice(F.split("text", " "), 1, 6)).alias("i", "text"))
+    """The words of each page's lines, set in a row with gaps of 4 to 20, joined where the gaps allow."""
+    b = boxes(spark, sf_dir)
+    w = b.select("doc_id", "page", "y0", "y1", F.posexplode(F.split("text", " ")).alias("i", "text"))
     w = w.withColumn("x0", (F.col("i") * 30).cast("double")).withColumn("x1", F.col("x0") + 10 + F.length("text") % 17)
     m = merged_pieces(w, ["doc_id", "page"])
     return m.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("left"), F.sum("pieces").alias("pieces"))

@@ -130,6 +130,44 @@ def test_lists_entries_and_slots_of_long_documents(spark, made):
     assert slots == {i: (i % 3 == 0, int(i % 3 == 1)) for i in range(430)}
 
 
+def test_page_operators_take_every_page_line_and_word(spark, made):
+    lines = [" ".join("w" * (1 + (i * 7 + k * 5) % 19) for k in range(1 + i % 23)) for i in range(130)]
+    sf = documents(made, "\n".join(lines))
+    boxes = sorted(((r.page, r["class"], r.ord, r.x0, r.y0, r.x1, r.y1) for w in ("ref", "new") for r in layout.detections(spark, sf, w).collect()), key=lambda b: (-((b[2] * 37 + int(b[3])) % 101), b[2]))
+    kept = []
+    for b in boxes:
+        size = lambda q: (q[5] - q[3]) * (q[6] - q[4])
+        both = lambda q: max(0, min(q[5], b[5]) - max(q[3], b[3])) * max(0, min(q[6], b[6]) - max(q[4], b[4]))  # noqa: B023, E731
+        if not any(q[:2] == b[:2] and both(q) / (size(q) + size(b) - both(q)) > 0.45 for q in kept):
+            kept.append(b)
+    assert sorted((r["class"], r.ord) for r in layout.nms(spark, sf).collect()) == sorted(b[1:3] for b in kept)
+    words = [len(x.split()) for x in lines]
+    rows = layout.word_rows(spark, sf).collect()
+    assert {p: sum(r.words for r in rows if r.page == p) for p in range(4)} == {p: sum(words[40 * p : 40 * p + 40]) for p in range(4)}
+    merged = {r.page: (r.left, r.pieces) for r in rowwork.same_line_merge(spark, sf).collect()}
+    # a gap of 20 - length % 17 after a word: over 12 keeps it apart from the next
+    apart = [1 + sum(len(w) % 17 < 8 for w in x.split()[:-1]) for x in lines]
+    assert merged == {p: (sum(apart[40 * p : 40 * p + 40]), sum(words[40 * p : 40 * p + 40])) for p in range(4)}
+
+
+def test_pieces_merge_as_by_passes_over_all_pairs(spark):
+    rng = Random(6)
+    boxes = [(p, float(rng.randrange(90)), float(rng.randrange(9)), 0.0, 0.0, f"t{i}") for p in range(6) for i in range(40)]
+    boxes = [(p, x, y, x + rng.randrange(1, 9), y + rng.randrange(3, 9), t) for p, x, y, _, _, t in {(b[0], b[1], b[2]): b for b in boxes}.values()]
+    want = []
+    for p in range(6):
+        rows, changed = sorted((list(b[1:]) for b in boxes if b[0] == p), key=lambda r: (r[1], r[0])), True
+        while changed:
+            pair = next(((i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if i != j and abs(a[1] - b[1]) <= 2 and 0 <= b[0] - a[2] <= 12), None)
+            if changed := pair is not None:
+                a, b = rows[pair[0]], rows[pair[1]]
+                a[2:] = [max(a[2], b[2]), max(a[3], b[3]), f"{a[4]} {b[4]}"]
+                del rows[pair[1]]
+        want += [(p, *r) for r in rows]
+    df = spark.createDataFrame(boxes, "p int, x0 double, y0 double, x1 double, y1 double, text string")
+    assert sorted(tuple(r)[:6] for r in rowwork.merged_pieces(df, ["p"]).collect()) == sorted(want)
+
+
 def test_references_that_go_round_are_an_error(spark):
     o = spark.createDataFrame([(1, "a", 2), (2, "b", 1)], "obj long, body string, ref long")
     with pytest.raises(RuntimeError):
