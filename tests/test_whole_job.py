@@ -7,7 +7,7 @@ from random import Random
 
 import pytest
 
-from quillstream.operators import layout, pagework, pairs, rowwork, scoring
+from quillstream.operators import layout, pagework, pairs, rowwork, scoring, terms
 
 
 @pytest.fixture
@@ -168,6 +168,22 @@ def test_pieces_merge_as_by_passes_over_all_pairs(spark):
     assert sorted(tuple(r)[:6] for r in rowwork.merged_pieces(df, ["p"]).collect()) == sorted(want)
 
 
+def test_the_glossary_takes_every_term(spark, made):
+    names = [f"alpha{i} beta{i}" for i in range(150)]
+    sf = documents(made, *["\n".join([n] * 3) for n in names], "so " + names[140])
+    want = {(n.upper(), "user", 0) if k % 3 == 0 else (n, n.upper(), 1) for k, n in enumerate(sorted(names), 1)}
+    got = terms.glossary_union(spark, sf).collect()
+    assert len(got) == 150 and {tuple(r) for r in got} == want
+    assert {tuple(r) for r in terms.glossary_mentions(spark, sf).collect()} == {(i + 1, n) for i, n in enumerate(names)} | {(151, names[140])}
+
+
+def test_places_in_order(spark):
+    rows = [((i * 37) % 11, f"k{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "n int, k string").repartition(7)
+    got = {r.k: r.ord for r in terms.numbered(df, df.n.desc(), df.k).collect()}
+    assert got == {k: i for i, (_, k) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])), 1)}
+
+
 def test_references_that_go_round_are_an_error(spark):
     o = spark.createDataFrame([(1, "a", 2), (2, "b", 1)], "obj long, body string, ref long")
     with pytest.raises(RuntimeError):
