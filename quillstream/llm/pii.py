@@ -1,15 +1,16 @@
 """Personal data: fixed patterns for four kinds, and a linear-chain conditional random field that adds spans.
 
 The field runs over word-shape features. It is trained on the driver from a small labelled table that ``examples``
-builds from templates, and decoded by Viterbi in numpy batches. Words without a digit, an ``@`` or a spelt-out ``at``
-or ``dot`` in brackets (signal words) can't be or bear on a span unless a signal word stands within REACH words, so the
-field decodes each run of such neighbourhoods, of any length, in every text.
+builds from templates, and decoded by Viterbi in numpy batches, over all words of every text: a word for which O leads
+every other label by more than any transitions could repay is O on the best path, and the path is sought in the runs
+between such words.
 
 Kinds: email, ip, card, phone (the base kinds) and secret (keys, passwords, tokens), which only the field finds.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -22,7 +23,6 @@ from quillstream.llm import common
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *KINDS)
-REACH = 3
 BITS = 15
 
 # Patterns fixed by the contract.
@@ -155,10 +155,16 @@ def examples(n: int = 1500, seed: int = 5) -> list[tuple[list[str], list[int]]]:
 _SQUEEZE = re.compile(r"(.)\1+")
 
 
+_ASCII = {c: "d" if 48 <= c < 58 else "X" if chr(c).isupper() else "x" if chr(c).isalpha() else chr(c) for c in range(128)}
+
+
 def shape(w: str) -> str:
+    if w.isascii():
+        return w[:80].translate(_ASCII)
     return "".join("d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in w[:80])
 
 
+@functools.lru_cache(100_000)
 def _hash(s: str) -> int:
     h = 2166136261
     for b in s.encode("utf-8", "replace"):
@@ -170,7 +176,7 @@ def word_features(w: str) -> list[str]:
     """Shape features of one word; the sequence adds those of its neighbours."""
     core = w.strip(".,;:!?\"'()[]")
     s = shape(core)
-    nd = sum(c == "d" for c in s)
+    nd = s.count("d")
     hexa = len(core) >= 12 and all(c in "0123456789abcdefABCDEF" for c in core)
     out = ["b", "q" + _SQUEEZE.sub(r"\1", s)[:12], f"n{min(nd, 20)}", f"l{min(len(core), 64) // 4}"]
     if len(s) <= 10:
@@ -196,21 +202,18 @@ def word_features(w: str) -> list[str]:
     return out
 
 
-_cache: dict[str, np.ndarray] = {}
+#: A word's features as its own, as those of the word before, after and two before; what stands beyond a text's ends.
+TAGS, EDGE = ("", "<", ">", "<<"), "\n"
+
+
+def _ids(tag: str, w: str) -> np.ndarray:
+    fs = word_features(w)[1:] if w != EDGE else ["edge"]
+    return np.array([_hash(tag + f) for f in (fs if tag else ["b", *fs])], np.int32)
 
 
 def feature_ids(ws: list[str]) -> list[np.ndarray]:
-    out = []
-    for i, w in enumerate(ws):
-        for tag, j in (("", i), ("<", i - 1), (">", i + 1), ("<<", i - 2)):
-            key = tag + "|" + (ws[j] if 0 <= j < len(ws) else "\0")
-            if key not in _cache:
-                if len(_cache) > 200_000:
-                    _cache.clear()
-                fs = word_features(ws[j])[1:] if 0 <= j < len(ws) else ["edge"]
-                _cache[key] = np.array([_hash(tag + f) for f in (fs if tag else ["b", *fs])], np.int32)
-            out.append(_cache[key])
-    return [np.concatenate(out[4 * i : 4 * i + 4]) for i in range(len(ws))]
+    padded = [EDGE, EDGE, *ws, EDGE]
+    return [np.concatenate([_ids(tag, padded[i + 2 + j]) for tag, j in zip(TAGS, (0, -1, 1, -2), strict=True)]) for i in range(len(ws))]
 
 
 class Field:
@@ -219,14 +222,54 @@ class Field:
     def __init__(self) -> None:
         n = len(LABELS)
         self.emit, self.move, self.first = np.zeros((1 << BITS, n)), np.zeros((n, n)), np.zeros(n)
+        self.known: dict[str, int] = {}
+        self.shares = np.zeros((0, len(TAGS), n))
 
     def emissions(self, ws: list[str]) -> np.ndarray:
-        f = feature_ids(ws)
-        lens = np.array([len(x) for x in f])
-        return np.add.reduceat(self.emit[np.concatenate(f)], np.concatenate([[0], np.cumsum(lens)[:-1]]), axis=0)
+        return self.emissions_of([ws])[0]
+
+    def emissions_of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Emissions of the words of each text: a word's share in its own and its neighbours' is looked up once."""
+        if len(self.known) > 600_000:
+            self.known.clear()
+        flat = [w for ws in texts for w in (EDGE, EDGE, *ws, EDGE)]
+        if new := set(flat) - self.known.keys():
+            features = [["b", *word_features(w)[1:]] if w != EDGE else ["b", "edge"] for w in new]
+            names = {f: k for k, f in enumerate({f for fs in features for f in fs})}
+            table = self.emit[[[_hash(tag + f) for tag in TAGS] for f in names]]
+            table[names["b"], 1:] = 0  # the bias is the word's own
+            lens = np.cumsum([0, *map(len, features)])
+            rows = np.add.reduceat(table[[names[f] for fs in features for f in fs]], lens[:-1])
+            self.shares = np.concatenate([self.shares[: len(self.known)], rows])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        e = self.shares[at, 0]
+        e[1:] += self.shares[at[:-1], 1]
+        e[:-1] += self.shares[at[1:], 2]
+        e[2:] += self.shares[at[:-2], 3]
+        ends = np.cumsum([len(ws) + 3 for ws in texts])
+        return [e[b - len(ws) - 1 : b - 1] for b, ws in zip(ends.tolist(), texts, strict=True)]
+
+    def decode(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The best labels of the words of each text."""
+        gain = np.maximum((self.move - self.move[:, :1]).max(0), self.first - self.first[0]) + np.maximum((self.move - self.move[:1]).max(1), 0)
+        out, runs, where = [], [], []
+        for i, e in enumerate(self.emissions_of(texts)):
+            out.append(np.zeros(len(e), np.int8))
+            unsure = (e[:, :1] - e[:, 1:] <= gain[1:] + 1e-6).any(1)
+            turns = np.flatnonzero(np.diff(np.concatenate([[0], unsure, [0]])))
+            for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
+                run = e[a:b].copy()
+                run[0] += self.move[0] if a else self.first
+                run[-1] += self.move[:, 0] if b < len(e) else 0
+                runs.append(run)
+                where.append((i, a, b))
+        for path, (i, a, b) in zip(self.paths(runs), where, strict=True):
+            out[i][a:b] = path
+        return out
 
-    def decode(self, runs: list[list[str]]) -> list[np.ndarray]:
-        """Viterbi of many sequences at once, batched by length."""
+    def paths(self, runs: list[np.ndarray]) -> list[np.ndarray]:
+        """Viterbi of many runs of emissions at once, batched by length."""
         out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(runs)
         order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
         i = 0
@@ -239,10 +282,9 @@ class Field:
             lens = np.array([len(runs[k]) for k in part])
             e = np.zeros((len(part), lens.max(), len(LABELS)))
             for r, k in enumerate(part):
-                if lens[r]:
-                    e[r, : lens[r]] = self.emissions(runs[k])
+                e[r, : lens[r]] = runs[k]
             back = np.zeros(e.shape, np.int8)
-            state = e[:, 0] + self.first if lens.max() else e.sum(1)
+            state = e[:, 0]
             for t in range(1, e.shape[1]):
                 options = state[:, :, None] + self.move
                 back[:, t] = options.argmax(1)
@@ -312,7 +354,6 @@ def train(data: list[tuple[list[str], list[int]]], rounds: int = 12, rate: float
 
 
 # --- texts -----------------------------------------------------------------------------------------------------------
-_BRACKETS = re.compile(r"[\[(](?:at|dot)[\])]", re.I)
 _TRIM_LEFT, _TRIM_RIGHT = "\"'([{<,;:#$%&*|", "\"')]}>,;:.!?#$%&*|"
 
 
@@ -326,44 +367,36 @@ def find_spans(texts: pa.Array, field: Field) -> tuple[list[list[Span]], list[li
     brackets = np.flatnonzero(pc.match_substring_regex(pc.coalesce(texts, ""), r"(?i)[\[(](?:at|dot)[\])]").to_numpy(zero_copy_only=False))
     base: list[list[Span]] = [[] for _ in range(len(texts))]
     every: list[list[Span]] = [[] for _ in range(len(texts))]
-    runs: list[list[str]] = []
-    where: list[tuple[int, list[tuple[int, int]]]] = []
     for i in np.union1d(has, brackets).astype(int).tolist():
-        text = texts[i].as_py() or ""
-        base[i] = base_spans(text)
+        base[i] = base_spans(texts[i].as_py() or "")
         every[i] = list(base[i])
-        spots = sorted({m.start() for m in _SIGNAL.finditer(text)} | {m.start() for m in _BRACKETS.finditer(text)})
-        for words in neighbourhoods(text, spots):
-            runs.append([text[a:b] for a, b in words])
-            where.append((i, words))
-    for labels, (i, words) in zip(field.decode(runs), where, strict=True):
-        t = 0
-        while t < len(labels):
-            k = int(labels[t])
-            u = t + 1
-            while u < len(labels) and labels[u] == k:
-                u += 1
-            if k:
-                add_span(texts[i].as_py(), every[i], words[t][0], words[u - 1][1], k - 1)
-            t = u
+    for part in portions(texts):
+        for labels, (i, text, _) in zip(field.decode([ws for _, _, ws in part]), part, strict=True):
+            if not labels.any():
+                continue
+            words = [m.span() for m in _WORD.finditer(text)]
+            edges = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
+            for t, u in zip(edges, edges[1:], strict=False):
+                if k := int(labels[t]):
+                    add_span(text, every[i], words[t][0], words[u - 1][1], k - 1)
     return base, [sorted(x) for x in every]
 
 
-_SIGNAL = re.compile(r"[0-9@][^\x20\x09-\x0D]*")
 _WORD = re.compile(common.WORD)
 
 
-def neighbourhoods(text: str, spots: list[int]) -> Iterator[list[tuple[int, int]]]:
-    """Runs of words within REACH words of a word that holds a spot; runs that touch are one."""
-    words = [m.span() for m in _WORD.finditer(text)]
-    at = np.unique(np.searchsorted(np.array([a for a, _ in words]), spots, "right") - 1)
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, np.maximum(at - REACH, 0), 1)
-    np.add.at(edge, np.minimum(at + REACH + 1, len(words)), -1)
-    near = np.concatenate([[0], np.cumsum(edge)[:-1] > 0, [0]]).astype(np.int8)
-    turns = np.flatnonzero(np.diff(near))
-    for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
-        yield words[a:b]
+def portions(texts: pa.Array, words: int = 100_000) -> Iterator[list[tuple[int, str, list[str]]]]:
+    """All texts that have words, as (index, text, words), in lists that end with the text that fills them."""
+    part, n = [], 0
+    for i in range(len(texts)):
+        if ws := _WORD.findall(text := texts[i].as_py() or ""):
+            part.append((i, text, ws))
+            n += len(ws)
+        if n >= words:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
 
 
 def add_span(text: str, spans: list[Span], a: int, b: int, kind: int) -> None:
