@@ -15,8 +15,9 @@ from quillstream.llm import common
 
 COSINE = 0.98
 #: Tables, projections in each and bucket width. At cosine 0.98 (distance 0.2) one projection collides with probability
-#: 0.84, eight with 0.25, and a pair is missed by all 40 tables with probability 1e-5; closer pairs far more rarely.
-TABLES, PROJECTIONS, WIDTH = 40, 8, 1.0
+#: 0.92, twenty with 0.19, and a pair is missed by all 55 tables with probability 1e-5; closer pairs far more rarely. Two
+#: vectors at a right angle share a bucket with probability 5e-7.
+TABLES, PROJECTIONS, WIDTH = 55, 20, 2.0
 #: Rows of a bucket that are held against each other at once; larger buckets are split into pairs of blocks.
 BLOCK = 1024
 
@@ -65,76 +66,89 @@ def hash_codes(x: np.ndarray, tables: int, projections: int, width: float, seed:
     return h
 
 
-def link_near(df: DataFrame, scratch: common.Scratch, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(counts, edges): vec_id -> n_links, and the links' spanning forests by bucket (a > b).
+def classes_of(df: DataFrame, vec_id: str, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, classes) of the usable vectors: a node is a distinct (vec_id, label, vector), a class all nodes of one label
+    and vector. nodes: vec_id, h, g. classes: label, v, h and g (two hashes of both), rep (the smallest vec_id) and size
+    (its nodes).
 
-    No pair is shuffled: within a bucket, links are counted where their two codes first agree (a bucket of a later table
-    leaves them out), and edges only span what the links connect. Buckets of over ``block`` rows are split into block
-    pairs, so the work of a large group of near copies is dealt out. Only rows of one label and one length meet.
+    Partial aggregation runs before both shuffles, so a vector that a third of all rows hold costs a row a task.
     """
-    d = _usable(df.where(F.col(label).isNotNull() & F.col(vec_id).isNotNull()), vector).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    d = _usable(df.where(F.col(label).isNotNull() & F.col(vec_id).isNotNull()), vector)
+    d = d.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    each = d.groupBy("vec_id", "label", "v").agg(F.xxhash64("label", "v").alias("h"), F.xxhash64("v", "label", F.lit(1)).alias("g"))
+    classes = each.groupBy("label", "v").agg(F.first("h").alias("h"), F.first("g").alias("g"), F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    return each.select("vec_id", "h", "g"), classes
+
+
+def link_near(classes: DataFrame, scratch: common.Scratch, cosine: float = COSINE, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(counts, edges) of classes: (rep, h) -> n, the nodes in other classes linked to it; (a > b) reps that span the links.
+
+    Only bucket numbers and keys are shuffled for all classes; the vectors follow where a bucket holds two or more. No pair
+    is shuffled: within a bucket, links are counted where two codes first agree (a bucket of a later table leaves them
+    out), and edges only span what the links connect. Buckets of over ``block`` rows are split into block pairs, so the
+    work of a large group of near copies is dealt out.
+    """
+    kind = classes.schema["label"].dataType.simpleString()
 
     def explode(batches):
         for batch in batches:
-            lens = batch.column(2).value_lengths().to_numpy()
-            ids, lab = batch.column(0).to_numpy(), batch.column(1)
+            lens = batch.column(3).value_lengths().to_numpy()
+            rep, h, lab = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             for dim in np.unique(lens):
                 pick = np.flatnonzero(lens == dim)
-                _, x = vectors(batch.column(2).take(pa.array(pick)))
-                codes = hash_codes(_unit(x), tables, projections, width)
+                _, x = vectors(batch.column(3).take(pa.array(pick)))
+                code = hash_codes(_unit(x), tables, projections, width).view(np.int64)
                 for at in range(0, len(pick), 256):
-                    c, rows = codes[at : at + 256], pick[at : at + 256]
-                    n = len(c)
-                    small = np.ascontiguousarray((c >> np.uint64(32)).astype(np.uint32))  # the bucket itself, so that pairs() can tell where two rows first met
-                    vec = pa.array([r.tobytes() for r in x[at : at + 256]], pa.binary())
-                    rep = np.repeat(np.arange(n), tables)
+                    rows = np.repeat(pick[at : at + 256], tables)
+                    n = len(rows) // tables
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(small.ravel().astype(np.int64)), pa.array(np.full(n * tables, dim, np.int32)), lab.take(pa.array(rows)).take(pa.array(rep)), pa.array(ids[rows][rep]), pa.array([r.tobytes() for r in small], pa.binary()).take(pa.array(rep)), vec.take(pa.array(rep))],
-                        names=["t", "code", "dim", "label", "vec_id", "codes", "v"],
+                        [pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(code[at : at + 256].ravel()), pa.array(np.full(len(rows), dim, np.int32)), lab.take(pa.array(rows)), pa.array(rep[rows]), pa.array(h[rows])],
+                        names=["t", "code", "dim", "label", "rep", "h"],
                     )
 
-    kind = d.schema["label"].dataType.simpleString()
-    rows = d.mapInArrow(explode, f"t int, code long, dim int, label {kind}, vec_id long, codes binary, v binary")
-    # buckets of one row have no pair: they are counted and dropped before vectors are shuffled
     keys = ["t", "code", "dim", "label"]
-    parts = common.blocks(rows, keys, "vec_id", block)
+    narrow = classes.select("rep", "h", "label", "v").mapInArrow(explode, f"t int, code long, dim int, label {kind}, rep long, h long")
+    sizes = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    shared = narrow.join(sizes, keys).join(classes.select("rep", "h", "size", "v"), ["rep", "h"])
+    parts = common.block_pairs(shared, "h", block)
 
     def pairs(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
         ends = np.append(starts[1:], t.num_rows)
-        ids = t.column("vec_id").to_numpy()
-        own, bi, bj, tab = (t.column(c).to_numpy() for c in ("own", "bi", "bj", "t"))
-        n_out, edges = [], []
-        v, c = t.column("v"), t.column("codes")
+        rep, h, size, own, bi, bj, tab, dim = (t.column(c).to_numpy() for c in ("rep", "h", "size", "own", "bi", "bj", "t", "dim"))
+        v, n_out, edges = t.column("v").combine_chunks(), [], []
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
             if e - s < 2:
                 continue
-            x = _unit(np.frombuffer(b"".join(v.slice(s, e - s).to_pylist()), float).reshape(e - s, -1))
-            k = np.frombuffer(b"".join(c.slice(s, e - s).to_pylist()), np.uint32).reshape(e - s, -1)
-            near = (x @ x.T) >= cosine
-            upper = np.triu(near, 1)
+            x = _unit(v.slice(s, e - s).flatten().to_numpy(zero_copy_only=False).reshape(e - s, -1))
+            near = np.triu((x @ x.T) >= cosine, 1)
             if bi[s] != bj[s]:
-                upper &= own[s:e, None] != own[None, s:e]
-            a, b = np.nonzero(upper)
+                near &= own[s:e, None] != own[None, s:e]
+            a, b = np.nonzero(near)
             if not len(a):
                 continue
-            first = np.ones(len(a), bool)
-            if tab[s]:
+            if tab[s]:  # pairs that met in a table before this one
+                on = np.unique(np.concatenate([a, b]))
+                codes = np.zeros((e - s, tab[s]), np.uint64)
+                codes[on] = hash_codes(x[on], tables, projections, width)[:, : tab[s]]
+                first = np.ones(len(a), bool)
                 for at in range(0, len(a), 65536):
-                    first[at : at + 65536] = ~(k[a[at : at + 65536], : tab[s]] == k[b[at : at + 65536], : tab[s]]).any(1)
-            a, b = a[first], b[first]
+                    first[at : at + 65536] = ~(codes[a[at : at + 65536]] == codes[b[at : at + 65536]]).any(1)
+                a, b = a[first], b[first]
             if len(a):
-                m = np.bincount(a, minlength=e - s) + np.bincount(b, minlength=e - s)
+                m = np.zeros(e - s, np.int64)
+                np.add.at(m, a, size[s:e][b])
+                np.add.at(m, b, size[s:e][a])
                 on = np.flatnonzero(m)
-                n_out.append((ids[s:e][on], m[on]))
-                edges.append(spanning(a, b, ids[s:e]))
+                n_out.append((rep[s:e][on], h[s:e][on], m[on]))
+                edges.append(spanning(a, b, rep[s:e]))
         if not n_out:
             return None
-        i, m = np.concatenate([x for x, _ in n_out]), np.concatenate([x for _, x in n_out])
-        p, q = np.concatenate([x for x, _ in edges]), np.concatenate([x for _, x in edges])
-        return pa.record_batch({"a": pa.array(np.concatenate([i, p])), "b": pa.array(np.concatenate([np.full(len(i), -(2**63)), q])), "n": pa.array(np.concatenate([m, np.zeros(len(p), np.int64)]))})
+        i, k, m = (np.concatenate(c) for c in zip(*n_out, strict=True))
+        p, q = (np.concatenate(c) for c in zip(*edges, strict=True))
+        return pa.record_batch({"a": pa.array(np.concatenate([i, p])), "b": pa.array(np.concatenate([k, q])), "n": pa.array(np.concatenate([m, np.zeros(len(p), np.int64)]))})
 
-    found = scratch.put(common.grouped(parts, [*keys, "bi", "bj"], pairs, "a long, b long, n long", ["vec_id"]))
-    counts = found.where("n > 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
+    found = scratch.put(common.grouped(parts, [*keys, "bi", "bj"], pairs, "a long, b long, n long", ["h"]))
+    counts = found.where("n > 0").groupBy(F.col("a").alias("rep"), F.col("b").alias("h")).agg(F.sum("n").alias("n"))
     return counts, found.where("n = 0").select("a", "b")
 
 
@@ -159,19 +173,28 @@ def spanning(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray,
 
 
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, **how: int) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept.
+    """One row per row of df: vec_id, n_links, component_id, kept.
 
     Links join vectors of equal non-null label with cosine >= ``cosine`` in double precision. Null, empty and zero
     vectors and those with null or non-finite components link with nothing; so do rows of a null label. Rows of a null
-    vec_id keep it and link with nothing. Repeated rows of one vec_id count as vectors of their own towards others.
+    vec_id keep it and link with nothing. Rows that repeat whole are one vector: each has its figures. Rows that share a
+    vec_id but not the vector or label are vectors of their own: ``n_links`` counts the other distinct (vec_id, label,
+    vector) linked to the row's, and their component is one, as they share an id. Vectors of different lengths never
+    link; ties at the threshold link; an empty table gives no rows; other columns are left out.
     """
     spark = df.sparkSession
     common.tune(spark)
     scratch = common.Scratch(spark, "near")
-    counts, edges = link_near(df, scratch, vec_id, vector, label, cosine, **how)
-    comp = common.components(edges, scratch)
-    out = df.select(F.col(vec_id).cast("long").alias("vec_id")).join(counts, "vec_id", "left").join(comp.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    nodes, classes = classes_of(df, vec_id, vector, label)
+    classes = scratch.put(classes)
+    counts, edges = link_near(classes, scratch, cosine, **how)
+    n_links = F.col("size") - 1 + F.coalesce("n", F.lit(0))
+    linked = classes.select("rep", "h", "g", "size").join(counts, ["rep", "h"], "left").select("rep", "h", "g", n_links.alias("n_links")).where("n_links > 0")
+    nodes = scratch.put(nodes.join(linked, ["h", "g"]))
+    comp = common.components(edges.unionByName(nodes.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))), scratch)
+    d = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.xxhash64(F.col(label), F.col(vector).cast("array<double>")).alias("h"))
+    out = d.join(nodes.select("vec_id", "h", "n_links"), ["vec_id", "h"], "left").join(comp.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -182,124 +205,146 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- nearest neighbours ------------------------------------------------------------------------------------------------
 NEAREST, EVERY = 20, 20
 #: Rows of an index block. Each block has its own sorted arrays; a query visits all blocks.
-INDEX_BLOCK = 8192
+INDEX_BLOCK = 16384
 #: Single projections in all (rows of random rotations), and the collisions that make a candidate, as a share of them.
-LINES, THRESHOLD = 128, 0.62
-#: A query's search ends once this share of a block (and twice the neighbours asked for) is to be verified.
-VERIFY = 0.10
-_GRID = 1024
+LINES, THRESHOLD = 128, 0.5
+#: A search ends when a vector as near as the k-th best found would collide MARGIN standard deviations more often than the
+#: threshold asks.
+MARGIN = 1.25
+#: The factor by which a window grows at most, and the queries that set a block's first window.
+GROWTH, PROBES = 1.15, 16
 
 
 class CollisionIndex:
     """Sorted arrays of single projections of one block of vectors, with collision counting.
 
     Inner products become distances by one more component (the square root of what a vector's squared norm lacks of the
-    block's largest), so the nearest by distance is the largest inner product.
-
-    Each sorted array is cut into 256 cells of equal depth, and each row keeps its cell in each array. A window around
-    the query's projection is a range of cells; it is widened (virtual rehashing: the same arrays, a larger radius)
-    until enough rows lie in the windows of ``threshold`` of the arrays. Counting is one comparison a row and array.
+    block's largest), so the nearest by distance is the largest inner product. Blocks hold norms within a factor of two,
+    so that component stays small.
+
+    A search opens a window around the query's place in each sorted array and widens all of them (virtual rehashing: the
+    same arrays, a larger radius). Rows that enter a window collide once more; rows with ``threshold`` collisions are
+    verified by exact inner product. A row at distance d collides with the share P(|u| * d <= half) of the arrays, u a
+    coordinate of a random unit vector; so the radius that a window has searched is known, and the search ends when the
+    k-th best found lies within it, whatever share of the block that takes.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, lines: int = LINES, threshold: float = THRESHOLD, verify: float = VERIFY, seed: int = 23):
-        self.ids, self.x, self.verify = ids, x, verify
+    def __init__(self, ids: np.ndarray, x: np.ndarray, lines: int = LINES, threshold: float = THRESHOLD, margin: float = MARGIN, seed: int = 23):
+        self.ids, self.x = ids, x
         n, dim = len(x), x.shape[1] + 1
-        sq = np.einsum("ij,ij->i", x, x)
-        top = float(np.sqrt(sq.max())) or 1.0
-        unit = np.concatenate([x / top, np.sqrt(np.maximum(0, 1 - sq / top**2))[:, None]], 1)
+        scale = np.abs(x).max()
+        norm = np.sqrt(np.einsum("ij,ij->i", x / scale, x / scale))
+        self.top = float(norm.max())  # in units of scale
+        self.scale = float(scale)
+        unit = np.concatenate([x / scale / self.top, np.sqrt(np.maximum(0, 1 - (norm / self.top) ** 2))[:, None]], 1)
         rng = np.random.default_rng([seed, dim])
-        self.lines = np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-lines // dim))], 1)[:, :lines]
-        proj = (unit @ self.lines).T
-        order = np.argsort(proj, axis=1, kind="stable")
-        self.cells = np.empty(proj.shape, np.uint8)
-        np.put_along_axis(self.cells, order, np.broadcast_to((np.arange(n) * 256 // n).astype(np.uint8), proj.shape), 1)
-        # the cell in which each of _GRID positions of [-1, 1] falls
-        grid = np.linspace(-1, 1, _GRID + 1)
-        ranks = np.stack([np.searchsorted(row[o], grid) for row, o in zip(proj, order, strict=True)])
-        self.at = np.minimum(ranks * 256 // n, 255)
+        self.lines = np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-lines // dim))], 1)[:, :lines].T.copy()
+        self.order, self.at = np.empty((lines, n), np.int64), np.empty((lines, n), np.float32)
+        for k, line in enumerate(self.lines):
+            p = (unit @ line).astype(np.float32)
+            self.order[k] = np.argsort(p, kind="stable")
+            self.at[k] = p[self.order[k]]
         self.least = int(np.ceil(threshold * lines))
-        self.need = lambda k: min(n, max(2 * k + 1, int(verify * n)))
-        self.start = 0.25 * float(np.std(proj) or 1.0)
-        probes = [self._widen(u, self.need(1))[0] for u in unit[:: max(1, n // 24)][:24]]
-        self.start = float(np.quantile(probes, 0.3))
-
-    def _widen(self, unit: np.ndarray, need: int) -> tuple[float, np.ndarray]:
-        """The radius at which enough rows collide often enough, and each row's collisions."""
-        at, half, rows = unit @ self.lines, self.start, np.arange(len(self.cells))
+        u = rng.normal(size=(20_000, dim))
+        u = np.abs(u[:, 0]) / np.sqrt((u * u).sum(1))
+        share = threshold + margin * np.sqrt(threshold * (1 - threshold) / lines)
+        self.reach = 1 / float(np.quantile(u, min(share, 0.999)))
+        self.start = 0.02 / np.sqrt(dim)
+        probes = [self.search(x[i], ids[i], NEAREST)[2] for i in range(0, n, max(1, n // PROBES))]
+        self.start = 0.95 * float(np.quantile(probes, 0.25))
+
+    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """Ids and inner products of the best k found, ties to smaller ids, rows of the id ``own`` left out; the last window."""
+        n = len(self.ids)
+        q_scale = np.abs(q).max()
+        unit = q / q_scale
+        unit = unit / np.sqrt(unit @ unit)
+        center = self.lines[:, :-1] @ unit
+        count, seen = np.zeros(n, np.int64), np.zeros(n, bool)
+        score, found = np.zeros(0), np.zeros(0, np.int64)
+        near = np.zeros(0)  # cosines to the query, as the distance of the k-th best needs them
+        half, low, high = self.start, None, None
         while True:
-            lo = self.at[rows, np.clip(np.floor((at - half + 1) * (_GRID / 2)), 0, _GRID).astype(int)]
-            hi = self.at[rows, np.clip(np.ceil((at + half + 1) * (_GRID / 2)), 0, _GRID).astype(int)]
-            count = np.add.reduce(((self.cells - lo.astype(np.uint8)[:, None]) <= (hi - lo).astype(np.uint8)[:, None]).view(np.uint8), axis=0, dtype=np.uint8 if len(rows) < 256 else np.uint16)
-            if (count >= self.least).sum() >= need or half > 2:
-                return half, count
-            half *= 1.15
-
-    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the best k found, ties to smaller ids."""
-        need = self.need(k)
-        _, count = self._widen(np.append(q / (np.sqrt(q @ q) or 1.0), 0.0), need)
-        rows = np.flatnonzero(count >= self.least)
-        if len(rows) > need:  # the last widening overshot: those with the most collisions, all equals included
-            c = count[rows]
-            rows = rows[c >= np.partition(c, len(c) - need)[len(c) - need]]
-        rows = rows[self.ids[rows] != own]
-        score = (self.x[rows] * q).sum(1)
-        if len(rows) > 4 * k:
-            near = score >= np.partition(score, len(score) - k)[len(score) - k]
-            rows, score = rows[near], score[near]
-        best = np.lexsort((self.ids[rows], -score))[:k]
-        return self.ids[rows][best], score[best]
+            left, right = (center - half).astype(np.float32), (center + half).astype(np.float32)
+            lo = [int(row.searchsorted(v)) for row, v in zip(self.at, left, strict=True)]
+            hi = [int(row.searchsorted(v, "right")) for row, v in zip(self.at, right, strict=True)]
+            if low is None:
+                entered = [o[a:b] for o, a, b in zip(self.order, lo, hi, strict=True)]
+            else:
+                entered = [o[a:b] for o, a, b in zip(self.order, lo, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, hi, strict=True)]
+            low, high = lo, hi
+            for at in range(0, len(entered), 16):  # some arrays at a time: bounded, and within a cache
+                count += np.bincount(np.concatenate(entered[at : at + 16]), minlength=n)
+            new = np.flatnonzero((count >= self.least) & ~seen)
+            seen[new] = True
+            new = new[self.ids[new] != own]
+            if len(new):
+                near = np.concatenate([near, (self.x[new] / self.scale) @ unit / self.top])
+                score, found = np.concatenate([score, (self.x[new] * q).sum(1)]), np.concatenate([found, self.ids[new]])
+                if len(found) > k:
+                    order = np.lexsort((found, -score))
+                    order = order[np.sort(np.unique(found[order], return_index=True)[1])][:k]  # rows of one id are one candidate
+                    score, found, near = score[order], found[order], near[order]
+            if half > 2 or (len(found) >= k and (d := np.sqrt(max(0.0, 2 - 2 * near.min()))) <= half * self.reach):
+                return found, score, half
+            half = max(half * 1.01, min(half * GROWTH, d / self.reach)) if len(found) >= k else half * GROWTH
 
 
 def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = NEAREST, block: int = INDEX_BLOCK, **how: float) -> DataFrame:
     """query_id long, rank int, vec_id long, score double: for each query the k largest inner products found in df.
 
-    Every row of df is indexed, in blocks dealt by id hash; queries stream through each block's task after its rows, so
-    a task holds one block and one Arrow batch. Fewer candidates than k give fewer rows. Vectors that are null, empty,
-    zero or hold null or non-finite components take no part, nor do null ids or vectors of another length than the
-    query; candidates of the query's own id are left out. Equal scores go to smaller ids.
+    Every row of df is indexed. A block holds rows of one length and of norms within a factor of two, dealt by hash;
+    queries stream through each block's task after its rows, so a task holds one block and one Arrow batch. Fewer
+    candidates than k give fewer rows. Vectors that are null, empty, zero or hold null or non-finite components take no
+    part, nor do null ids or vectors of another length than the query; candidates of the query's own id are left out.
+    Rows that repeat whole count once. Rows that share an id but not the vector are one candidate (or query) with several
+    values, whose nearness is its largest inner product. Equal scores go to smaller ids, across blocks as within them; an
+    empty table gives no rows; other columns are left out.
     """
     spark = df.sparkSession
     common.tune(spark)
-    pick = lambda d: _usable(d.where(F.col(vec_id).isNotNull()), vector).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows, asks = pick(df), pick(queries)
-    n_blocks = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n_blocks)).cast("int")).withColumn("ask", F.lit(0))
-    asked = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("ask", F.lit(1))
+    scratch = common.Scratch(spark, "nearest")
+    top = F.array_max(F.transform("v", F.abs))
+    norm = F.log2(top) + 0.5 * F.log2(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / top) * (x / top)))
+
+    def pick(d: DataFrame) -> DataFrame:
+        d = _usable(d.where(F.col(vec_id).isNotNull()), vector).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        return d.dropDuplicates(["id", "v"])
+
+    rows = scratch.put(pick(df).withColumn("dim", F.size("v")).withColumn("span", F.floor(norm).cast("int")))
+    shelf = rows.groupBy("dim", "span").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))  # a row a length and power of two
+    shelf = scratch.put(shelf)
+    n_blocks = shelf.agg(F.sum("parts")).first()[0] or 1
+    number = F.struct("dim", "span", F.col("part").cast("int").alias("part")).alias("block")
+    dealt = rows.join(shelf, ["dim", "span"]).withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts"))).select("id", "v", number, F.lit(0).alias("ask"))
+    asked = pick(queries).withColumn("dim", F.size("v")).join(shelf.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "dim").select("id", "v", number, F.lit(1).alias("ask"))
+    both = dealt.unionByName(asked).select("id", "v", F.xxhash64("block").alias("block"), "ask")
 
     def run(batches):
-        now, held, index = None, [], {}
+        now, held, index = None, [], None
         for batch in batches:
             where, ask = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             edges = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (ask[1:] != ask[:-1]), [True]]))
             for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if where[s] != now:
-                    now, held, index = where[s], [], {}
+                    now, held, index = where[s], [], None
                 part = batch.slice(s, e - s)
                 if not ask[s]:
                     held.append(part)
                     continue
                 if held:
                     t = pa.Table.from_batches(held).combine_chunks()
-                    ids, lens = t.column(0).to_numpy(), t.column(1).combine_chunks().value_lengths().to_numpy()
-                    for dim in np.unique(lens).tolist():
-                        on = np.flatnonzero(lens == dim)
-                        _, x = vectors(t.column(1).combine_chunks().take(pa.array(on)))
-                        index[dim] = CollisionIndex(ids[on], x, **how)
-                    held = []
+                    index, held = CollisionIndex(t.column(0).to_numpy(), vectors(t.column(1))[1], **how), []
                 out = []
-                for i, q in enumerate(part.column(1).to_pylist()):
-                    if len(q) in index:
-                        own = part.column(0)[i].as_py()
-                        found, score = index[len(q)].search(np.array(q), own, k)
-                        out.append((np.full(len(found), own), found, score))
-                if out:
-                    yield pa.record_batch({"query_id": pa.array(np.concatenate([x[0] for x in out])), "vec_id": pa.array(np.concatenate([x[1] for x in out])), "score": pa.array(np.concatenate([x[2] for x in out]))})
-
-    both = dealt.unionByName(asked).select("id", "v", "block", "ask")
-    found = both.repartition(max(n_blocks, 1), "block").sortWithinPartitions("block", "ask", "id").mapInArrow(run, "query_id long, vec_id long, score double")
+                for own, q in zip(part.column(0).to_pylist(), vectors(part.column(1))[1], strict=True):
+                    found, score, _ = index.search(q, own, k)
+                    out.append((np.full(len(found), own), found, score))
+                yield pa.record_batch({c: pa.array(np.concatenate(x)) for c, x in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
+
+    found = both.repartition(n_blocks, "block").sortWithinPartitions("block", "ask", "id").mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
