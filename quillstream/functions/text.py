@@ -151,7 +151,8 @@ def same_language(a: Column, b: Column) -> Column:
 
 
 def is_acronym(col: Column) -> Column:
-    return (count_of(col, LETTER) >= 2) & (count_of(col, r"\p{Lu}") >= 2)
+    """Two capitals or more."""
+    return col.rlike(r"\p{Lu}\P{Lu}*\p{Lu}")
 
 
 def folded(col: Column) -> Column:
@@ -171,6 +172,13 @@ def mention_pattern(term: Column) -> Column:
     return F.concat(F.when(is_acronym(term), F.lit("")).otherwise(F.lit("(?i)")), F.lit(r"(?<![\p{L}\p{N}])"), body, F.lit(r"(?![\p{L}\p{N}])"))
 
 
+def is_form_of(word: Column, base: Column) -> Column:
+    """Whether a word is ``base`` or its English plural; the rule that ``mention_pattern`` spells as an expression."""
+    stem = F.substring(base, F.lit(1), F.length(base) - 1)
+    plural = (word == F.concat(base, F.lit("s"))) | (word == F.concat(base, F.lit("es")))
+    return (word == base) | F.when(base.rlike("[a-z]y$"), word == F.concat(stem, F.lit("ies"))).otherwise(base.rlike("[A-Za-z]$") & plural)
+
+
 def mentions(text: Column, term: Column) -> Column:
     return F.regexp_like(text, mention_pattern(term))
 

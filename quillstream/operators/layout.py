@@ -251,8 +251,7 @@ n AS (SELECT class, 1 AS ref, 0 AS new, 0 AS m FROM ra UNION ALL SELECT class, 0
     "weighted_mode_size": f"WITH {_BOX}, c AS (SELECT doc_id, size, CAST(sum(length(text)) AS BIGINT) AS n FROM b GROUP BY ALL) SELECT doc_id, first(size ORDER BY n DESC, size) AS size, max(n) AS chars FROM c GROUP BY doc_id",
     "edge_votes": f"WITH {_BOX}, e AS (SELECT doc_id, CAST(round(x1) AS INT) AS edge, count(*) AS n FROM b WHERE NOT spanning GROUP BY ALL), v AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY edge RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS votes FROM e), w AS (SELECT *, max(votes) OVER (PARTITION BY doc_id) AS best FROM v) SELECT doc_id, max(edge) AS edge, first(edge ORDER BY votes DESC, edge DESC) AS favourite FROM w WHERE votes >= 3 AND 2 * votes >= best GROUP BY doc_id",
     "headings": f"WITH {_BOX}, c AS (SELECT doc_id, size, sum(length(text)) AS n FROM b GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY size) AS run, sum(n) OVER (PARTITION BY doc_id) AS tot FROM c), m AS (SELECT doc_id, min(size) AS median FROM r WHERE 2 * run >= tot GROUP BY doc_id) SELECT doc_id, ord, size, median FROM b JOIN m USING (doc_id) WHERE length(text) < 100 AND (size >= 1.3 * median OR (size >= 1.15 * median AND ord % 5 = 0))",
-    "components": """WITH RECURSIVE o AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders WHERE o_orderkey % 7 < 2), e AS (SELECT a, b FROM o WHERE b IS NOT NULL AND (a + b) % 3 <> 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS reach FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.reach = u.a) SELECT node, min(reach) AS component FROM r GROUP BY node""",
+    "components": "SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1",
 }
 QUERIES = {
     "reading_order": q_reading_order, "gutters": gutters, "iou_match": iou_match, "nms": nms, "column_of": column_of, "weighted_mode_size": weighted_mode_size, "edge_votes": edge_votes, "headings": headings, "word_rows": word_rows,

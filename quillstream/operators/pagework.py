@@ -246,10 +246,11 @@ SELECT doc_id, ord FROM n JOIN r USING (doc_id, zone, norm) UNION SELECT doc_id,
     "bibliographies": f"""WITH {_SEG}, l AS (SELECT *, regexp_matches(text, '[0-9]') OR length(text) <= 40 AS ld, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY seg_no)), a AS (SELECT *, count(*) FILTER (ld) OVER (PARTITION BY doc_id ORDER BY seg_no ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS ahead FROM l),
 g AS (SELECT *, rn - lag(rn) OVER (PARTITION BY doc_id ORDER BY seg_no) AS gap FROM a WHERE ld), r AS (SELECT *, count(*) FILTER (gap IS NULL OR gap > 4) OVER (PARTITION BY doc_id ORDER BY seg_no ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT doc_id, min(seg_no) AS first, max(seg_no) AS last, count(*) AS leads FROM r GROUP BY doc_id, run HAVING max(ahead) >= 4""",
     "part_plan": "WITH d AS (SELECT source, doc_id, length(text) AS w, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef, sum(length(text)) OVER (PARTITION BY source) / 5 AS goal FROM documents) SELECT source, CAST(least(4, floor(bef / goal)) AS INT) AS part, min(doc_id) AS first, max(doc_id) AS last, CAST(sum(w) AS BIGINT) AS weight FROM d GROUP BY ALL",
-    "verbatim_match": f"""WITH {_SEG}, o AS (SELECT * FROM s WHERE seg_no < 40), n AS (SELECT doc_id, seg_no, CASE WHEN seg_no % 7 = 5 THEN upper(text) ELSE text END AS text FROM o WHERE seg_no % 10 <> 3 OR seg_no % 20 = 3), a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY seg_no) AS k FROM o), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY seg_no) AS k FROM n),
-e AS (SELECT a.doc_id, a.seg_no AS old, b.seg_no AS new FROM a JOIN b USING (doc_id, text, k)), l AS (SELECT doc_id, seg_no AS old, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no) AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM a WHERE (doc_id, seg_no) NOT IN (SELECT (doc_id, old) FROM e)), r AS (SELECT doc_id, seg_no AS new, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no) AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM b WHERE (doc_id, seg_no) NOT IN (SELECT (doc_id, new) FROM e))
-SELECT doc_id, old, new, 'equal' AS how FROM e UNION ALL SELECT l.doc_id, old, new, 'place' FROM l JOIN r USING (doc_id, p, n)""",
-    "anchor_pairs": "WITH w AS (SELECT doc_id, i - 1 AS pos, l[i] AS w FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+') AS l FROM documents), unnest(range(1, least(len(l), 400) + 1)) AS r(i)), h AS (SELECT *, min(CASE WHEN w = 'of' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN 1 FOLLOWING AND 40 FOLLOWING) AS nx FROM w) SELECT doc_id, pos, nx - pos AS gap FROM h WHERE w = 'the' AND nx IS NOT NULL",
+    "verbatim_match": f"""WITH {_SEG}, o AS (SELECT * FROM s), n AS (SELECT doc_id, seg_no, CASE WHEN seg_no % 7 = 5 THEN upper(text) ELSE text END AS text FROM o WHERE seg_no % 10 <> 3 OR seg_no % 20 = 3), a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY seg_no) AS k FROM o), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY seg_no) AS k FROM n),
+e AS (SELECT a.doc_id, a.seg_no AS old, b.seg_no AS new FROM a JOIN b USING (doc_id, text, k)), l AS (SELECT doc_id, seg_no AS old, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no) AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM a WHERE (doc_id, seg_no) NOT IN (SELECT (doc_id, old) FROM e)), r AS (SELECT doc_id, seg_no AS new, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no) AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM b WHERE (doc_id, seg_no) NOT IN (SELECT (doc_id, new) FROM e)),
+t AS (SELECT l.doc_id, old, new FROM l JOIN r USING (doc_id, p, n)), g AS (SELECT b.doc_id, a.seg_no AS old, b.seg_no AS new FROM b JOIN a ON a.doc_id = b.doc_id AND a.text = b.text AND a.k = 1 WHERE (b.doc_id, b.seg_no) NOT IN (SELECT (doc_id, new) FROM e UNION ALL SELECT (doc_id, new) FROM t))
+SELECT doc_id, old, new, 'equal' AS how FROM e UNION ALL SELECT doc_id, old, new, 'place' FROM t UNION ALL SELECT doc_id, old, new, 'again' FROM g""",
+    "anchor_pairs": "WITH w AS (SELECT doc_id, i - 1 AS pos, l[i] AS w FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+') AS l FROM documents), unnest(range(1, len(l) + 1)) AS r(i)), h AS (SELECT *, min(CASE WHEN w = 'of' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN 1 FOLLOWING AND 40 FOLLOWING) AS nx FROM w) SELECT doc_id, pos, nx - pos AS gap FROM h WHERE w = 'the' AND nx IS NOT NULL",
     "notes_and_links": f"WITH {_SEG}, f AS (SELECT text, CASE WHEN regexp_matches(text, '[0-9]') THEN 'n' || first(seg_no ORDER BY doc_id, seg_no) END AS note, count(*) AS places FROM s GROUP BY text) SELECT sha1(text) AS text_sha, coalesce(note, '') AS note, sha1(CASE WHEN note IS NULL THEN 'p' ELSE 'p|' || note END || chr(10) || text) AS k, places FROM f",
     "share_source": "WITH d AS (SELECT doc_id, sha1(text) AS h, n_chars FROM documents) SELECT a.doc_id, min(b.doc_id) AS other, count(*) AS others FROM d a JOIN d b ON a.h = b.h AND a.n_chars = b.n_chars AND a.doc_id <> b.doc_id GROUP BY a.doc_id",
 }

@@ -88,7 +88,7 @@ ORACLE = {
 SELECT conv_id, turn, round(ratio, 6) AS ratio, (ls >= 60 AND (ld / ls < typical * 0.45 OR ld / ls > typical * 4.0)) OR (ls < 60 AND ld > 60 * typical * 4.0) AS misplaced FROM r, m""",
     "pair_number_mismatch": f"WITH {_SEG}, p AS (SELECT *, CASE WHEN seg_no % 2 = 0 THEN text ELSE translate(text, '0123456789', '1234567890') END AS dst FROM s), n AS (SELECT *, regexp_extract_all(text, '[0-9]{{3,}}') AS a, regexp_extract_all(dst, '[0-9]{{3,}}') AS b FROM p) SELECT doc_id, seg_no FROM n WHERE len(a) > 0 AND len(b) > 0 AND NOT list_has_any(a, b)",
     "echo_pairs": f"WITH {_SEG} SELECT doc_id, seg_no FROM s WHERE (seg_no % 3 IN (0, 1) OR starts_with(upper(text), substring(text, 1, 40))) AND len(regexp_extract_all(text, '[A-Za-z]{{4,}}')) >= 12 AND length(text) >= 80",
-    "slot_checks": f"""WITH {_SEG}, p AS (SELECT doc_id, seg_no, seg_no % 3 AS m, '{{v0}} ' || text || ' {{v1}} [[b]]x[[/b]]' AS src, ' ' || text || '  ' AS body FROM s WHERE seg_no < 6),
+    "slot_checks": f"""WITH {_SEG}, p AS (SELECT doc_id, seg_no, seg_no % 3 AS m, '{{v0}} ' || text || ' {{v1}} [[b]]x[[/b]]' AS src, ' ' || text || '  ' AS body FROM s),
 q AS (SELECT *, CASE m WHEN 0 THEN src WHEN 1 THEN replace(src, '{{v1}}', '{{v7}}') ELSE src || ' {{v0}}' END AS tidy FROM p)
 SELECT doc_id, seg_no, m = 0 AS kept, CASE WHEN m = 1 THEN 1 ELSE 0 END AS alien, sha1(tidy) AS tidy_sha, sha1(body || 'x' || CASE WHEN m = 2 THEN ' ' ELSE '' END) AS plain_sha FROM q""",
     "back_to_places": f"""WITH {_SEG}, u AS (SELECT DISTINCT text FROM s WHERE seg_no % 5 <> 2 AND regexp_matches(text, '\\p{{L}}') AND length(text) % 7 <> 0), o AS (SELECT doc_id, seg_no % 5 = 2 AS skip, s.text, CASE WHEN seg_no % 5 <> 2 AND u.text IS NOT NULL THEN '[t] ' || s.text ELSE s.text END AS result FROM s LEFT JOIN u USING (text))

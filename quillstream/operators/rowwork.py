@@ -267,7 +267,7 @@ k AS (SELECT p.*, CAST(sum(CASE WHEN pitch = usual THEN 0 ELSE 1 END) OVER (PART
     "voted_right": f"WITH {_NUM}, n AS (SELECT doc_id, page, CAST(round(x1) AS INT) AS edge, count(*) AS n FROM q GROUP BY ALL), v AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page ORDER BY edge RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS votes, sum(n) OVER (PARTITION BY doc_id, page) AS tot FROM n) SELECT doc_id, page, first(edge ORDER BY votes DESC, edge DESC) AS edge FROM v WHERE votes >= 3 AND votes >= 0.4 * tot GROUP BY doc_id, page",
     "toc_pages": f"""WITH {_BOX}, p AS (SELECT doc_id, page, count(*) % 3 <> 1 AS has, bool_or(length(text) < 30) AS titled FROM b GROUP BY doc_id, page), n AS (SELECT *, CASE WHEN NOT has OR coalesce(NOT lag(has) OVER w, true) THEN 1 ELSE 0 END AS new FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page)), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY page) AS run FROM n)
 SELECT doc_id, page, has AND bool_or(titled AND has) OVER (PARTITION BY doc_id, run ORDER BY page) AS contents FROM r""",
-    "leaders": f"""WITH {_SEG}, e AS (SELECT doc_id, seg_no, regexp_replace(substring(text, 1, 40), '[ .0-9]+$', '') || CASE WHEN seg_no % 3 = 0 THEN ' ..... ' || (seg_no * 7) ELSE '' END AS entry FROM s WHERE seg_no < 20)
+    "leaders": f"""WITH {_SEG}, e AS (SELECT doc_id, seg_no, regexp_replace(text, '[ .0-9]+$', '') || CASE WHEN seg_no % 3 = 0 THEN ' ..... ' || (seg_no * 7) ELSE '' END AS entry FROM s)
 SELECT doc_id, seg_no, sha1(CASE WHEN regexp_matches(entry, '^(.*?)[ .]{{3,}}([0-9]+)$') THEN regexp_extract(entry, '^(.*?)[ .]{{3,}}([0-9]+)$', 1) ELSE entry END) AS title_sha, regexp_extract(entry, '^(.*?)[ .]{{3,}}([0-9]+)$', 2) AS page FROM e""",
     "shared_lines": f"WITH {_BOX}, n AS (SELECT *, lead(ord) OVER w AS other, lead(y0) OVER w - y0 AS down, lead(x0) OVER w - x1 AS rt FROM b WHERE NOT spanning WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0)) SELECT doc_id, ord, other FROM n WHERE down <= 20 AND rt > 0",
     "next_text_page": f"WITH {_BOX}, p AS (SELECT doc_id, page, bool_or(length(text) >= 80) AS body FROM b GROUP BY doc_id, page) SELECT doc_id, page, coalesce(min(CASE WHEN body THEN page END) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), -1) AS next_page FROM p",

@@ -102,6 +102,6 @@ ORACLE = {
     "shingle_locate": f"WITH {_LOC} SELECT * FROM loc",
     "segmentation_score": f"WITH {_LOC}, n AS (SELECT *, lead(start_doc) OVER (PARTITION BY item_id // 10 ORDER BY item_id) AS ns FROM loc) SELECT count(*) FILTER (start_doc >= 0) AS found, count(*) FILTER (start_doc >= 0 AND end_doc >= 0 AND start_doc <> end_doc) AS split, count(*) FILTER (end_doc >= 0 AND ns = end_doc) AS merged, count(*) FILTER (end_doc >= 0 AND ns >= 0) AS boundaries FROM n",
     "skip_flag_diff": "WITH l AS (SELECT doc_id, quality = 0 AS skip, count(*) AS a FROM labels GROUP BY ALL), r AS (SELECT doc_id, len(regexp_extract_all(text, '\\p{L}')) < 0.75 * length(text) AS skip, count(*) AS b FROM documents GROUP BY ALL) SELECT doc_id, skip, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM l FULL JOIN r USING (doc_id, skip) WHERE coalesce(a, 0) <> coalesce(b, 0)",
-    "plan_multiset_diff": f"WITH {_SEG}, o AS (SELECT doc_id, text FROM s WHERE seg_no < 60), n AS (SELECT doc_id, text FROM s WHERE seg_no < 60 AND seg_no % 13 <> 7) SELECT 'old' AS side, doc_id, count(*) AS n FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM n) GROUP BY doc_id UNION ALL SELECT 'new', doc_id, count(*) FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM o) GROUP BY doc_id",
+    "plan_multiset_diff": f"WITH {_SEG}, o AS (SELECT doc_id, text FROM s), n AS (SELECT doc_id, text FROM s WHERE seg_no % 13 <> 7) SELECT 'old' AS side, doc_id, count(*) AS n FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM n) GROUP BY doc_id UNION ALL SELECT 'new', doc_id, count(*) FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM o) GROUP BY doc_id",
 }
 QUERIES = {"shingle_locate": shingle_locate, "segmentation_score": segmentation_score, "skip_flag_diff": skip_flag_diff, "plan_diff": plan_diff, "plan_multiset_diff": plan_multiset_diff}

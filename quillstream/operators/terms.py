@@ -16,17 +16,34 @@ LEAST_MANY, LEAST_CAPITAL, LEAST_PLAIN = 3, 2, 6
 WORD = r"\p{L}[\p{L}\p{N}]*"
 
 
+def windows_of(words: Column, most: int = 4) -> Column:
+    """A row for each place of an array: the element there and the ``most - 1`` after it, null beyond the end."""
+    return F.arrays_zip(*[F.slice(words, k + 1, F.greatest(F.size(words) - k, F.lit(0))).alias(f"w{k}") for k in range(most)])
+
+
 def grams(docs: DataFrame) -> DataFrame:
-    """doc_id, surface, words: all runs of 1 to 4 words within a clause, without stop words or repeated words.
+    """doc_id, surface, words, n: all runs of 1 to 4 words within a clause, without stop words or repeated words, counted.
 
-    Acronyms stand alone only. The expansion is a higher-order function within the row, so nothing is shuffled here.
+    Acronyms stand alone only. What is asked of a word is found once a word; the runs that begin at it are expressions of
+    a row. Documents are dealt by id once, so that neither this count nor the next by key shuffles the runs.
     """
-    clauses = segments(docs).select("doc_id", F.explode(F.split("text", r"[.,;:!?()|\"]+")).alias("clause"))
+    dealt = docs.select("doc_id", "text").repartition("doc_id")
+    clauses = dealt.select("doc_id", F.explode(F.split("text", r"[\n.,;:!?()|\"]+")).alias("clause"))
     words = clauses.select("doc_id", F.regexp_extract_all("clause", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.size("w"))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size("w") - i + 1)), lambda n: F.slice("w", i, n))))
-    ok = lambda g: ~F.exists(g, lambda x: F.lower(x).isin(*STOP)) & (F.size(F.array_distinct(F.transform(g, F.lower))) == F.size(g)) & ((F.size(g) == 1) | ~F.exists(g, X.is_acronym))
-    return words.select("doc_id", F.explode(F.filter(runs, ok)).alias("g")).select("doc_id", F.array_join("g", " ").alias("surface"), F.size("g").alias("words"))
+    about = words.select("doc_id", F.transform("w", lambda x: F.struct(x.alias("x"), F.lower(x).alias("low"), F.lower(x).isin(*STOP).alias("stop"), X.is_acronym(x).alias("acronym"))).alias("w"))
+    rows = about.select("doc_id", F.inline(windows_of(F.col("w"))))
+    w = [F.col(f"w{k}") for k in range(4)]
+    plain = [x.isNotNull() & ~x["stop"] & ~x["acronym"] for x in w]
+    ok, surface = plain[0], w[0]["x"]
+    runs = [F.when(~w[0]["stop"], F.struct(surface.alias("surface"), F.lit(1).alias("words")))]
+    for k in range(1, 4):
+        ok = ok & plain[k]
+        for j in range(k):
+            ok = ok & (w[k]["low"] != w[j]["low"])
+        surface = F.concat(surface, F.lit(" "), w[k]["x"])
+        runs.append(F.when(ok, F.struct(surface.alias("surface"), F.lit(k + 1).alias("words"))))
+    each = rows.select("doc_id", F.inline(F.array_compact(F.array(*runs))))
+    return each.groupBy("doc_id", "surface", "words").agg(F.count(F.lit(1)).alias("n"))
 
 
 def mined(docs: DataFrame) -> DataFrame:
@@ -34,7 +51,7 @@ def mined(docs: DataFrame) -> DataFrame:
 
     The surface is the most frequent form that begins with a small letter, else the most frequent; ties by text.
     """
-    forms = grams(docs).withColumn("key", X.folded(F.col("surface"))).groupBy("doc_id", "key", "surface", "words").agg(F.count(F.lit(1)).alias("n"))
+    forms = grams(docs).withColumn("key", X.folded(F.col("surface")))
     small = F.substring("surface", 1, 1) == F.lower(F.substring("surface", 1, 1))
     best = F.min_by("surface", F.struct((~small).alias("capital"), (-F.col("n")).alias("n"), F.col("surface")))
     terms = forms.groupBy("doc_id", "key").agg(best.alias("surface"), F.max("words").alias("words"), F.sum("n").alias("cnt"), F.bool_and(~small).alias("capital"))
@@ -99,16 +116,36 @@ def glossary_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary(spark, sf_dir).select("source", "target", "prio")
 
 
-def glossary_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, term) of the glossary entries that a document mentions as whole words, plurals included.
+#: Rows up to which a glossary is sent to all executors; a larger one is shuffled to the words instead.
+BROADCAST_TERMS = 100_000
+
 
-    Candidates come from an equality join on the first word of the term, so the pattern runs on few pairs.
+def mentions_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, term) of the terms (in lower case, of two to four words) that a document holds as whole words, plurals included.
+
+    Texts are cut into stretches of words with one space between them, and every word meets the terms that begin with it;
+    the words after it decide. So neither texts nor patterns travel, and a small glossary (its rows are counted) costs no
+    shuffle of the words at all.
     """
-    g = glossary(spark, sf_dir).select(F.lower("source").alias("term")).withColumn("first", F.regexp_extract("term", r"^\p{L}[\p{L}\p{N}]*", 0))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
-    w = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("first"))
-    pairs = w.join(g, "first").select("doc_id", "term")
-    return pairs.join(d, "doc_id").where(X.mentions(F.col("text"), F.col("term"))).select("doc_id", "term")
+    t = F.split("term", " ")
+    g = terms.select("term", t[0].alias("first"), F.slice(t, 2, 3).alias("next"), F.size(t).alias("n"))
+    g = settle(g.where("n between 2 and 4"))
+    stretches = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N} ]+|  +")).alias("s"))
+    rows = stretches.select("doc_id", F.inline(windows_of(F.split(F.trim("s"), " ")))).where("w1 IS NOT NULL")
+    pairs = rows.join(F.broadcast(g) if g.count() <= BROADCAST_TERMS else g, F.col("w0") == F.col("first"))
+    after = [F.col("w1"), F.col("w2"), F.col("w3")]
+    hit = F.lit(False)
+    for n in (2, 3, 4):
+        inner = F.lit(True)
+        for k in range(n - 2):
+            inner = inner & (after[k] == F.get("next", F.lit(k)))
+        hit = F.when(F.col("n") == n, inner & X.is_form_of(after[n - 2], F.get("next", F.lit(n - 2)))).otherwise(hit)
+    return pairs.where(F.coalesce(hit, F.lit(False))).select("doc_id", "term").distinct()
+
+
+def glossary_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, term) of the glossary entries that a document mentions as whole words, plurals included."""
+    return mentions_of(table(spark, sf_dir, "documents"), glossary(spark, sf_dir).select(F.lower("source").alias("term")).distinct())
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP)
@@ -123,7 +160,7 @@ f AS (SELECT doc_id, {_FOLD} AS key, surface, words, count(*) AS n, substring(su
 t AS (SELECT doc_id, key, first(surface ORDER BY NOT small, n DESC, surface) AS surface, max(words) AS words, CAST(sum(n) AS BIGINT) AS cnt, bool_and(NOT small) AS capital FROM f GROUP BY doc_id, key),
 m AS (SELECT *, cnt * CASE WHEN words > 1 THEN 1.5::DOUBLE WHEN capital THEN 1.0 ELSE 0.5 END * words AS score FROM t WHERE cnt >= CASE WHEN words > 1 THEN 3 WHEN capital THEN 2 ELSE 6 END AND length(key) > 1)"""
 _RANK = "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lower(surface), key) AS rank FROM"
-_GLOS = f"""{_MINED}, k AS (SELECT key, count(*) AS docs, min(surface) AS source FROM m WHERE words > 1 GROUP BY key), l AS (SELECT *, row_number() OVER (ORDER BY docs DESC, key) AS ord FROM k QUALIFY ord <= 60),
+_GLOS = f"""{_MINED}, k AS (SELECT key, count(*) AS docs, min(surface) AS source FROM m WHERE words > 1 GROUP BY key), l AS (SELECT *, row_number() OVER (ORDER BY docs DESC, key) AS ord FROM k),
 u AS (SELECT source, upper(source) AS target, 1 AS prio, ord FROM l UNION ALL SELECT upper(source), 'user', 0, ord FROM l WHERE ord % 3 = 0), gl AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lower(source) ORDER BY prio, ord) = 1)"""
 ORACLE = {
     "top_terms": f"WITH {_MINED} SELECT doc_id, rank, surface, cnt, score FROM ({_RANK} m) WHERE rank <= 80",
@@ -134,6 +171,6 @@ n AS (SELECT doc_id, count(*) AS lines FROM s GROUP BY doc_id HAVING count(*) >=
 SELECT doc_id, word, count(*) AS n, lines FROM w JOIN n USING (doc_id) WHERE length(word) <= 4 GROUP BY doc_id, word, lines HAVING count(*) >= 0.3 * lines""",
     "glossary_union": f"WITH {_GLOS} SELECT source, target, prio FROM gl",
     "glossary_mentions": f"""WITH {_GLOS}, q AS (SELECT lower(source) AS term, CASE WHEN regexp_matches(lower(source), '[a-z]y$') THEN substring(lower(source), 1, length(source) - 1) || '(?:y|ies)' WHEN regexp_matches(lower(source), '[a-z]$') THEN lower(source) || '(?:s|es)?' ELSE lower(source) END AS body FROM gl)
-SELECT doc_id, term FROM documents, q WHERE contains(lower(text), substring(term, 1, length(term) - 1)) AND regexp_matches(lower(text), '(?:^|[^\\p{{L}}\\p{{N}}])' || body || '(?:[^\\p{{L}}\\p{{N}}]|$)')""",
+SELECT doc_id, term FROM documents, q WHERE CASE WHEN contains(lower(text), substring(term, 1, length(term) - 1)) THEN regexp_matches(lower(text), '(?:^|[^\\p{{L}}\\p{{N}}])' || body || '(?:[^\\p{{L}}\\p{{N}}]|$)') ELSE false END""",
 }
 QUERIES = {"top_terms": top_terms, "terms_pruned": terms_pruned, "common_words": common_words, "glossary_union": glossary_union, "glossary_mentions": glossary_mentions}
