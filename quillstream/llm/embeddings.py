@@ -6,6 +6,8 @@ give a bucket in each of TABLES tables; vectors of one bucket are held against e
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -55,10 +57,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+@functools.lru_cache(8)
+def _projections(dim: int, tables: int, projections: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([seed, dim])
+    return rng.normal(size=(dim, tables * projections)), rng.uniform(0, width, tables * projections)
+
+
 def hash_codes(x: np.ndarray, tables: int, projections: int, width: float, seed: int = 11) -> np.ndarray:
     """Bucket codes (n x tables) of unit vectors."""
-    rng = np.random.default_rng([seed, x.shape[1]])
-    a, b = rng.normal(size=(x.shape[1], tables * projections)), rng.uniform(0, width, tables * projections)
+    a, b = _projections(x.shape[1], tables, projections, width, seed)
     cells = np.floor((x @ a + b) / width).astype(np.int64).reshape(len(x), tables, projections)
     h = np.zeros((len(x), tables), np.uint64)
     for k in range(projections):
