@@ -1,7 +1,7 @@
 """Personal data: fixed patterns for four kinds, and a linear-chain conditional random field that adds spans.
 
-The field runs over word-shape features. It is trained on the driver from a small labelled table that ``examples``
-builds from templates, and decoded by Viterbi in numpy batches, over all words of every text: a word for which O leads
+The field runs over word-shape features. It is trained on the driver from a small labelled table (words, labels), which
+the caller may bring; ``examples`` builds a standard one from templates. It is decoded by Viterbi in numpy batches, over all words of every text: a word for which O leads
 every other label by more than any transitions could repay is O on the best path, and the path is sought in the runs
 between such words.
 
@@ -18,12 +18,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstream.llm import common
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *KINDS)
 BITS = 15
+#: Most rows of a labelled table that the fit takes, those of the smallest hash of their words: a bound on the driver's memory.
+FIT_ROWS = 5000
+#: Distinct words whose shares a worker remembers; beyond it the memory starts anew. It changes speed, never results.
+REMEMBER = 100_000
 
 # Patterns fixed by the contract.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -118,7 +123,7 @@ def examples(n: int = 1500, seed: int = 5) -> list[tuple[list[str], list[int]]]:
         if kind == 1:
             return [str(rng.choice(["token", "secret", "key", "password"])), "=", '"' + key(int(rng.integers(24, 44)), "abcdef0123456789") + '"'], [0, 0, 5]
         if kind == 2:
-            return ["AKIA" + key(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")], [5]
+            return ["AKIA" + key(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ("234567" if rng.random() < 0.6 else ""))], [5]
         return [key(int(rng.integers(32, 44)), "abcdef0123456789")], [5]
 
     def harmless() -> list[str]:
@@ -164,7 +169,7 @@ def shape(w: str) -> str:
     return "".join("d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in w[:80])
 
 
-@functools.lru_cache(100_000)
+@functools.lru_cache(30_000)
 def _hash(s: str) -> int:
     h = 2166136261
     for b in s.encode("utf-8", "replace"):
@@ -230,7 +235,7 @@ class Field:
 
     def emissions_of(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Emissions of the words of each text: a word's share in its own and its neighbours' is looked up once."""
-        if len(self.known) > 600_000:
+        if len(self.known) > REMEMBER:
             self.known.clear()
         flat = [w for ws in texts for w in (EDGE, EDGE, *ws, EDGE)]
         if new := set(flat) - self.known.keys():
@@ -376,16 +381,22 @@ def find_spans(texts: pa.Array, field: Field) -> tuple[list[list[Span]], list[li
                 continue
             words = [m.span() for m in _WORD.finditer(text)]
             edges = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
+            at, reach = 0, 0  # base spans that begin before the decoded one's end, and how far they reach
             for t, u in zip(edges, edges[1:], strict=False):
                 if k := int(labels[t]):
-                    add_span(text, every[i], words[t][0], words[u - 1][1], k - 1)
+                    a, b = trimmed(text, words[t][0], words[u - 1][1], k - 1)
+                    while at < len(base[i]) and base[i][at][0] < b:
+                        reach = max(reach, base[i][at][2])
+                        at += 1
+                    if a < b and reach <= a:
+                        every[i].append((a, k - 1, b))
     return base, [sorted(x) for x in every]
 
 
 _WORD = re.compile(common.WORD)
 
 
-def portions(texts: pa.Array, words: int = 100_000) -> Iterator[list[tuple[int, str, list[str]]]]:
+def portions(texts: pa.Array, words: int = 50_000) -> Iterator[list[tuple[int, str, list[str]]]]:
     """All texts that have words, as (index, text, words), in lists that end with the text that fills them."""
     part, n = [], 0
     for i in range(len(texts)):
@@ -399,31 +410,47 @@ def portions(texts: pa.Array, words: int = 100_000) -> Iterator[list[tuple[int,
         yield part
 
 
-def add_span(text: str, spans: list[Span], a: int, b: int, kind: int) -> None:
-    """Adds a decoded span, without quotes and end marks around it, unless it overlaps one that is there already."""
+def trimmed(text: str, a: int, b: int, kind: int) -> tuple[int, int]:
+    """A decoded span without quotes and end marks around it, and without the name that a secret is assigned to."""
     while a < b and text[a] in _TRIM_LEFT and not (kind == 3 and text[a] == "("):
         a += 1
     while b > a and text[b - 1] in _TRIM_RIGHT:
         b -= 1
-    if kind == 4 and "=" in text[a:b]:
-        a += text[a:b].index("=") + 1
+    if kind == 4 and (equals := text.find("=", a, b)) >= 0:
+        a = equals + 1
         while a < b and text[a] in _TRIM_LEFT:
             a += 1
-    if a < b and not any(s < b and a < e for s, _, e in spans):
-        spans.append((a, kind, b))
+    return a, b
 
 
 def spell(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def labelled_table(spark: SparkSession, n: int = 1500, seed: int = 5) -> DataFrame:
+    """The standard training table: words array<string>, labels array<int> (places in LABELS), a row a sentence."""
+    return spark.createDataFrame([{"words": ws, "labels": ls} for ws, ls in examples(n, seed)], "words array<string>, labels array<int>")
+
+
+def fit_field(table: DataFrame, limit: int = FIT_ROWS) -> Field:
+    """The field of a labelled table (words, labels), of at most ``limit`` of its rows, those of the smallest hash.
+
+    Rows that are null or empty, or whose words and labels differ in number, are left out; a null word is empty; labels
+    outside LABELS count as O. An empty table gives a field that finds nothing.
+    """
+    some = table.select("words", "labels").where("size(words) > 0 AND size(words) = size(labels)")
+    rows = some.orderBy(F.xxhash64("words", "labels"), "words", "labels").limit(limit).collect()  # at most ``limit`` rows
+    kind = lambda x: x if x is not None and 0 <= x < len(LABELS) else 0
+    return train([([w or "" for w in r["words"]], [kind(x) for x in r["labels"]]) for r in rows])
+
+
 _field: list[Field] = []
 
 
-def trained() -> Field:
+def trained(spark: SparkSession) -> Field:
     """The field of the standard training table, fitted once a process."""
     if not _field:
-        _field.append(train(examples()))
+        _field.append(fit_field(labelled_table(spark)))
     return _field[0]
 
 
@@ -441,8 +468,9 @@ def find_pii(docs: DataFrame, field: Field, text: str = "text", redacted: bool =
     """Adds n_email, n_ip, n_card, n_phone (base spans), base and spans (kind:start:end, comma-joined) to docs.
 
     With ``redacted`` the text column is replaced by the redacted text instead of being dropped. A null text has no
-    spans (and stays null); texts are read whole, in time linear in their length; an empty table gives no rows; columns
-    named like the added ones are replaced.
+    spans (and stays null); texts are read whole, in time linear in their length; each row is judged alone, so repeated rows
+    and ids are as many results; of decoded spans that overlap a base span the base one stays; an empty table gives no
+    rows; columns named like the added ones are replaced.
     """
     added = ("n_email", "n_ip", "n_card", "n_phone", "base", "spans")
     keep = [c for c in docs.columns if c not in added and c != text]
@@ -468,5 +496,5 @@ def find_pii(docs: DataFrame, field: Field, text: str = "text", redacted: bool =
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.tune(spark)
-    found = find_pii(common.table(spark, sf_dir, "documents").select("doc_id", "text"), trained())
+    found = find_pii(common.table(spark, sf_dir, "documents").select("doc_id", "text"), trained(spark))
     return found.selectExpr("doc_id", "n_email", "n_ip", "n_card", "n_phone", "sha2(base, 256) AS base_sha256", "spans")
