@@ -34,7 +34,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind."""
     common.tune(spark)
-    found = pii.find_pii(docs.select(*COLUMNS), pii.trained(), redacted=True)
+    found = pii.find_pii(docs.select(*COLUMNS), pii.trained(spark), redacted=True)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
