@@ -1,18 +1,20 @@
 """Finding stretches of L tokens that also start in a document with a smaller id, over all documents.
 
-Tokens are bytes or words. The search is exact up to 96-bit hash collisions in one step and costs far less than
-comparing all stretches:
+Tokens are bytes or words. The search is exact and costs far less than comparing all stretches:
 
 A. Winnowing picks anchors: of any L consecutive tokens, the k-grams with the least hash. Equal stretches hold equal
    anchors at equal places, so only stretches around an anchor that a second document has (a shared anchor) matter.
-B. A context is all that can stand in a stretch with the anchor: L - k tokens before it and L from its start. Where a
-   smaller document has the whole context, all stretches with the anchor go.
-C. What is left are contexts that differ from another one around the same anchor: borders of what was copied. The first
-   document of each such context publishes its stretches, which are compared one by one.
-
-Every question (who else has this key?) is put once a chunk of text and key, not once an occurrence, so a line that
-stands in a third of all documents costs a task one row a chunk. Chunks are a table bucketed by chunk number: answers
-travel to the text, the text itself is never shuffled.
+B. A context is all that can stand in a stretch with the anchor: L - k tokens before it and L from its start. The distinct
+   contexts of a chunk of text go, with their text, to the bucket of their anchor.
+C. There they are sorted as suffixes (see ``suffixes``), and equal ones are verified on their bytes. Contexts that a smaller
+   document has whole go whole; of those that differ, the stretches are sorted in the same way, one place at a time.
+
+An anchor with more than HOT contexts would make a bucket of unbounded work. Its stretches are dealt one by one instead,
+by their own hash, and equal ones are verified on their bytes too: another way to the same answer, in smaller shares.
+
+Every question (who else has this?) is put once a chunk of text, not once an occurrence, so a line that stands in a third
+of all documents costs a task one row a chunk. Chunks are a table bucketed by chunk number: answers travel to the text,
+the text itself is never shuffled whole.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from quillstream.llm import common
 
 #: Bytes of text in a chunk. Under half a heap region, so that rows are no humongous objects to the executors.
 CHUNK = 384 << 10
-#: Distinct contexts of an anchor from which on its stretches are dealt one by one instead of by anchor.
-HOT = 4096
-#: Contexts that are sorted at once.
-SLICE = 4096
+#: Contexts of an anchor (by an upper estimate) from which on its stretches are dealt one by one instead of by anchor.
+HOT = 8192
+#: Contexts that are sorted at once, and spans whose bytes are compared at once.
+SLICE, SPANS = 8192, 20_000
 _K1, _K2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -43,7 +45,6 @@ class Spec:
     unit: str  # "bytes" or "words"
     length: int
     gram: int
-    texts: bool  # whether step C compares the texts themselves (by suffix sort) or hashes of stretches
 
 
 # --- chunks -------------------------------------------------------------------------------------------------------------
@@ -81,7 +82,12 @@ def chunk_table(docs: DataFrame, scratch: common.Scratch, parts: int, batch: str
     made = docs.select("doc_id", "text", *([batch] if batch else [])).mapInArrow(pack, "chunk long, batch int, ids binary, offs binary, text binary")
     name = f"quill_chunks_{uuid.uuid4().hex[:12]}"
     made.write.option("path", f"{scratch.root}/chunks").option("compression", "zstd").bucketBy(parts, "chunk").saveAsTable(name)
-    return docs.sparkSession.table(name)
+    out = docs.sparkSession.table(name)
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # external: the plan keeps the files and their bucketing, the catalog nothing
+    wrong = F.pmod(F.hash("chunk"), F.lit(parts)) != F.pmod(F.shiftright("chunk", 32), F.lit(parts))
+    if out.where(wrong).limit(1).count():
+        raise RuntimeError("chunk numbers don't follow Spark's bucket hash")
+    return out
 
 
 def bucket_ids(part: int, buckets: int) -> Iterator[int]:
@@ -110,29 +116,34 @@ def parts_for(chunks: DataFrame, each: int = 24 << 20) -> int:
 
 
 class Chunk:
-    """One chunk's tokens; everything that the steps need of it, computed on demand."""
+    """One chunk's tokens; everything that the steps need of it, computed on demand.
+
+    Of words, ``data`` holds their bytes with one space after each, so equal stretches of words have equal bytes.
+    """
 
     def __init__(self, ids: bytes, offs: bytes, text: bytes, spec: Spec):
         self.spec = spec
-        self.ids, byte_offs, self.data = np.frombuffer(ids, np.int64), np.frombuffer(offs, np.int64), np.frombuffer(text, np.uint8)
-        self.byte_offs = byte_offs
+        self.ids, self.byte_offs, self.data = np.frombuffer(ids, np.int64), np.frombuffer(offs, np.int64), np.frombuffer(text, np.uint8)
         if spec.unit == "words":
-            self.start, self.end, self.offs = common.words(self.data, byte_offs) if len(self.data) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(byte_offs), np.int64))
+            start, end, self.offs = common.words(self.data, self.byte_offs) if len(self.data) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(self.byte_offs), np.int64))
+            n = end - start + 1
+            ends = np.cumsum(n)
+            self.data = np.append(self.data, np.uint8(0x20))[np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+            self.data[ends - 1] = 0x20
+            self.start = np.append(ends - n, len(self.data))
         else:
-            self.offs = byte_offs
+            self.offs, self.start = self.byte_offs, np.arange(len(self.data) + 1)
         self.n = int(self.offs[-1])
 
     def anchors(self) -> None:
         """pos, doc and hash (h) of the anchors."""
         spec, n = self.spec, self.n
-        values = common.word_hashes(self.data, self.start, self.end) if spec.unit == "words" and self.n else common.BYTE_VALUES[self.data]
-        self.hash1 = common.Prefixes(values)
-        self._values = values
+        self.hash = common.Prefixes(token_values(self.data, self.start))
         length, k, w = spec.length, spec.gram, spec.length - spec.gram + 1
         if n < length:
             self.pos, self.h, self.doc = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
             return
-        g = common.mix(self.hash1.grams(k))
+        g = common.mix(self.hash.grams(k))
         rank = (g >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         least = sliding(np.minimum, rank, w)
         across = np.zeros(n - length + 2, np.int32)  # stretches that would cross from one document to the next
@@ -144,18 +155,85 @@ class Chunk:
         self.h = g[self.pos]
         self.doc = np.searchsorted(self.offs, self.pos, "right") - 1
 
-    def restrict(self, keys: np.ndarray) -> None:
-        """Keeps the anchors whose hash is in keys, and computes their contexts."""
+    def among(self, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """begin, end, place and hash of the anchor, and id of the contexts of the anchors whose hash is in keys."""
         on = member(keys, self.h)
-        self.pos, self.h, self.doc = self.pos[on], self.h[on], self.doc[on]
-        s = self.spec
-        self.left = np.minimum(self.pos - self.offs[self.doc], s.length - s.gram)
-        self.right = np.minimum(self.offs[self.doc + 1] - self.pos, s.length)
-        a, b = self.pos - self.left, self.pos + self.right
-        salt = self.left.astype(np.uint64) * _K1 + self.right.astype(np.uint64) * _K2
-        self.c1 = common.mix(self.hash1.of(a, b) + salt)
-        self.hash2 = common.Prefixes(self._values, common.BASES[1])
-        self.c2 = (common.mix(self.hash2.of(a, b) ^ salt) >> np.uint64(32)).astype(np.uint32)
+        pos, doc, s = self.pos[on], self.doc[on], self.spec
+        begin = np.maximum(self.offs[doc], pos - (s.length - s.gram))
+        end = np.minimum(self.offs[doc + 1], pos + s.length)
+        return begin, end, pos, self.h[on], self.ids[doc]
+
+    def contexts(self, keys: np.ndarray) -> Runs:
+        begin, end, pos, h, ids = self.among(keys)
+        salt = (pos - begin).astype(np.uint64) * _K1 + (end - pos).astype(np.uint64) * _K2
+        return Runs(self, begin, end, pos, h, ids, common.mix(self.hash.of(begin, end) + salt))
+
+    def stretches(self, keys: np.ndarray) -> Runs:
+        """Every stretch with one of the anchors."""
+        begin, end, _, _, ids = self.among(keys)
+        n = end - begin - self.spec.length + 1
+        s, at = np.unique(np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum()), return_index=True)
+        h = common.mix(self.hash.of(s, s + self.spec.length))
+        return Runs(self, s, s + self.spec.length, s, h, np.repeat(ids, n)[at], h)
+
+
+class Runs:
+    """Equal stretches of a chunk together: ``order`` sorts them, a run begins at each of ``starts``, its least id first.
+
+    Equal means equal bytes: neighbours of one hash are compared. The order depends on the chunk alone, so a run's number
+    means the same in every step.
+    """
+
+    def __init__(self, c: Chunk, begin: np.ndarray, end: np.ndarray, pos: np.ndarray, h: np.ndarray, ids: np.ndarray, code: np.ndarray):
+        self.begin, self.end, self.pos, self.h, self.ids = begin, end, pos, h, ids
+        self.order = order = np.lexsort((begin, ids, code))
+        a, b = c.start[begin[order]], c.start[end[order]]
+        new = np.ones(len(order), bool)
+        if len(order):
+            near = code[order][1:] == code[order][:-1]
+            near[near] = same_bytes(c.data, a[1:][near], a[:-1][near], (b - a)[1:][near], (b - a)[:-1][near])
+            near &= (pos - begin)[order][1:] == (pos - begin)[order][:-1]
+            new[1:] = ~near
+        self.starts = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.starts, len(order)))
+        self.first = order[self.starts]
+
+    def known(self) -> np.ndarray:
+        """Those of larger ids than the least of their run."""
+        out = np.zeros(len(self.order), bool)
+        out[self.order] = self.ids[self.order] > np.repeat(self.ids[self.first], self.size)
+        return out
+
+    def members(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All of the runs of these numbers, and for each the place in ``number``."""
+        n = self.size[number]
+        return self.order[np.repeat(self.starts[number] - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(np.arange(len(number)), n)
+
+
+def token_values(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each token: of a byte from a table, of a word (with one space after it) its hash."""
+    if len(start) == len(data) + 1:
+        return common.BYTE_VALUES[data]
+    return common.word_hashes(data, start[:-1], start[1:] - 1)
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the spans at a (of n bytes) and at b (of m) hold the same bytes."""
+    out = n == m
+    for at in range(0, len(a), SPANS):
+        k = at + np.flatnonzero(out[at : at + SPANS] & (n[at : at + SPANS] > 0))
+        if len(k):
+            ends = np.cumsum(n[k])
+            inner = np.arange(ends[-1]) - np.repeat(ends - n[k], n[k])
+            differ = data[np.repeat(a[k], n[k]) + inner] != data[np.repeat(b[k], n[k]) + inner]
+            out[k] = np.add.reduceat(differ, ends - n[k], dtype=np.int64) == 0
+    return out
+
+
+def spans_of(data: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The bytes of spans, one after the other."""
+    ends = np.cumsum(n)
+    return data[np.repeat(begin - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def sliding(op: np.ufunc, a: np.ndarray, w: int) -> np.ndarray:
@@ -274,10 +352,12 @@ def joined(box: dict[int, list[tuple]], kind: int, col: int, dtype: str) -> np.n
 
 # --- step A ---------------------------------------------------------------------------------------------------------------
 ASK, SHARED = 0, 1
+#: Of an anchor's mark in a chunk: two of its documents have it; the other bits are the rounded up logarithm of its number.
+TWO_DOCS = 0x80
 
 
 def ask_anchors(chunks: DataFrame, spec: Spec, parts: int) -> DataFrame:
-    """Each chunk's distinct anchor hashes; those of two of its documents are flagged."""
+    """Each chunk's distinct anchor hashes with their marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,252 +369,159 @@ def ask_anchors(chunks: DataFrame, spec: Spec, parts: int) -> DataFrame:
                 h, doc = c.h[order], c.doc[order]
                 at = firsts(h)
                 if len(at):
-                    twice = doc[at] != doc[np.append(at[1:], len(h)) - 1]
-                    yield by_bucket(ASK, chunk, parts, h[at], twice.astype(np.uint8))
+                    end = np.append(at[1:], len(h))
+                    mark = np.ceil(np.log2(end - at)).astype(np.uint8) | np.where(doc[at] != doc[end - 1], TWO_DOCS, 0).astype(np.uint8)
+                    yield by_bucket(ASK, chunk, parts, h[at], mark)
 
     return chunks.select("chunk", "ids", "offs", "text").mapInArrow(run, MAIL)
 
 
 def shared_anchors(mail: DataFrame, parts: int) -> DataFrame:
-    """Answers: the hashes that a second document has."""
+    """Answers: the hashes that a second document has, and whether they are hot."""
 
     def run(kind: int, chunks: np.ndarray, blobs: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
         h, row = spread(blobs[0], "u8")
-        twice, _ = spread(blobs[1], "u1")
+        mark, _ = spread(blobs[1], "u1")
         order = np.argsort(h, kind="stable")
         starts = firsts(h[order])
         size = np.diff(np.append(starts, len(h)))
-        on = np.repeat((size > 1) | (np.maximum.reduceat(twice[order], starts) > 0), size)
-        keep = order[on]
-        yield from answers(SHARED, chunks, row[keep], h[keep])
+        on = np.repeat((size > 1) | (np.maximum.reduceat(mark[order], starts) >= TWO_DOCS), size)
+        hot = np.repeat(np.add.reduceat(np.exp2(mark[order] & 0x7F), starts) > HOT, size)
+        yield from answers(SHARED, chunks, row[order[on]], h[order[on]], hot[on].astype(np.uint8))
 
     return at_buckets(mail, parts, run)
 
 
-# --- step B ---------------------------------------------------------------------------------------------------------------
-CONTEXT, VARIANTS, OWNER, MIXED = 2, 3, 4, 5
-
+def told(box: dict[int, list[tuple]]) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's shared anchors: those sorted by context, and the hot ones, dealt by stretch."""
+    h, hot = joined(box, SHARED, 0, "u8"), joined(box, SHARED, 1, "u1")
+    return np.setdiff1d(h, h[hot > 0]), np.unique(h[hot > 0])
 
-def ask_contexts(chunks: DataFrame, shared: DataFrame, spec: Spec, parts: int) -> DataFrame:
-    def run(chunk: int, rows: tuple, box: dict) -> Iterator[pa.RecordBatch]:
-        keys = np.unique(joined(box, SHARED, 0, "u8"))
-        if not len(keys):
-            return
-        c = Chunk(*rows, spec)
-        c.anchors()
-        c.restrict(keys)
-        ids = c.ids[c.doc]
-        order = np.lexsort((ids, c.c2, c.c1))
-        at = order[firsts(c.c1[order], c.c2[order])]
-        yield by_bucket(CONTEXT, chunk, parts, c.c1[at], c.c2[at], ids[at])
-        # of each anchor: the least and greatest of its contexts, and how many
-        a = at[np.lexsort((c.c1[at], c.h[at]))]
-        s = firsts(c.h[a])
-        e = np.append(s[1:], len(a))
-        short = (c.c1[a] >> np.uint64(32)).astype(np.uint32)
-        yield by_bucket(VARIANTS, chunk, parts, c.h[a[s]], short[s], short[e - 1], (e - s).astype(np.uint32))
-
-    return at_chunks(chunks, [shared], run, MAIL)
-
-
-def context_answers(mail: DataFrame, parts: int) -> DataFrame:
-    def run(kind: int, chunks: np.ndarray, blobs: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        key, row = spread(blobs[0], "u8")
-        if kind == CONTEXT:
-            c2, ids = spread(blobs[1], "u4")[0], spread(blobs[2], "i8")[0]
-            order = np.lexsort((ids, c2, key))
-            starts = firsts(key[order], c2[order])
-            least = np.repeat(ids[order][starts], np.diff(np.append(starts, len(order))))
-            on = least < ids[order]
-            keep = order[on]
-            yield from answers(OWNER, chunks, row[keep], key[keep], least[on], c2[keep])
-        else:
-            lo, hi, n = spread(blobs[1], "u4")[0], spread(blobs[2], "u4")[0], spread(blobs[3], "u4")[0]
-            order = np.argsort(key, kind="stable")
-            starts = firsts(key[order])
-            size = np.diff(np.append(starts, len(order)))
-            on = np.minimum.reduceat(lo[order], starts) < np.maximum.reduceat(hi[order], starts)
-            hot = np.add.reduceat(n[order].astype(np.int64), starts) > HOT
-            keep = order[np.repeat(on, size)]
-            yield from answers(MIXED, chunks, row[keep], key[keep], np.repeat(hot, size)[np.repeat(on, size)].astype(np.uint8))
 
-    return at_buckets(mail, parts, run)
+# --- step B ---------------------------------------------------------------------------------------------------------------
+CONTEXTS, STRETCHES, GONE_C, GONE_S = 2, 3, 4, 5
+
+
+def ask_contexts(chunks: DataFrame, shared: list[DataFrame], spec: Spec, parts: int) -> DataFrame:
+    """Each chunk's distinct contexts (and the stretches of hot anchors) with their bytes, by bucket."""
+
+    def rows(kind: int, chunk: int, c: Chunk, r: Runs) -> pa.RecordBatch | None:
+        if not len(r.first):
+            return None
+        bucket = (r.h[r.first] % np.uint64(parts)).astype(np.int64)
+        number = np.argsort(bucket, kind="stable")
+        at, bucket = r.first[number], bucket[number]
+        cuts = np.searchsorted(bucket, np.arange(parts + 1))
+        on = np.flatnonzero(np.diff(cuts)).tolist()
+        begin = c.start[r.begin[at]]
+        n = c.start[r.end[at]] - begin
+        text, sums = spans_of(c.data, begin, n), np.concatenate([[0], np.cumsum(n)])
+        heads = np.stack([r.h[at].view(np.int64), r.ids[at]], 1)
+        size = np.stack([r.pos[at] - r.begin[at], r.end[at] - r.pos[at]], 1).astype(np.uint16)
+        marks = np.stack([number, n], 1).astype(np.uint32)
+        cols = [[x[cuts[b] : cuts[b + 1]].tobytes() for b in on] for x in (heads, size, marks)] + [[text[sums[cuts[b]] : sums[cuts[b + 1]]].tobytes() for b in on]]
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(on), pa.int32()), pa.array(on, pa.int32()), pa.array([chunk] * len(on), pa.int64()), *(pa.array(x, pa.binary()) for x in cols)], names=["kind", "bucket", "chunk", "a", "b", "c", "d"])
+
+    def run(chunk: int, texts: tuple, box: dict) -> Iterator[pa.RecordBatch]:
+        keys, hot = told(box)
+        if len(keys) or len(hot):
+            c = Chunk(*texts, spec)
+            c.anchors()
+            yield rows(CONTEXTS, chunk, c, c.contexts(keys))
+            yield rows(STRETCHES, chunk, c, c.stretches(hot))
+
+    return at_chunks(chunks, shared, run, MAIL)
 
 
 # --- step C ---------------------------------------------------------------------------------------------------------------
-COVER, TEXTS, STRETCHES, PLACES_T, PLACES_S, GONE_T, GONE_S = 6, 7, 8, 9, 10, 11, 12
-
+class Pool:
+    """Contexts (or stretches) of several chunks, their bytes one after the other, cut into tokens again."""
+
+    def __init__(self, unit: str, heads: np.ndarray, size: np.ndarray, n_bytes: np.ndarray, data: np.ndarray):
+        self.h, self.ids, self.left, self.right = heads[:, 0].view(np.uint64), heads[:, 1], size[:, 0].astype(np.int64), size[:, 1].astype(np.int64)
+        self.data = data
+        if unit == "words":
+            self.start = np.concatenate([[0], np.flatnonzero(data == 0x20) + 1])
+            self.begin = np.searchsorted(self.start, np.cumsum(n_bytes) - n_bytes)
+        else:
+            self.start = np.arange(len(data) + 1)
+            self.begin = np.cumsum(n_bytes) - n_bytes
 
-def publish(chunks: DataFrame, mail: list[DataFrame], spec: Spec, parts: int) -> DataFrame:
-    """What smaller documents cover whole, and the stretches of the contexts that only resemble others."""
+    def same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether n tokens from a and from b on hold the same bytes."""
+        x, y = self.start[a], self.start[b]
+        return same_bytes(self.data, x, y, self.start[a + n] - x, self.start[b + n] - y)
 
-    def run(chunk: int, rows: tuple, box: dict) -> Iterator[pa.RecordBatch]:
-        keys = np.unique(joined(box, SHARED, 0, "u8"))
-        if not len(keys):
-            return
-        c = Chunk(*rows, spec)
-        c.anchors()
-        c.restrict(keys)
-        ids = c.ids[c.doc]
-        order = np.lexsort((ids, c.c2, c.c1))
-        starts = firsts(c.c1[order], c.c2[order])
-        least = np.empty(len(order), np.int64)
-        least[order] = np.repeat(ids[order][starts], np.diff(np.append(starts, len(order))))
-        k1, owner, k2 = joined(box, OWNER, 0, "u8"), joined(box, OWNER, 1, "i8"), joined(box, OWNER, 2, "u4")
-        o = np.lexsort((k2, k1))
-        k1, k2, owner = k1[o], k2[o], owner[o]
-        if len(k1):
-            first, last = np.searchsorted(k1, c.c1), np.searchsorted(k1, c.c1, "right")
-            for step in range(int((last - first).max(initial=0))):  # more than one only where 64 bits collide
-                at = np.minimum(first + step, len(k1) - 1)
-                same = (first + step < last) & (k2[at] == c.c2)
-                least[same] = np.minimum(least[same], owner[at[same]])
-        covered = ids > least
-        a, b = (c.pos - c.left)[covered], (c.pos + c.right)[covered]
-        if len(a):
-            yield to_chunk(COVER, [chunk], [[x.astype(np.int32).tobytes()] for x in islands(a, b)])
-        mixed, hot = joined(box, MIXED, 0, "u8"), joined(box, MIXED, 1, "u1")
-        o = np.argsort(mixed)
-        mixed, hot = mixed[o], hot[o]
-        open_ = np.flatnonzero(~covered & member(mixed, c.h))
-        if not len(open_):
-            return
-        is_hot = hot[np.searchsorted(mixed, c.h[open_])] > 0
-        by_text = open_[~is_hot] if spec.texts else open_[:0]
-        by_hash = open_[is_hot] if spec.texts else open_
-        if len(by_text):
-            order = by_text[np.lexsort((c.c2[by_text], c.c1[by_text]))]
-            at = order[firsts(c.c1[order], c.c2[order])]
-            out = by_bucket_texts(chunk, parts, c, at)
-            yield out
-            yield to_chunk(PLACES_T, [chunk], [[c.c1[order].tobytes()], [(c.pos - c.left)[order].astype(np.int32).tobytes()]])
-        if len(by_hash):
-            n = (c.left + c.right)[by_hash] - spec.length + 1
-            s = np.repeat((c.pos - c.left)[by_hash] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            doc = np.repeat(c.doc[by_hash], n)
-            s, at = np.unique(s, return_index=True)
-            doc = doc[at]
-            w1 = common.mix(c.hash1.of(s, s + spec.length))
-            w2 = common.mix(c.hash2.of(s, s + spec.length))
-            owner_ = c.ids[doc]
-            order = np.lexsort((owner_, w2, w1))
-            at = order[firsts(w1[order], w2[order])]
-            yield by_bucket(STRETCHES, chunk, parts, w1[at], w2[at], owner_[at])
-            order = np.argsort(w1, kind="stable")
-            yield to_chunk(PLACES_S, [chunk], [[w1[order].tobytes()], [s[order].astype(np.int32).tobytes()], [owner_[order].tobytes()], [w2[order].tobytes()]])
-
-    return at_chunks(chunks, mail, run, MAIL)
-
-
-def islands(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Intervals joined where they touch or overlap; a is sorted."""
-    reach = np.maximum.accumulate(b)
-    new = np.concatenate([[True], a[1:] > reach[:-1]])
-    s = np.flatnonzero(new)
-    return a[s], reach[np.append(s[1:], len(a)) - 1]
-
-
-def by_bucket_texts(chunk: int, parts: int, c: Chunk, at: np.ndarray) -> pa.RecordBatch:
-    """Contexts with their bytes, by bucket of the anchor: heads (h, c1, id, left, right) and joined texts."""
-    bucket = (c.h[at] % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    at, bucket = at[order], bucket[order]
-    cuts = np.searchsorted(bucket, np.arange(parts + 1))
-    on = np.flatnonzero(np.diff(cuts)).tolist()
-    n = (c.left + c.right)[at]
-    sums = np.concatenate([[0], np.cumsum(n)])
-    text = c.data[np.repeat((c.pos - c.left)[at] - sums[:-1], n) + np.arange(sums[-1])]
-    size = np.stack([c.left[at], c.right[at]], 1).astype(np.uint16)
-    h1 = np.stack([c.h[at], c.c1[at]], 1)
-    ids = c.ids[c.doc[at]]
-    cut = lambda x, b: x[cuts[b] : cuts[b + 1]].tobytes()
-    return pa.RecordBatch.from_arrays([pa.array([TEXTS] * len(on), pa.int32()), pa.array(on, pa.int32()), pa.array([chunk] * len(on), pa.int64()), pa.array([cut(h1, b) for b in on], pa.binary()), pa.array([cut(ids, b) for b in on], pa.binary()), pa.array([cut(size, b) for b in on], pa.binary()), pa.array([text[sums[cuts[b]] : sums[cuts[b + 1]]].tobytes() for b in on], pa.binary())], names=["kind", "bucket", "chunk", "a", "b", "c", "d"])
 
-
-def stretch_answers(mail: DataFrame, parts: int, spec: Spec, sort: Callable | None = None) -> DataFrame:
-    """Answers: published stretches that a smaller document has too."""
+def gone(mail: DataFrame, spec: Spec, parts: int, sort: Callable[[Pool, int], tuple]) -> DataFrame:
+    """Answers: stretches that a smaller document has too, as ranges of places in a context, by its number in the chunk."""
 
     def run(kind: int, chunks: np.ndarray, blobs: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        if kind == STRETCHES:
-            w1, row = spread(blobs[0], "u8")
-            w2, ids = spread(blobs[1], "u8")[0], spread(blobs[2], "i8")[0]
-            order = np.lexsort((ids, w2, w1))
-            starts = firsts(w1[order], w2[order])
-            size = np.diff(np.append(starts, len(order)))
-            # rows of one chunk stand for several documents of it, so every chunk that shares one gets the least id
-            on = np.repeat(size > 1, size)
-            keep = order[on]
-            yield from answers(GONE_S, chunks, row[keep], w1[keep], np.repeat(ids[order][starts], size)[on], w2[keep])
-        else:
-            heads, row = spread(blobs[0], "u8")
-            heads, row = heads.reshape(-1, 2), row[::2]
-            ids, size, text = spread(blobs[1], "i8")[0], spread(blobs[2], "u2")[0].reshape(-1, 2).astype(np.int64), spread(blobs[3], "u1")[0]
-            n = size.sum(1)
-            begin = np.cumsum(n) - n
-            order = np.argsort(heads[:, 0], kind="stable")
-            starts = np.append(firsts(heads[order, 0]), len(order))
-            at = 0
-            while at < len(starts) - 1:  # some anchors at a time, so that the sort's memory is bounded
-                end = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE, "right")) - 1)
-                k = order[starts[at] : starts[end]]
-                sums = np.cumsum(n[k])
-                part = text[np.repeat(begin[k] - sums + n[k], n[k]) + np.arange(sums[-1])]
-                context, offset = sort(heads[k, 0], ids[k], size[k, 0], size[k, 1], part, spec.length)
-                yield from answers(GONE_T, chunks, row[k[context]], heads[k[context], 1], offset.astype(np.uint16))
-                at = end
+        heads, row = spread(blobs[0], "i8")
+        heads, row = heads.reshape(-1, 2), row[::2]
+        size, marks = spread(blobs[1], "u2")[0].reshape(-1, 2), spread(blobs[2], "u4")[0].reshape(-1, 2).astype(np.int64)
+        text = spread(blobs[3], "u1")[0]
+        number, n = marks[:, 0], marks[:, 1]
+        begin = np.cumsum(n) - n
+        order = np.lexsort((heads[:, 1], heads[:, 0]))
+        starts = np.append(firsts(heads[order, 0]), len(order))
+        at = 0
+        while at < len(starts) - 1:  # some anchors at a time, so that the sort's memory is bounded
+            end = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE, "right")) - 1)
+            k = order[starts[at] : starts[end]]
+            pool = Pool(spec.unit, heads[k], size[k], n[k], spans_of(text, begin[k], n[k]))
+            if kind == CONTEXTS:
+                which, first, last = sort(pool, spec.length)
+                yield from answers(GONE_C, chunks, row[k[which]], number[k[which]].astype(np.uint32), first.astype(np.uint16), last.astype(np.uint16))
+            else:
+                which = later_copies(pool)
+                yield from answers(GONE_S, chunks, row[k[which]], number[k[which]].astype(np.uint32))
+            at = end
 
     return at_buckets(mail, parts, run)
 
 
+def later_copies(pool: Pool) -> np.ndarray:
+    """Of stretches sorted by hash and id, those that one of a smaller id equals: neighbours of one hash are verified."""
+    new = np.ones(len(pool.h), bool)
+    near = np.flatnonzero(pool.h[1:] == pool.h[:-1]) + 1
+    new[near] = ~pool.same(pool.begin[near], pool.begin[near - 1], pool.right[near])
+    starts = np.flatnonzero(new)
+    return np.flatnonzero(pool.ids > np.repeat(pool.ids[starts], np.diff(np.append(starts, len(new)))))
+
+
 # --- the end --------------------------------------------------------------------------------------------------------------
 def removed(c: Chunk, box: dict) -> np.ndarray:
     """Which of a chunk's tokens go."""
     edge = np.zeros(c.n + 1, np.int32)
-    length = c.spec.length
-    for a, b, *_ in box.get(COVER, []):
-        np.add.at(edge, np.frombuffer(a, np.int32), 1)
-        np.add.at(edge, np.frombuffer(b, np.int32), -1)
-    spots = []
-    places, at = joined(box, PLACES_T, 0, "u8"), joined(box, PLACES_T, 1, "i4")
-    gone, offset = joined(box, GONE_T, 0, "u8"), joined(box, GONE_T, 1, "u2")
-    if len(places) and len(gone):
-        order = np.argsort(places, kind="stable")
-        first, last = np.searchsorted(places[order], gone), np.searchsorted(places[order], gone, "right")
-        n = last - first
-        which = order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        spots.append(at[which] + np.repeat(offset, n))
-    places, at, owner, second = (joined(box, PLACES_S, k, t) for k, t in enumerate(("u8", "i4", "i8", "u8")))
-    gone, least, second_ = (joined(box, GONE_S, k, t) for k, t in enumerate(("u8", "i8", "u8")))
-    if len(places):
-        # stretches that two documents of this chunk have, then those that other chunks have
-        order = np.lexsort((owner, second, places))
-        starts = firsts(places[order], second[order])
-        low = np.empty(len(order), np.int64)
-        low[order] = np.repeat(owner[order][starts], np.diff(np.append(starts, len(order))))
-        if len(gone):
-            o = np.lexsort((second_, gone))
-            gone, least, second_ = gone[o], least[o], second_[o]
-            first, last = np.searchsorted(gone, places), np.searchsorted(gone, places, "right")
-            for step in range(int((last - first).max(initial=0))):
-                k = np.minimum(first + step, len(gone) - 1)
-                same = (first + step < last) & (second_[k] == second)
-                low[same] = np.minimum(low[same], least[k[same]])
-        spots.append(at[low < owner])
-    for s in spots:
-        np.add.at(edge, s, 1)
-        np.add.at(edge, s + length, -1)
+    keys, hot = told(box)
+    if len(keys) or len(hot):
+        c.anchors()
+
+        def cover(begin: np.ndarray, end: np.ndarray) -> None:
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, end, -1)
+
+        r = c.contexts(keys)
+        here = r.known()
+        cover(r.begin[here], r.end[here])
+        which, place = r.members(joined(box, GONE_C, 0, "u4").astype(np.int64))
+        first, last = joined(box, GONE_C, 1, "u2").astype(np.int64), joined(box, GONE_C, 2, "u2").astype(np.int64)
+        cover(r.begin[which] + first[place], r.begin[which] + last[place] + c.spec.length)
+        r = c.stretches(hot)
+        here = r.known()
+        here[r.members(joined(box, GONE_S, 0, "u4").astype(np.int64))[0]] = True
+        cover(r.begin[here], r.end[here])
     return np.cumsum(edge[:-1]) > 0
 
 
-def verify_and_finish(chunks: DataFrame, shared: DataFrame, spec: Spec, scratch: common.Scratch, parts: int, finish: Callable[[Chunk, np.ndarray], pa.RecordBatch], schema: str, sort: Callable | None = None) -> DataFrame:
-    """Steps B and C for the shared anchors, and finish(chunk, removed tokens) for every chunk."""
-    contexts = context_answers(ask_contexts(chunks, shared, spec, parts), parts)
-    said = scratch.table(publish(chunks, [shared, contexts], spec, parts), "said")
+def verify_and_finish(chunks: DataFrame, shared: list[DataFrame], spec: Spec, scratch: common.Scratch, parts: int, finish: Callable[[Chunk, np.ndarray], pa.RecordBatch], schema: str, sort: Callable[[Pool, int], tuple]) -> DataFrame:
+    """Steps B and C for the shared anchors (tables of answers), and finish(chunk, removed tokens) for every chunk."""
+    answers_ = scratch.table(gone(ask_contexts(chunks, shared, spec, parts), spec, parts, sort), "gone")
     scratch.tidy()
-    gone = stretch_answers(said.where(F.col("kind").isin(TEXTS, STRETCHES)), parts, spec, sort)
 
-    def run(chunk: int, rows: tuple, box: dict) -> Iterator[pa.RecordBatch]:
-        c = Chunk(*rows, spec)
+    def run(chunk: int, texts: tuple, box: dict) -> Iterator[pa.RecordBatch]:
+        c = Chunk(*texts, spec)
         yield finish(c, removed(c, box) if box else np.zeros(c.n, bool))
 
-    return at_chunks(chunks, [said.where(F.col("kind").isin(COVER, PLACES_T, PLACES_S)), gone], run, schema)
+    return at_chunks(chunks, [*shared, answers_], run, schema)

@@ -1,8 +1,8 @@
 """Suffix-array dedup: bytes covered by 50-byte strings that a document with a smaller id has too.
 
-The suffixes that can matter (those around anchors, see ``matching``) are sorted by a mergesort whose comparisons take a
-logarithmic number of steps: prefix polynomial hashes and a binary search give the common extension of two suffixes.
-Neighbours that agree for 50 bytes by hash are verified byte by byte.
+The suffixes that can matter (those at contexts of shared anchors, see ``matching``) are sorted by a mergesort whose
+comparisons take a logarithmic number of steps: prefix polynomial hashes and a binary search give the common extension of
+two suffixes. Neighbours that agree by hash are verified byte by byte; only those count as equal.
 """
 
 from __future__ import annotations
@@ -19,20 +19,25 @@ from quillstream.llm import common, matching
 LENGTH, GRAM = 50, 28
 
 
-def common_extension(p: common.Prefixes, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
-    """How many bytes the suffixes at i and j share, up to ``most``, by binary search over prefix hashes."""
+def common_extension(p: common.Prefixes, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many tokens the suffixes at i and j share, up to ``most``: all of them, or found by binary search over prefix
+    hashes."""
     a, b, x, y = p.sums[i], p.sums[j], p.down[i], p.down[j]
-    lo, hi = np.zeros(len(i), np.int32), np.full(len(i), most, np.int32)
-    for _ in range(int(most).bit_length()):
+    out = most.copy()
+    on = np.flatnonzero((p.sums[i + most] - a) * x != (p.sums[j + most] - b) * y)
+    i, j, a, b, x, y = (v[on] for v in (i, j, a, b, x, y))
+    lo, hi = np.zeros(len(on), np.int64), most[on] - 1
+    for _ in range(int(most.max(initial=0)).bit_length()):
         mid = (lo + hi + 1) >> 1
         same = (p.sums[i + mid] - a) * x == (p.sums[j + mid] - b) * y
         lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
         hi = np.maximum(lo, hi)
-    return lo
+    out[on] = lo
+    return out
 
 
-def suffix_sort(text: np.ndarray, at: np.ndarray, group: np.ndarray, most: int, p: common.Prefixes) -> np.ndarray:
-    """Order of the suffixes at ``at`` by (group, their first ``most`` bytes), stable. group is sorted.
+def suffix_sort(values: np.ndarray, at: np.ndarray, group: np.ndarray, most: np.ndarray, p: common.Prefixes) -> np.ndarray:
+    """Order of the suffixes at ``at`` by (group, their first ``most`` tokens), stable. group is sorted, most one a group.
 
     Mergesort from runs of one: in each round the place of every suffix in its merged run is found by binary search in
     the neighbouring run, for all suffixes of all groups at once.
@@ -58,11 +63,12 @@ def suffix_sort(text: np.ndarray, at: np.ndarray, group: np.ndarray, most: int,
                 break
             mid = (lo[on] + hi[on]) >> 1
             y = at[order[base[live[on]] + mid]]
-            e = common_extension(p, x[on], y, most)
-            full = e == most
-            k = np.minimum(e, most - 1)
+            m = most[live[on]]
+            e = common_extension(p, x[on], y, m)
+            full = e == m
+            k = np.minimum(e, m - 1)
             # a left suffix goes before equal ones of the right run, a right one after those of the left
-            past = np.where(full, ~left[on], text[y + k] < text[x[on] + k])
+            past = np.where(full, ~left[on], values[y + k] < values[x[on] + k])
             lo[on] = np.where(past, mid + 1, lo[on])
             hi[on] = np.where(past, hi[on], mid)
         target = base[live] + np.minimum(mine, other) * run + (inner - mine * run) + (lo - first)
@@ -73,38 +79,63 @@ def suffix_sort(text: np.ndarray, at: np.ndarray, group: np.ndarray, most: int,
     return order
 
 
-def repeated(anchor: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, offset) of each stretch that a context of a smaller id has at the same distance from an equal anchor."""
-    begin = np.cumsum(left + right) - left - right
-    n = left + right - length + 1
-    context = np.repeat(np.arange(len(ids)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    key = common.mix(anchor[context] + (left[context] - offset).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key, kind="stable")
-    alone = np.zeros(len(order), bool)  # a group of one has nobody to share with
-    k = key[order]
-    alone[1:] = k[1:] != k[:-1]
-    alone[:1] = True
-    alone[:-1] &= np.append(k[1:] != k[:-1], True)[: max(len(k) - 1, 0)]
-    order = order[~alone]
-    if not len(order):
-        return context[:0], offset[:0]
-    at = (begin[context] + offset)[order]
-    p = common.Prefixes(common.BYTE_VALUES[text])
-    rank = suffix_sort(text, at, key[order], length, p)
-    sorted_at, g, who = at[rank], key[order], order[rank]
-    same = np.zeros(len(rank), bool)
-    same[1:] = (g[1:] == g[:-1]) & (common_extension(p, sorted_at[1:], sorted_at[:-1], length) == length)
-    pairs = np.flatnonzero(same)
-    for s in range(0, len(pairs), 20_000):  # collision check: the bytes themselves
-        q = pairs[s : s + 20_000]
-        span = np.arange(length)
-        same[q] = (text[sorted_at[q][:, None] + span] == text[sorted_at[q - 1][:, None] + span]).all(1)
-    starts = np.flatnonzero(~same)
-    doc = ids[context[who]]
-    least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(rank))))
-    on = least < doc
-    return context[who[on]], offset[who[on]]
+def classes(pool: matching.Pool, p: common.Prefixes, values: np.ndarray, at: np.ndarray, group: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): the suffixes at ``at`` in order, equal ones of a group together. What stands alone in its group
+    needs no sort."""
+    order = np.argsort(group, kind="stable")
+    g = group[order]
+    twin = np.zeros(len(order), bool)
+    twin[1:] = g[1:] == g[:-1]
+    new = ~twin
+    twin[:-1] |= twin[1:].copy()
+    live = np.flatnonzero(twin)
+    if len(live):
+        some = order[live]
+        order[live] = some = some[suffix_sort(values, at[some], g[live], most[some], p)]
+        near = np.flatnonzero(~new[live])
+        a, b = some[near], some[near - 1]
+        same = common_extension(p, at[a], at[b], most[a]) == most[a]
+        same[same] = pool.same(at[a[same]], at[b[same]], most[a[same]])  # collision check: the bytes themselves
+        new[live[near[~same]]] = True
+    return order, np.flatnonzero(new)
+
+
+def repeated(pool: matching.Pool, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first, last): ranges of places whose stretches a context of a smaller id has at the same distance from an
+    equal anchor. Contexts that are equal whole are one class; the stretches of what differs are sorted place by place."""
+    values = matching.token_values(pool.data, pool.start)
+    p, n = common.Prefixes(values), pool.left + pool.right
+    key = lambda left, rest: common.mix(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rest.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
+    order, starts = classes(pool, p, values, pool.begin, common.mix(pool.h ^ key(pool.left, pool.right)), n)
+    size = np.diff(np.append(starts, len(order)))
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(pool.ids[order], starts), size)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.repeat(np.arange(len(starts)), size)
+    whole = np.flatnonzero(pool.ids > least)
+    # one context of each class, of anchors that have several
+    head = order[starts]
+    anchors, at, count = np.unique(pool.h[head], return_inverse=True, return_counts=True)
+    head = head[count[at] > 1]
+    m = n[head] - length + 1
+    context, offset = np.repeat(head, m), np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    group = common.mix(pool.h[context] ^ key(pool.left[context] - offset, np.zeros(len(context), np.int64)))
+    order, starts = classes(pool, p, values, pool.begin[context] + offset, group, np.full(len(context), length))
+    low = least[context][order]
+    on = order[np.repeat(np.minimum.reduceat(low, starts), np.diff(np.append(starts, len(order)))) < low] if len(order) else order
+    on = np.sort(on)  # by context and place
+    breaks = np.ones(len(on), bool)
+    breaks[1:] = (context[on][1:] != context[on][:-1]) | (offset[on][1:] != offset[on][:-1] + 1)
+    s = np.flatnonzero(breaks)
+    e = np.append(s[1:], len(on)) - 1
+    cls, first, last = number[context[on[s]]], offset[on[s]], offset[on[e]] if len(on) else offset[on]
+    # every context of the class that isn't gone whole
+    rest = np.flatnonzero(pool.ids == least)
+    rest = rest[np.argsort(number[rest], kind="stable")]
+    lo, hi = np.searchsorted(number[rest], cls), np.searchsorted(number[rest], cls, "right")
+    k = hi - lo
+    which = rest[np.repeat(lo - np.cumsum(k) + k, k) + np.arange(k.sum())]
+    return np.concatenate([whole, which]), np.concatenate([np.zeros(len(whole), np.int64), np.repeat(first, k)]), np.concatenate([n[whole] - length, np.repeat(last, k)])
 
 
 def _finish(c: matching.Chunk, gone: np.ndarray) -> pa.RecordBatch:
@@ -132,13 +163,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     common.tune(spark)
     scratch = common.Scratch(spark, "suffixes")
-    spec = matching.Spec("bytes", length, gram, True)
+    spec = matching.Spec("bytes", length, gram)
     chunks = matching.chunk_table(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), scratch, common.partitions(spark))
     parts = matching.parts_for(chunks)
     shared = scratch.table(matching.shared_anchors(matching.ask_anchors(chunks, spec, parts), parts), "shared")
     scratch.tidy()
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return matching.verify_and_finish(chunks, shared, spec, scratch, parts, _finish, schema, repeated)
+    return matching.verify_and_finish(chunks, [shared], spec, scratch, parts, _finish, schema, repeated)
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

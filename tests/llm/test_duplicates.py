@@ -68,7 +68,7 @@ def brute_runs(seqs, length):
 NO = 2**63 - 1
 
 
-@pytest.mark.parametrize(("hot", "chunk"), [(4096, 1 << 20), (2, 600)])
+@pytest.mark.parametrize(("hot", "chunk"), [(8192, 1 << 20), (8192, 600), (2, 600)])
 def test_suffixes_equal_brute_force(spark, monkeypatch, hot, chunk):
     monkeypatch.setattr(matching, "HOT", hot)
     monkeypatch.setattr(matching, "CHUNK", chunk)
@@ -135,11 +135,23 @@ def test_suffix_sort_equals_sorting():
     text = rng.integers(97, 99, 3000).astype(np.uint8)
     at = rng.choice(2900, 500, replace=False)
     group = np.sort(rng.integers(0, 7, 500))
-    order = suffixes.suffix_sort(text, at, group, 40, common.Prefixes(common.BYTE_VALUES[text]))
+    order = suffixes.suffix_sort(text, at, group, np.full(500, 40), common.Prefixes(common.BYTE_VALUES[text]))
     raw = text.tobytes()
     assert order.tolist() == sorted(range(500), key=lambda i: (group[i], raw[at[i] : at[i] + 40], i))
 
 
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_colliding_hashes_never_remove_what_differs(monkeypatch, unit):
+    """With values that make every hash of equal length equal, only equal bytes count as equal."""
+    monkeypatch.setattr(matching, "token_values", lambda data, start: np.ones(len(start) - 1, np.uint64))
+    texts = [b"aa bb cc dd ", b"aa bb cc de ", b"aa bb cc dd "]
+    n = 12 if unit == "bytes" else 4
+    heads = np.array([[7, 1], [7, 2], [7, 3]], np.int64)
+    pool = matching.Pool(unit, heads, np.array([[0, n]] * 3, np.uint16), np.array([12] * 3), np.frombuffer(b"".join(texts), np.uint8))
+    context, first, last = suffixes.repeated(pool, n)
+    assert 1 not in context.tolist() and (first == 0).all() and (last == 0).all()
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000)]
