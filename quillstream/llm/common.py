@@ -52,7 +52,7 @@ class Scratch:
         self.spark, self.root = spark, f"{base.rstrip('/')}/quill-{name}-{uuid.uuid4().hex[:12]}"
 
     @contextlib.contextmanager
-    def _last_use(self) -> Iterator[None]:
+    def last_use(self) -> Iterator[None]:
         """Shuffle files of what runs inside are deleted when it ends: the rows are written, nothing reads them again."""
         key, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", self.spark.conf
         before = conf.get(key, None)
@@ -63,7 +63,7 @@ class Scratch:
             conf.unset(key) if before is None else conf.set(key, before)
 
     def put(self, df: DataFrame) -> DataFrame:
-        with self._last_use():
+        with self.last_use():
             return df.checkpoint()
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Written as Parquet and read again: compressed, and nothing of the plan before it is held."""
-        with self._last_use():
+        with self.last_use():
             df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.llm import common
@@ -48,53 +48,74 @@ class Spec:
 
 
 # --- chunks -------------------------------------------------------------------------------------------------------------
-def chunk_table(docs: DataFrame, scratch: common.Scratch, parts: int, batch: str | None = None) -> DataFrame:
-    """docs (doc_id, text and perhaps batch) packed into rows of about CHUNK bytes, a table bucketed by chunk.
+def chunk_table(docs: DataFrame, path: str, parts: int, batch: int = 0) -> DataFrame:
+    """docs (doc_id, text) packed into rows of about CHUNK bytes, Parquet at ``path`` bucketed by chunk.
 
-    A task numbers its chunks so that they fall into one bucket: it writes one file, and nothing is shuffled.
+    A task numbers its chunks so that they fall into one bucket: it writes one file, and nothing is shuffled. ``batch``
+    sets the numbers of several tables apart.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        numbers = bucket_ids(part, parts)
-        held: dict[int, tuple[list, list, int]] = {}
+        numbers = bucket_ids(TaskContext.get().partitionId(), parts, batch)
+        ids, texts, size = [], [], 0
 
-        def row(b: int) -> pa.RecordBatch:
-            ids, texts, size = held.pop(b)
+        def row() -> pa.RecordBatch:
             order = np.argsort(np.array(ids), kind="stable").tolist()
             offs = np.cumsum([0] + [len(texts[i]) for i in order])
-            return pa.RecordBatch.from_arrays([pa.array([next(numbers)]), pa.array([b], pa.int32()), pa.array([np.array(ids)[order].tobytes()], pa.binary()), pa.array([offs.tobytes()], pa.binary()), pa.array([b"".join(texts[i] for i in order)], pa.binary())], names=["chunk", "batch", "ids", "offs", "text"])
+            return pa.RecordBatch.from_arrays([pa.array([next(numbers)]), pa.array([np.array(ids)[order].tobytes()], pa.binary()), pa.array([offs.tobytes()], pa.binary()), pa.array([b"".join(texts[i] for i in order)], pa.binary())], names=["chunk", "ids", "offs", "text"])
 
         for got in batches:
             data, offs = common.utf8(got.column(1))
-            raw, o, ids = data.tobytes(), offs.tolist(), common.ids(got.column(0)).tolist()
-            which = got.column(2).to_pylist() if batch else [0] * len(ids)
-            for i, b in enumerate(which):
-                ids_, texts, size = held.get(b, ([], [], 0))
-                ids_.append(ids[i])
+            raw, o = data.tobytes(), offs.tolist()
+            for i, doc in enumerate(common.ids(got.column(0)).tolist()):
+                ids.append(doc)
                 texts.append(raw[o[i] : o[i + 1]])
-                held[b] = (ids_, texts, size + o[i + 1] - o[i])
-                if held[b][2] >= CHUNK:
-                    yield row(b)
-        for b in sorted(held):
-            yield row(b)
-
-    made = docs.select("doc_id", "text", *([batch] if batch else [])).mapInArrow(pack, "chunk long, batch int, ids binary, offs binary, text binary")
-    name = f"quill_chunks_{uuid.uuid4().hex[:12]}"
-    made.write.option("path", f"{scratch.root}/chunks").option("compression", "zstd").bucketBy(parts, "chunk").saveAsTable(name)
-    out = docs.sparkSession.table(name)
-    docs.sparkSession.sql(f"DROP TABLE {name}")  # external: the plan keeps the files and their bucketing, the catalog nothing
-    wrong = F.pmod(F.hash("chunk"), F.lit(parts)) != F.pmod(F.shiftright("chunk", 32), F.lit(parts))
-    if out.where(wrong).limit(1).count():
+                size += o[i + 1] - o[i]
+                if size >= CHUNK:
+                    yield row()
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield row()
+
+    made = docs.select("doc_id", "text").mapInArrow(pack, "chunk long, ids binary, offs binary, text binary")
+    out = bucketed(made, path, "chunk", parts)
+    part = F.shiftright("chunk", 32).bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    if out.where(F.pmod(F.hash("chunk"), F.lit(parts)) != F.pmod(part, F.lit(parts))).limit(1).count():
         raise RuntimeError("chunk numbers don't follow Spark's bucket hash")
     return out
 
 
-def bucket_ids(part: int, buckets: int) -> Iterator[int]:
+def bucketed(df: DataFrame, path: str, key: str, parts: int) -> DataFrame:
+    """Writes df as Parquet bucketed by key."""
+    name = f"quill_{uuid.uuid4().hex[:12]}"
+    df.write.option("path", path).option("compression", "zstd").bucketBy(parts, key).saveAsTable(name)
+    return _dropped(df.sparkSession, name)
+
+
+def bucketed_at(spark: SparkSession, path: str, key: str, parts: int) -> DataFrame:
+    """Reads what ``bucketed`` wrote."""
+    name, columns = f"quill_{uuid.uuid4().hex[:12]}", spark.read.parquet(path).schema
+    spark.sql(f"CREATE TABLE {name} ({', '.join(f'{c.name} {c.dataType.simpleString()}' for c in columns)}) USING parquet CLUSTERED BY ({key}) INTO {parts} BUCKETS LOCATION '{path}'")
+    return _dropped(spark, name)
+
+
+def _dropped(spark: SparkSession, name: str) -> DataFrame:
+    """The table is external: without its name the plan keeps the files and their bucketing, the catalog nothing."""
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolved while the name is there
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+#: Bits of a chunk number: 32 that set its bucket, then the task, then the batch.
+PART_BITS = 20
+
+
+def bucket_ids(part: int, buckets: int, batch: int = 0) -> Iterator[int]:
     """Distinct numbers of a task, all of the bucket that Spark's hash (Murmur3 of a long, seed 42) gives part % buckets."""
     rot = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
     m1, m2 = np.uint32(0xCC9E2D51), np.uint32(0x1B873593)
-    high = np.uint32(part)
+    high = np.uint32(batch << PART_BITS | part)
     at, step = 0, max(1024, 4 * buckets)
     while True:
         low = np.arange(at, at + step, dtype=np.uint32)
@@ -106,7 +127,7 @@ def bucket_ids(part: int, buckets: int) -> Iterator[int]:
         h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
         h = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64)
         for k in np.flatnonzero(h % buckets == part % buckets).tolist():
-            yield (part << 32) | int(low[k])
+            yield (int(high) << 32) | int(low[k])
         at += step
 
 
@@ -324,13 +345,13 @@ def answers(kind: int, chunks: np.ndarray, row: np.ndarray, *cols: np.ndarray) -
         yield to_chunk(kind, [int(who[order[s]]) for s, _ in part], [[c[s:e].tobytes() for s, e in part] for c in cols_])
 
 
-def at_chunks(chunks: DataFrame, mail: list[DataFrame], fn: Callable[[int, tuple, dict[int, list[tuple]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def at_chunks(chunks: DataFrame, mail: list[DataFrame], fn: Callable[[int, tuple, dict[int, list[tuple]]], Iterator[pa.RecordBatch]], schema: str, how: str = "left") -> DataFrame:
     """Joins the answers to their chunks and calls fn(chunk, (ids, offs, text), {kind: rows of blobs})."""
     every = mail[0]
     for m in mail[1:]:
         every = every.unionByName(m)
     inbox = every.groupBy("chunk").agg(F.collect_list(F.struct("kind", "a", "b", "c", "d")).alias("mail"))
-    joined = chunks.join(inbox.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "offs", "text", "mail")
+    joined = chunks.join(inbox.hint("shuffle_hash"), "chunk", how).select("chunk", "ids", "offs", "text", "mail")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -402,8 +423,8 @@ def told(box: dict[int, list[tuple]]) -> tuple[np.ndarray, np.ndarray]:
 CONTEXTS, STRETCHES, GONE_C, GONE_S = 2, 3, 4, 5
 
 
-def ask_contexts(chunks: DataFrame, shared: list[DataFrame], spec: Spec, parts: int) -> DataFrame:
-    """Each chunk's distinct contexts (and the stretches of hot anchors) with their bytes, by bucket."""
+def ask_contexts(tables: list[DataFrame], shared: DataFrame, spec: Spec, parts: int) -> DataFrame:
+    """The distinct contexts (and the stretches of hot anchors) of each chunk of the tables with their bytes, by bucket."""
 
     def rows(kind: int, chunk: int, c: Chunk, r: Runs) -> pa.RecordBatch | None:
         if not len(r.first):
@@ -430,7 +451,10 @@ def ask_contexts(chunks: DataFrame, shared: list[DataFrame], spec: Spec, parts:
             yield rows(CONTEXTS, chunk, c, c.contexts(keys))
             yield rows(STRETCHES, chunk, c, c.stretches(hot))
 
-    return at_chunks(chunks, shared, run, MAIL)
+    out = at_chunks(tables[0], [shared], run, MAIL, "inner")
+    for t in tables[1:]:
+        out = out.unionByName(at_chunks(t, [shared], run, MAIL, "inner"))
+    return out
 
 
 # --- step C ---------------------------------------------------------------------------------------------------------------
@@ -515,13 +539,16 @@ def removed(c: Chunk, box: dict) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def verify_and_finish(chunks: DataFrame, shared: list[DataFrame], spec: Spec, scratch: common.Scratch, parts: int, finish: Callable[[Chunk, np.ndarray], pa.RecordBatch], schema: str, sort: Callable[[Pool, int], tuple]) -> DataFrame:
-    """Steps B and C for the shared anchors (tables of answers), and finish(chunk, removed tokens) for every chunk."""
-    answers_ = scratch.table(gone(ask_contexts(chunks, shared, spec, parts), spec, parts, sort), "gone")
+def verify_and_finish(chunks: DataFrame, shared: DataFrame, spec: Spec, scratch: common.Scratch, parts: int, finish: Callable[[Chunk, np.ndarray], pa.RecordBatch], schema: str, sort: Callable[[Pool, int], tuple], past: list[DataFrame] | None = None) -> DataFrame:
+    """Steps B and C for the shared anchors (a table of answers), and finish(chunk, removed tokens) for every chunk.
+
+    ``past`` are further tables of chunks to compare with, for which nothing is finished.
+    """
+    answers_ = scratch.table(gone(ask_contexts([chunks, *(past or [])], shared, spec, parts), spec, parts, sort), f"gone-{uuid.uuid4().hex[:8]}")
     scratch.tidy()
 
     def run(chunk: int, texts: tuple, box: dict) -> Iterator[pa.RecordBatch]:
         c = Chunk(*texts, spec)
         yield finish(c, removed(c, box) if box else np.zeros(c.n, bool))
 
-    return at_chunks(chunks, [*shared, answers_], run, schema)
+    return at_chunks(chunks, [shared, answers_], run, schema)

@@ -158,18 +158,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller doc_id; strings are
     judged on the input. A null text is empty; texts shorter than ``length`` stay. Rows of one doc_id don't affect each
-    other; a null doc_id counts as larger than all others. Texts are taken whole; an empty table gives no rows.
+    other; rows that repeat whole have one result each; a null doc_id counts as larger than all others. Texts are taken
+    whole; an empty table gives no rows; other columns are left out.
     """
     spark = docs.sparkSession
     common.tune(spark)
     scratch = common.Scratch(spark, "suffixes")
     spec = matching.Spec("bytes", length, gram)
-    chunks = matching.chunk_table(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), scratch, common.partitions(spark))
+    chunks = matching.chunk_table(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), f"{scratch.root}/chunks", common.partitions(spark))
     parts = matching.parts_for(chunks)
     shared = scratch.table(matching.shared_anchors(matching.ask_anchors(chunks, spec, parts), parts), "shared")
     scratch.tidy()
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return matching.verify_and_finish(chunks, [shared], spec, scratch, parts, _finish, schema, repeated)
+    return matching.verify_and_finish(chunks, shared, spec, scratch, parts, _finish, schema, repeated)
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

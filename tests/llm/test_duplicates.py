@@ -90,6 +90,50 @@ def test_fingerprints_equal_brute_force(spark, monkeypatch, chunk):
         assert sorted((str(r.doc_id), *r[1:]) for r in got) == want
 
 
+def test_an_index_outlives_the_call(spark, tmp_path):
+    """Two calls with an opened index, the second with later ids, against one pass over all."""
+    rows = [r for r in corpus(6) if r[0] is not None]
+    seqs = [(i, tuple(WORD.findall(t or ""))) for i, t, _, _ in rows]
+    want = {}
+    for (i, s), g in zip(seqs, brute_runs(seqs, 13), strict=True):
+        want.setdefault(i, []).append((len(s), sum(g)))
+    cut = sorted(i for i, _ in seqs)[len(seqs) // 2]
+    df = spark.createDataFrame(rows, DOC)
+    root = f"{tmp_path}/index"
+    one = fingerprints.remove_known(df.where(f"doc_id <= {cut}"), index=fingerprints.FingerprintIndex(spark, root), batches=2).collect()
+    again = fingerprints.FingerprintIndex.open(spark, root)
+    assert again.runs and len(again.chunks) == 2
+    two = fingerprints.remove_known(df.where(f"doc_id > {cut}"), index=again, batches=3).collect()
+    got = {}
+    for r in one + two:
+        got.setdefault(r.doc_id, []).append((r.n_words, r.n_removed))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quill_")]
+    levels = [level for level, _ in fingerprints.FingerprintIndex.open(spark, root).runs]
+    assert len(levels) == len(set(levels)) < 5
+
+
+def test_the_past_is_not_shuffled(spark, tmp_path):
+    index = fingerprints.FingerprintIndex(spark, f"{tmp_path}/index")
+    fingerprints.remove_known(spark.createDataFrame(corpus(2)[:60], DOC), index=index, batches=2)
+    old, new = (index._run(index.runs[-1][1]) for _ in range(2))
+    plan = old.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInArrow(fingerprints._merge_join, matching.MAIL)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_merging_runs_keeps_their_order():
+    rng = np.random.default_rng(3)
+    runs = []
+    for n in (5000, 1, 3000):
+        h, chunk = rng.integers(0, 2000, n).astype(np.uint64), rng.integers(0, 9, n)
+        o = np.lexsort((chunk, h))
+        runs.append(fingerprints._rows(4, h[o], chunk[o], np.zeros(n, np.uint8)))
+    t = fingerprints._merge_runs(fingerprints._merge_runs(runs[0], runs[1]), runs[2])
+    h, chunk, _ = fingerprints._postings(t)
+    assert (np.diff(h.astype(np.int64)) >= 0).all() and len(h) == 8001
+    assert sorted(zip(h.tolist(), chunk.tolist(), strict=True)) == sorted(x for r in runs for x in zip(*(c.tolist() for c in fingerprints._postings(r)[:2]), strict=True))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOC)
     assert suffixes.remove_repeats(none).count() == 0
