@@ -131,7 +131,7 @@ def bucket_ids(part: int, buckets: int, batch: int = 0) -> Iterator[int]:
         at += step
 
 
-def parts_for(chunks: DataFrame, each: int = 24 << 20) -> int:
+def parts_for(chunks: DataFrame, each: int = 16 << 20) -> int:
     """Buckets for questions: about one for ``each`` bytes of text, and enough for the session's cores."""
     return max(chunks.sparkSession.sparkContext.defaultParallelism, -(-chunks.count() * CHUNK // each))
 
@@ -484,23 +484,27 @@ def gone(mail: DataFrame, spec: Spec, parts: int, sort: Callable[[Pool, int], tu
         heads, row = spread(blobs[0], "i8")
         heads, row = heads.reshape(-1, 2), row[::2]
         size, marks = spread(blobs[1], "u2")[0].reshape(-1, 2), spread(blobs[2], "u4")[0].reshape(-1, 2).astype(np.int64)
-        text = spread(blobs[3], "u1")[0]
+        text = np.frombuffer(b"".join(blobs[3]), np.uint8)
+        blobs.clear()
         number, n = marks[:, 0], marks[:, 1]
         begin = np.cumsum(n) - n
         order = np.lexsort((heads[:, 1], heads[:, 0]))
         starts = np.append(firsts(heads[order, 0]), len(order))
-        at = 0
+        at, found = 0, []
         while at < len(starts) - 1:  # some anchors at a time, so that the sort's memory is bounded
             end = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE, "right")) - 1)
             k = order[starts[at] : starts[end]]
             pool = Pool(spec.unit, heads[k], size[k], n[k], spans_of(text, begin[k], n[k]))
             if kind == CONTEXTS:
                 which, first, last = sort(pool, spec.length)
-                yield from answers(GONE_C, chunks, row[k[which]], number[k[which]].astype(np.uint32), first.astype(np.uint16), last.astype(np.uint16))
             else:
                 which = later_copies(pool)
-                yield from answers(GONE_S, chunks, row[k[which]], number[k[which]].astype(np.uint32))
+                first = last = which[:0]
+            found.append((k[which], first.astype(np.uint16), last.astype(np.uint16)))
             at = end
+        if found:  # one row a chunk, whatever the slices
+            which, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield from answers(GONE_C if kind == CONTEXTS else GONE_S, chunks, row[which], number[which].astype(np.uint32), *([first, last] if kind == CONTEXTS else []))
 
     return at_buckets(mail, parts, run)
 
