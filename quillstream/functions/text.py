@@ -335,6 +335,11 @@ def script_language(col: Column) -> Column:
     return F.when(letters + 2 * han < 20, None).when(kana + han >= 0.5 * letters, F.when(kana > 0, F.lit("ja")).when(han >= 0.6 * letters, F.lit("zh"))).when(hangul >= 0.5 * letters, F.lit("ko"))
 
 
+def letter_language(col: Column) -> Column:
+    """Language by letters that others lack: German, Spanish, French; null without one."""
+    return F.when(col.rlike("[ßäöü]"), F.lit("de")).when(col.rlike("[ñóí]"), F.lit("es")).when(col.rlike("[èêçé]"), F.lit("fr"))
+
+
 def retryable(status: Column) -> Column:
     """All failures but those that a repeat can't mend."""
     return ~status.isin(401, 403, 404)

@@ -59,7 +59,7 @@ def paragraph_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(table(spark, sf_dir, "documents"))
     w = Window.partitionBy("doc_id").orderBy("seg_no")
     g = s.withColumn("after", F.length(F.lead("text").over(w))).where(F.col("text").rlike("[.!?]$") & (F.length("text") < 200) & F.col("after").isNotNull())
-    return g.groupBy("doc_id").agg(upper_median(F.col("after").cast("double")).alias("space")).where("space IS NOT NULL")
+    return upper_median(g.withColumn("after", F.col("after").cast("double")), "after", ["doc_id"], name="space")
 
 
 def indents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,14 +10,35 @@ from quillstream.operators.segments import segments
 from quillstream.session import table
 
 
-def upper_median(col: str | Column, least: int = 3) -> Column:
-    """The upper of the two middle values: the element at n div 2 (from 0) of the sorted ones; null for fewer than ``least``.
+def upper_median(df: DataFrame, value: str, keys: list[str], least: int = 3, name: str = "median") -> DataFrame:
+    """keys, name: the upper of the two middle values of each group (the element at n div 2, from 0, of the sorted ones);
+    groups of fewer than ``least`` values are left out.
 
-    percentile_disc takes ceil(p * n), from 1; with p just above one half that is n div 2 + 1 for every n.
+    Counts by value and a running sum: equal values travel as one row, and no group is gathered.
     """
-    c = F.col(col) if isinstance(col, str) else col
-    value = F.array_sort(F.collect_list(c))
-    return F.when(F.count(c) >= least, F.get(value, F.floor(F.count(c) / 2).cast("int")))
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys)
+    run = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    n = n.withColumn("_run", run).withColumn("_all", F.sum("_n").over(group))
+    return n.where((2 * F.col("_run") > F.col("_all")) & (F.col("_all") >= least)).groupBy(*keys).agg(F.min(value).alias(name))
+
+
+def upper_median_of_all(df: DataFrame, value: str, least: int = 3, name: str = "median") -> DataFrame:
+    """The same over all rows, as one row, without bringing them together.
+
+    Two approximate quantiles just below and above the middle (their error is a share of the rows that is known) bound the
+    element; those below are counted, and only the sliver between the bounds is put in order.
+    """
+    accuracy = 10_000
+    v = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"))
+    ends = F.percentile_approx("_v", [0.5 - 2 / accuracy, 0.5 + 2 / accuracy], accuracy)
+    about = v.agg(F.count(F.lit(1)).alias("_all"), ends.alias("_ends"))  # one row
+    d = v.join(F.broadcast(about))
+    below = d.agg(F.count_if(F.col("_v") < F.col("_ends")[0]).alias("_below"))  # one row
+    near = d.where((F.col("_v") >= F.col("_ends")[0]) & (F.col("_v") <= F.col("_ends")[1])).groupBy("_v", "_all").agg(F.count(F.lit(1)).alias("_n"))
+    run = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.join(F.broadcast(below)).withColumn("_run", F.col("_below") + run)
+    return near.agg(F.min(F.when((2 * F.col("_run") > F.col("_all")) & (F.col("_all") >= least), F.col("_v"))).alias(name))
 
 
 def weighted_median(value: str, weight: str, keys: list[str], df: DataFrame, name: str = "median") -> DataFrame:
@@ -39,7 +60,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_length_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs whose length is out of place against the upper median ratio of all pairs."""
     t = turns(spark, sf_dir).withColumn("ratio", X.length_ratio(F.col("src"), F.col("dst")))
-    typical = t.agg(upper_median("ratio").alias("typical"))  # one row
+    typical = upper_median_of_all(t, "ratio", name="typical")  # one row
     t = t.join(F.broadcast(typical)).withColumn("misplaced", X.out_of_place(F.col("src"), F.col("dst"), F.col("typical")))
     return t.select("conv_id", "turn", F.round("ratio", 6).alias("ratio"), "misplaced")
 

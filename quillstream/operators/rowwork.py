@@ -196,8 +196,7 @@ def term_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def foreign_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with letters that their document's language does not use (ß, ä, ö, ü; ñ, ó, í; è, ê, ç), neighbours joined."""
     s = segments(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    own = F.when(F.col("text").rlike("[ßäöü]"), "de").when(F.col("text").rlike("[ñóí]"), "es").when(F.col("text").rlike("[èêçé]"), "fr")
-    f = s.withColumn("by_letters", own).where("by_letters IS NOT NULL").where(~X.same_language(F.col("by_letters"), F.col("lang")))
+    f = s.withColumn("by_letters", X.letter_language(F.col("text"))).where("by_letters IS NOT NULL").where(~X.same_language(F.col("by_letters"), F.col("lang")))
     w = Window.partitionBy("doc_id").orderBy("seg_no")
     f = islands(f, ["doc_id"], "seg_no", F.coalesce(F.col("seg_no") - F.lag("seg_no").over(w) > 1, F.lit(True)), "grp")
     return f.groupBy("doc_id", "grp").agg(F.min("seg_no").alias("first"), F.count(F.lit(1)).alias("n"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as X
 from quillstream.operators.segments import segments
-from quillstream.session import table
+from quillstream.session import numbered, table
 
 
 @dataclass(frozen=True)
@@ -53,8 +53,8 @@ class Store:
     def upsert(self, new: DataFrame) -> Store:
         """Insert or replace: a stored entry's flag is cleared and its order is new."""
         top = F.coalesce(F.max("seq"), F.lit(0)).alias("top")
-        fresh = new.dropDuplicates(["k"]).select("k", "v").withColumn("ok", F.lit(False)).crossJoin(self.entries.agg(top))  # one row
-        fresh = fresh.withColumn("seq", F.col("top") + F.row_number().over(Window.orderBy("k"))).drop("top")
+        fresh = numbered(new.dropDuplicates(["k"]).select("k", "v"), F.col("k")).withColumn("ok", F.lit(False))
+        fresh = fresh.crossJoin(self.entries.agg(top)).select("k", "v", "ok", (F.col("top") + F.col("ord")).alias("seq"))  # one row
         return Store(self.entries.join(fresh.select("k"), "k", "left_anti").unionByName(fresh), self.owners)
 
     def claim(self, rows: DataFrame) -> Store:

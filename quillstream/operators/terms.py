@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as X
 from quillstream.operators.segments import segments
-from quillstream.session import settle, table
+from quillstream.session import numbered, settle, table
 
 #: Words that no term begins, ends or is made of: short function words of the languages at hand.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "de", "der", "des", "die", "du", "el", "en", "et", "for", "from", "in", "is", "it", "la", "le", "les", "los", "of", "on", "or", "que", "the", "this", "to", "und", "un", "une", "was", "with")
@@ -94,14 +94,6 @@ def common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n")).join(size, "doc_id").where("n >= 0.3 * lines").select("doc_id", "word", "n", "lines")
 
 
-def numbered(df: DataFrame, *order: Column) -> DataFrame:
-    """Adds ord, the place from 1 in ``order``: the place in a sorted partition and the rows of the partitions before it."""
-    d = settle(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # a row a partition
-    return d.join(F.broadcast(parts), "_part").withColumn("ord", F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1).drop("_at", "_part", "_before")
-
-
 def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A glossary made of the data: the mined terms of several words, those of the most documents first; a user's entries
     (prio 0) over candidates (1)."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as X
@@ -47,28 +47,89 @@ def register(name: str, function: Callable[[list[str]], list[str]], max_items: i
     ENRICHERS[name] = lambda need: need.select("k", "text").mapInPandas(run, "k string, text string, v string").where("v IS NOT NULL")
 
 
-def run(docs: DataFrame, store: Store, prefix: str, provider: str = "mock", cache_only: bool = False) -> tuple[DataFrame, Store, DataFrame]:
+#: Classifiers of a text's language by name, as expressions: register more with ``register_language``.
+LANGUAGES: dict[str, Callable[[Column], Column]] = {"script": X.script_language, "letters": X.letter_language}
+
+
+def register_language(name: str, expression: Callable[[Column], Column]) -> None:
+    LANGUAGES[name] = expression
+
+
+def document_language(segs: DataFrame, language: str) -> DataFrame:
+    """doc_id, language: that of most characters of a document's lines, ties by code; undecided documents are left out."""
+    s = segs.withColumn("_lang", LANGUAGES[language](F.col("text"))).where("_lang IS NOT NULL")
+    n = s.groupBy("doc_id", "_lang").agg(F.sum(F.length("text")).alias("_n"))
+    return n.groupBy("doc_id").agg(F.min_by("_lang", F.struct((-F.col("_n")).alias("n"), F.col("_lang"))).alias("language"))
+
+
+def suspects(placed: DataFrame, batch_chars: int) -> DataFrame:
+    """k of the stored results to do again. placed: doc_id, first (place), k, text, v, ok of a document's distinct hits.
+
+    A verified result stays unless it echoes its source. Of the others go those out of place against the upper median
+    of their document, and those within a batch's length of one: a shift moves its neighbours too.
+    """
+    ratio = placed.withColumn("ratio", X.length_ratio(F.col("text"), F.col("v")))
+    d = placed.join(upper_median(ratio, "ratio", ["doc_id"], name="typical"), "doc_id", "left")
+    d = d.withColumn("shifted", ~F.col("ok") & X.out_of_place(F.col("text"), F.col("v"), F.col("typical")))
+    order = Window.partitionBy("doc_id").orderBy("first")
+    d = d.withColumn("at", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    near = F.max("shifted").over(Window.partitionBy("doc_id").orderBy("at").rangeBetween(-batch_chars, batch_chars))
+    again = (~F.col("ok") & near) | X.echoes(F.col("text"), F.col("v"))
+    return d.withColumn("again", again).where("again").select("k").distinct()
+
+
+#: A provider: a name in ENRICHERS, or a function from (k, text, attempt) to the same with v.
+Provider = str | Callable[[DataFrame], DataFrame]
+
+
+def enriched(need: DataFrame, provider: Provider, language: str | None, source: str | None) -> DataFrame:
+    """k, text, v of the results that are there; one of over 20 characters still in the source language is tried once more,
+    and kept if the second try is no better."""
+    make = ENRICHERS[provider] if isinstance(provider, str) else provider
+    made = settle(make(need.withColumn("attempt", F.lit(1))).select("k", "text", "v").where("trim(v) <> ''"))
+    if language is None or source is None:
+        return made
+    still = lambda c: X.same_language(LANGUAGES[language](c), F.lit(source))
+    echo = made.where((F.length("v") > 20) & still(F.col("v"))).select("k", "text")
+    second = make(echo.withColumn("attempt", F.lit(2))).select("k", F.col("v").alias("better"))
+    second = second.where((F.trim("better") != "") & ~still(F.col("better")))
+    return settle(made.join(second, "k", "left").select("k", "text", F.coalesce("better", "v").alias("v")))
+
+
+def run(docs: DataFrame, store: Store, prefix: str, provider: Provider = "mock", cache_only: bool = False, language: str | None = None,
+        source: str | None = None, target: str | None = None, batch_chars: int = 3000) -> tuple[DataFrame, Store, DataFrame]:
     """(segments with result, the new store, the run's figures as one row).
 
     Skips are by place, work is by distinct text: a text that is skipped in one place is still done where another needs
-    it. Results whose length is out of place against the upper median are dropped and the source stays.
+    it. With ``language`` (a name in LANGUAGES) and ``target``, texts already in the target language are skipped, and
+    with ``source`` results still in it are tried again. Stored results that look shifted are done again, unless only
+    the store may answer. A new result whose length is out of place in a document is dropped: the source stays there,
+    and what every document drops is not stored. What is stored here counts as verified.
     """
-    s = segments(docs).withColumn("skip", ~X.worth_translating(F.col("text"))).withColumn("k", X.cache_key(F.lit(prefix), F.col("text")))
-    need = s.where(~F.col("skip")).select("k", "text").dropDuplicates(["k"])
+    text = F.col("text")
+    s = segments(docs).withColumn("skip", ~X.worth_translating(text)).withColumn("k", X.cache_key(F.lit(prefix), text))
+    if language and target:
+        s = s.withColumn("skip", F.col("skip") | X.same_language(LANGUAGES[language](text), F.lit(target)))
+    places = s.where(~F.col("skip")).groupBy("doc_id", "k").agg(F.min("seg_no").alias("first"), F.first("text").alias("text"))
+    need = places.select("k", "text").dropDuplicates(["k"])
     missing = store.misses(need)
     if cache_only:
         if missing.limit(1).count():
             raise LookupError("texts without a stored result")
-        made = missing.withColumn("v", F.lit(None).cast("string"))
+        old, made = store, missing.withColumn("v", F.lit(None).cast("string"))
     else:
-        made = settle(ENRICHERS[provider](missing).select("k", "text", "v"))
-    every = store.lookup(need).select("k", "text", "v").unionByName(made)
-    ratio = every.withColumn("ratio", X.length_ratio(F.col("text"), F.col("v")))
-    typical = ratio.agg(upper_median("ratio").alias("typical"))  # one row
-    kept = every.join(F.broadcast(typical)).where(~X.out_of_place(F.col("text"), F.col("v"), F.col("typical"))).select("k", "v")
-    out = s.join(kept, "k", "left").withColumn("result", F.when(F.col("skip") | F.col("v").isNull(), F.col("text")).otherwise(F.col("v")))
-    figures = out.agg(F.count(F.lit(1)).alias("segments"), F.count_if("skip").alias("skipped"), F.count_if(~F.col("skip") & F.col("v").isNull()).alias("failed"))
-    return out.select("doc_id", "seg_no", "text", "skip", "result"), store.upsert(made).claim(s.where(~F.col("skip")).select(F.col("doc_id").cast("string").alias("doc"), "k")), figures
+        old = store.delete(settle(suspects(store.lookup(places), batch_chars)))
+        made = enriched(old.misses(need), provider, language, source)
+    fresh = places.join(made.select("k", "v"), "k").withColumn("ratio", X.length_ratio(text, F.col("v")))
+    fresh = fresh.join(upper_median(fresh, "ratio", ["doc_id"], name="typical"), "doc_id", "left")
+    fresh = fresh.where(~X.out_of_place(text, F.col("v"), F.col("typical"))).select("doc_id", "k", "v")
+    kept = old.lookup(places).select("doc_id", "k", "v").unionByName(settle(fresh))
+    out = s.join(kept, ["doc_id", "k"], "left").withColumn("result", F.when(F.col("skip") | F.col("v").isNull(), text).otherwise(F.col("v")))
+    failed = F.count_if(~F.col("skip") & F.col("v").isNull())
+    figures = out.agg(F.count(F.lit(1)).alias("segments"), F.count_if("skip").alias("skipped"), failed.alias("failed"))
+    good = fresh.select("k", "v").dropDuplicates(["k"])
+    new = old.upsert(good).mark(good).claim(places.select(F.col("doc_id").cast("string").alias("doc"), "k"))
+    return out.select("doc_id", "seg_no", "text", "skip", "result"), new, figures
 
 
 def assembled(out: DataFrame, bilingual: bool = False) -> DataFrame:
@@ -87,9 +148,60 @@ def doc_dataflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembled(out, bilingual=True).select("doc_id", X.digest(F.col("text")).alias("text_sha"))
 
 
+def dataflow_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its language by letters, and the lines that a run into German skips because they are German."""
+    d = table(spark, sf_dir, "documents")
+    s = segments(d)
+    skipped = s.groupBy("doc_id").agg(F.count_if(X.same_language(X.letter_language(F.col("text")), F.lit("de"))).alias("skipped"))
+    return skipped.join(document_language(s, "letters"), "doc_id", "left").select("doc_id", "skipped", "language")
+
+
+def dataflow_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that a run does again: the store's results of every 31st line (by length) are another line's, five times over."""
+    s = segments(table(spark, sf_dir, "documents")).withColumn("k", X.digest(F.col("text")))
+    places = s.groupBy("doc_id", "k").agg(F.min("seg_no").alias("first"), F.first("text").alias("text"))
+    v = F.when(F.length("text") % 31 == 7, F.repeat("text", F.lit(5))).otherwise(fake_translation(F.col("text")))
+    return suspects(places.withColumn("v", v).withColumn("ok", F.substring("k", 1, 1) < "4"), 400)
+
+
+def dataflow_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of distinct German lines by a stand-in that gives back every line of even length at first, and those of a
+    length that four divides a second time too."""
+    s = segments(table(spark, sf_dir, "documents")).where(X.letter_language(F.col("text")) == "de")
+    need = s.select(X.digest(F.col("text")).alias("k"), "text").dropDuplicates(["k"])
+    lazy = F.length("text") % F.when(F.col("attempt") == 1, 2).otherwise(4) == 0
+    make = lambda n: n.withColumn("v", F.when(lazy, F.col("text")).otherwise(F.concat(F.lit("t"), F.col("attempt").cast("string"))))
+    return enriched(need, make, "letters", "de").select("k", F.when(F.col("v") == F.col("text"), F.lit("echo")).otherwise(F.col("v")).alias("v"))
+
+
 _CODE = "regexp_replace(regexp_replace(regexp_replace(text, '!\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'), '`[^`]*`', ' ', 'g'), 'https?://[^\\s]+', ' ', 'g')"
+_SEG = """s AS (SELECT doc_id, i - 1 AS seg_no, trim(l[i], ' ') AS text FROM
+ (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) AS r(i)
+ WHERE trim(l[i], ' ') <> '')"""
+_LETTERS = """CASE WHEN regexp_matches(text, '[ßäöü]') THEN 'de' WHEN regexp_matches(text, '[ñóí]') THEN 'es'
+ WHEN regexp_matches(text, '[èêçé]') THEN 'fr' END"""
 ORACLE = {
     "doc_dataflow": f"""WITH s AS (SELECT doc_id, i - 1 AS seg_no, trim(l[i], ' ') AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) AS r(i) WHERE trim(l[i], ' ') <> '')
 SELECT doc_id, sha1(string_agg(CASE WHEN regexp_matches({_CODE}, '\\p{{L}}') THEN text || chr(10) || '[t] ' || text ELSE text END, chr(10) ORDER BY seg_no)) AS text_sha FROM s GROUP BY doc_id""",
+    "dataflow_languages": f"""WITH {_SEG}, g AS (SELECT *, {_LETTERS} AS lang FROM s),
+n AS (SELECT doc_id, lang, sum(length(text)) AS n FROM g WHERE lang IS NOT NULL GROUP BY ALL)
+SELECT doc_id, count(*) FILTER (lang = 'de') AS skipped,
+ (SELECT first(lang ORDER BY n DESC, lang) FROM n WHERE n.doc_id = g.doc_id) AS language FROM g GROUP BY doc_id""",
+    "dataflow_suspects": f"""WITH {_SEG}, p AS (SELECT doc_id, text, min(seg_no) AS first, sha1(text) AS k FROM s GROUP BY doc_id, text),
+v AS (SELECT *, regexp_replace(text, '\\{{v[0-9]+\\}}|\\[\\[/?[A-Za-z0-9_]+\\]\\]', '', 'g') AS bare, length(text) % 31 = 7 AS odd,
+ substring(k, 1, 1) < '4' AS ok FROM p),
+r AS (SELECT *, length(bare) AS a, CASE WHEN odd THEN 5 * length(bare) ELSE length(bare) + 4 END AS b FROM v),
+m AS (SELECT doc_id, list_sort(list(b / a))[count(*) // 2 + 1] AS typical FROM r WHERE a >= 60 GROUP BY doc_id HAVING count(*) >= 3),
+t AS (SELECT r.*, NOT ok AND typical IS NOT NULL AND CASE WHEN a >= 60 THEN b / a < typical * 0.45 OR b / a > typical * 4.0
+ ELSE b > 60 * typical * 4.0 END AS shifted FROM r LEFT JOIN m USING (doc_id)),
+c AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY first) AS at_ FROM t),
+h AS (SELECT *, bool_or(shifted) OVER (PARTITION BY doc_id ORDER BY at_ RANGE BETWEEN 400 PRECEDING AND 400 FOLLOWING) AS near FROM c)
+SELECT DISTINCT k FROM h WHERE (NOT ok AND near) OR (odd AND length(text) >= 80 AND len(regexp_extract_all(text, '[A-Za-z]{{4,}}')) >= 12)""",
+    "dataflow_retries": f"""WITH {_SEG}, g AS (SELECT DISTINCT text FROM s WHERE ({_LETTERS}) = 'de')
+SELECT sha1(text) AS k, CASE WHEN length(text) % 2 <> 0 THEN 't1' WHEN length(text) % 4 = 0 OR length(text) <= 20 THEN 'echo' ELSE 't2' END AS v
+FROM g""",
 }
-QUERIES = {"doc_dataflow": doc_dataflow}
+QUERIES = {
+    "doc_dataflow": doc_dataflow, "dataflow_languages": dataflow_languages, "dataflow_suspects": dataflow_suspects,
+    "dataflow_retries": dataflow_retries,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.operators import layout, pagework, rowwork, pairs, relational, rowwork, scoring, segments, store, telemetry, terms, texts
+from quillstream.operators import layout, pagework, pairs, relational, rowwork, scoring, segments, store, telemetry, terms, texts
 from quillstream.plans import dataflow
 from quillstream.sources import pages
 from quillstream.streaming import queries as streams

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -20,9 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this machine only where none is named, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: the session's setting, else the context's checkpoint folder.
+
+    A folder of this machine is made only where neither is set and all runs on this machine, as in tests.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="quillstream-")
@@ -35,3 +41,11 @@ def settle(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """Adds ord, the place from 1 in ``order``: the place in a sorted partition and the rows of the partitions before it."""
+    d = settle(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # a row a partition
+    return d.join(F.broadcast(parts), "_part").withColumn("ord", F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1).drop("_at", "_part", "_before")

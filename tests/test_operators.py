@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as X
 from quillstream.operators import layout, pairs, relational, rowwork, segments, store, telemetry
+from quillstream.operators.store import Store
 from quillstream.plans import dataflow
 from quillstream.sources import documents, pages, records
 from quillstream.streaming import queries as streams
@@ -50,8 +51,13 @@ def test_nearest_rank_is_an_element(spark):
 
 def test_medians(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "r double")
-    assert df.agg(pairs.upper_median("r")).first()[0] == 3.0
-    assert df.limit(2).agg(pairs.upper_median("r")).first()[0] is None
+    assert pairs.upper_median_of_all(df, "r").first()[0] == 3.0
+    assert pairs.upper_median_of_all(df.limit(2), "r").first()[0] is None
+    keyed = df.withColumn("k", F.col("r") > 1)
+    assert {tuple(r) for r in pairs.upper_median(keyed, "r", ["k"]).collect()} == {(True, 3.0)}
+    for n in (1001, 1000, 7):
+        many = spark.range(n).select((F.col("id") * 37 % 101).cast("double").alias("r"))
+        assert pairs.upper_median_of_all(many.repartition(3), "r").first()[0] == sorted(i * 37 % 101 for i in range(n))[n // 2]
     w = spark.createDataFrame([("x", 8, 10), ("x", 10, 50), ("x", 14, 5)], "k string, size int, n int")
     assert pairs.weighted_median("size", "n", ["k"], w).first()["median"] == 10
 
@@ -269,9 +275,62 @@ def test_dataflow_is_by_place_and_by_text(spark):
     assert again.count() == 3
     with pytest.raises(LookupError):
         dataflow.run(docs, st, "p", "double", cache_only=True)
+    assert st.verified(st.entries).count() == st.entries.count() == 1
     assert {r.doc_id: r.text for r in dataflow.assembled(out, bilingual=True).collect()}[2] == "alpha beta\nalpha betaalpha beta\ngamma"
 
 
+def long_lines(n, word):
+    return [f"{word} line number {i}" + " with enough words to have a ratio of lengths at all here" * 2 for i in range(n)]
+
+
+def test_rejected_results_are_not_stored(spark):
+    """A result out of place in its document is dropped, is not served by the next run, and other documents keep theirs."""
+    lines, short = long_lines(6, "one"), long_lines(4, "two")
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(short))], "doc_id long, text string")
+    dataflow.register("odd", lambda texts: [t * 9 if t == lines[2] else t * 3 if t.startswith("two") else t + "!" for t in texts])
+    out, st, _ = dataflow.run(docs, dataflow.empty_store(spark), "p", "odd")
+    got = {(r.doc_id, r.seg_no): r.result for r in out.collect()}
+    assert got[1, 2] == lines[2] and got[1, 1].endswith("!") and got[2, 0] == short[0] * 3
+    assert st.entries.count() == 9
+    dataflow.register("well", lambda texts: [t + "?" for t in texts])
+    again, _, _ = dataflow.run(docs, st, "p", "well")
+    assert {(r.doc_id, r.seg_no): r.result for r in again.collect()}[1, 2].endswith("?")
+
+
+def test_shifted_hits_and_their_neighbours_are_redone(spark):
+    lines = long_lines(40, "one")
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    k = X.cache_key(F.lit("p"), F.col("t"))
+    rows = spark.createDataFrame([(t, "z" + (t * 9 if i == 20 else t), i % 2 == 1, i) for i, t in enumerate(lines)], "t string, v string, ok boolean, seq long")
+    st = Store(rows.select(k.alias("k"), "v", "ok", "seq"), spark.createDataFrame([], "doc string, k string"))
+    dataflow.register("anew", lambda texts: [t + "?" for t in texts])
+    out, after, _ = dataflow.run(docs, st, "p", "anew", batch_chars=600)
+    redone = {r.seg_no for r in out.collect() if r.result.endswith("?")}
+    near = {i for i in range(40) if i % 2 == 0 and abs(sum(len(t) for t in lines[: i + 1]) - sum(len(t) for t in lines[:21])) <= 600}
+    assert redone == near and 20 in redone
+    assert after.verified(after.entries).count() == 20 + len(near)
+    kept, _, _ = dataflow.run(docs, st, "p", "anew", batch_chars=600, cache_only=True)
+    assert not any(r.result.endswith("?") for r in kept.collect())
+
+
+def test_texts_of_the_target_language_stay(spark):
+    docs = spark.createDataFrame([(1, "größere Häuser\nplain words here\nschöne Straßen"), (2, "plain again")], "doc_id long, text string")
+    dataflow.register("mark", lambda texts: ["T " + t for t in texts])
+    run = lambda **kw: {(r.doc_id, r.seg_no): (r.result, r.skip) for r in dataflow.run(docs, dataflow.empty_store(spark), "p", "mark", **kw)[0].collect()}
+    assert run(language="letters", target="de-AT")[1, 0] == ("größere Häuser", True) and run(language="letters", target="de")[1, 1] == ("T plain words here", False)
+    assert run()[1, 0][1] is False
+    langs = dataflow.document_language(dataflow.segments(docs), "letters").collect()
+    assert {r.doc_id: r.language for r in langs} == {1: "de"}
+
+
+def test_echoes_are_retried_once(spark):
+    texts = ["größere Häuser stehen an der schönen Straße", "noch mehr schöne Wörter für den Übersetzer", "kurz über"]
+    docs = spark.createDataFrame([(1, "\n".join(texts))], "doc_id long, text string")
+    better = lambda need: need.withColumn("v", F.when((F.col("attempt") == 2) & F.col("text").startswith("gr"), F.lit("much better now")).otherwise(F.col("text")))
+    out, _, _ = dataflow.run(docs, dataflow.empty_store(spark), "p", better, language="letters", source="de", target="en")
+    assert [r.result for r in out.orderBy("seg_no").collect()] == ["much better now", *texts[1:]]
+
+
 def test_admission_waits():
     import pandas as pd
 
