@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ BITS = 15
 #: Most rows of a labelled table that the fit takes, those of the smallest hash of their words: a bound on the driver's memory.
 FIT_ROWS = 5000
 #: Distinct words whose shares a worker remembers; beyond it the memory starts anew. It changes speed, never results.
-REMEMBER = 100_000
+REMEMBER = 400_000
+#: Words whose emissions are computed at once.
+WORDS = 50_000
 
 # Patterns fixed by the contract.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -158,6 +161,7 @@ def examples(n: int = 1500, seed: int = 5) -> list[tuple[list[str], list[int]]]:
 
 # --- features ------------------------------------------------------------------------------------------------------
 _SQUEEZE = re.compile(r"(.)\1+")
+_ENDS = (".", ",", ";", ":", "!", "?")
 
 
 _ASCII = {c: "d" if 48 <= c < 58 else "X" if chr(c).isupper() else "x" if chr(c).isalpha() else chr(c) for c in range(128)}
@@ -169,16 +173,22 @@ def shape(w: str) -> str:
     return "".join("d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in w[:80])
 
 
-@functools.lru_cache(30_000)
 def _hash(s: str) -> int:
-    h = 2166136261
-    for b in s.encode("utf-8", "replace"):
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    return (h * 2654435761 & 0xFFFFFFFF) >> (32 - BITS)
+    return (zlib.crc32(s.encode("utf-8", "replace")) * 2654435761 & 0xFFFFFFFF) >> (32 - BITS)
+
+
+@functools.lru_cache(1000)
+def _plain(n: int, capital: bool) -> tuple[str, ...]:
+    """The features of a word of n letters, all small but perhaps the first, except those of its own letters."""
+    s = "X" * capital + "x" * (n - capital)
+    return ("b", "q" + _SQUEEZE.sub(r"\1", s), "n0", f"l{n // 4}", *(("s" + s,) if n <= 10 else ()))
 
 
 def word_features(w: str) -> list[str]:
     """Shape features of one word; the sequence adds those of its neighbours."""
+    core = w[:-1] if w[-1:] in _ENDS else w
+    if core.isalpha() and len(core) < 12 and (core.islower() or core[0].isupper() and core[1:].islower()):  # most words, by a short way to the same features
+        return [*_plain(len(core), core[0].isupper()), "w" + w.lower()[:12] if len(w.lower()) <= 8 else "w", "p"]
     core = w.strip(".,;:!?\"'()[]")
     s = shape(core)
     nd = s.count("d")
@@ -227,51 +237,92 @@ class Field:
     def __init__(self) -> None:
         n = len(LABELS)
         self.emit, self.move, self.first = np.zeros((1 << BITS, n)), np.zeros((n, n)), np.zeros(n)
-        self.known: dict[str, int] = {}
-        self.shares = np.zeros((0, len(TAGS), n))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Shares are kept by the hash of a word, sorted; the first row is that of what stands beyond a text's ends."""
+        self._keys, self._rows, self._shares = np.zeros(0, np.uint64), np.zeros(0, np.int64), self._shares_of([["b", "edge"]])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
+
+    def _shares_of(self, features: list[list[str]]) -> np.ndarray:
+        """What words with these features add to their own emission, the next word's, the last one's and the one after next's."""
+        names = {f: k for k, f in enumerate({f for fs in features for f in fs})}
+        table = self.emit[[[_hash(tag + f) for tag in TAGS] for f in names]]
+        table[names["b"], 1:] = 0  # the bias is the word's own
+        table = table.astype(np.float32)
+        lens = np.cumsum([0, *map(len, features)])
+        return np.add.reduceat(table[[names[f] for fs in features for f in fs]], lens[:-1])
+
+    def _shares_at(self, h: np.ndarray, words: Callable[[np.ndarray], list[str]]) -> np.ndarray:
+        """Row in the table of shares of each distinct word hash; words(places) spells those that are new."""
+        if len(self._keys) + len(h) > REMEMBER:
+            self._forget()
+        at = np.minimum(np.searchsorted(self._keys, h), max(len(self._keys) - 1, 0))
+        new = np.flatnonzero(self._keys[at] != h) if len(self._keys) else np.arange(len(h))
+        if len(new):
+            first = len(self._shares)
+            self._shares = np.concatenate([self._shares, self._shares_of([word_features(w) for w in words(new)])])
+            keys, rows = np.concatenate([self._keys, h[new]]), np.concatenate([self._rows, np.arange(first, len(self._shares))])
+            order = np.argsort(keys, kind="stable")
+            self._keys, self._rows = keys[order], rows[order]
+            at = np.searchsorted(self._keys, h)
+        return self._rows[at]
+
+    def _sought(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of concatenated texts: word offsets by text, row of each word's shares, and of the two words before each text's
+        start as of all others, with edges between the texts; the place of each word there."""
+        start, end, w = common.words(data, offsets) if len(data) else (np.zeros(0, np.int64),) * 2 + (np.zeros(len(offsets), np.int64),)
+        u, first, inverse = np.unique(common.word_hashes(data, start, end), return_index=True, return_inverse=True)
+        spell_ = lambda k: [data[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in first[k].tolist()]
+        rows = self._shares_at(u, spell_)[inverse] if len(u) else np.zeros(0, np.int64)
+        text = np.repeat(np.arange(len(w) - 1), np.diff(w))
+        place = np.arange(len(rows)) + 3 * text + 2
+        padded = np.zeros(len(rows) + 3 * (len(w) - 1), np.int64)
+        padded[place] = rows
+        return w, text, padded, place
+
+    def _emissions_at(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+        x = self._shares
+        return x[padded[at], 0] + x[padded[at - 1], 1] + x[padded[at + 1], 2] + x[padded[at - 2], 3]
 
     def emissions(self, ws: list[str]) -> np.ndarray:
-        return self.emissions_of([ws])[0]
-
-    def emissions_of(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Emissions of the words of each text: a word's share in its own and its neighbours' is looked up once."""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        flat = [w for ws in texts for w in (EDGE, EDGE, *ws, EDGE)]
-        if new := set(flat) - self.known.keys():
-            features = [["b", *word_features(w)[1:]] if w != EDGE else ["b", "edge"] for w in new]
-            names = {f: k for k, f in enumerate({f for fs in features for f in fs})}
-            table = self.emit[[[_hash(tag + f) for tag in TAGS] for f in names]]
-            table[names["b"], 1:] = 0  # the bias is the word's own
-            lens = np.cumsum([0, *map(len, features)])
-            rows = np.add.reduceat(table[[names[f] for fs in features for f in fs]], lens[:-1])
-            self.shares = np.concatenate([self.shares[: len(self.known)], rows])
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        e = self.shares[at, 0]
-        e[1:] += self.shares[at[:-1], 1]
-        e[:-1] += self.shares[at[1:], 2]
-        e[2:] += self.shares[at[:-2], 3]
-        ends = np.cumsum([len(ws) + 3 for ws in texts])
-        return [e[b - len(ws) - 1 : b - 1] for b, ws in zip(ends.tolist(), texts, strict=True)]
+        data, offsets = common.utf8(pa.array([" ".join(ws)]))
+        _, _, padded, place = self._sought(data, offsets)
+        return self._emissions_at(padded, place)
 
     def decode(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The best labels of the words of each text."""
+        return self.labels(*common.utf8(pa.array([" ".join(ws) for ws in texts], pa.string())))
+
+    def labels(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The best labels of the words of each of the concatenated texts."""
+        w, text, padded, place = self._sought(data, offsets)
         gain = np.maximum((self.move - self.move[:, :1]).max(0), self.first - self.first[0]) + np.maximum((self.move - self.move[:1]).max(1), 0)
-        out, runs, where = [], [], []
-        for i, e in enumerate(self.emissions_of(texts)):
-            out.append(np.zeros(len(e), np.int8))
-            unsure = (e[:, :1] - e[:, 1:] <= gain[1:] + 1e-6).any(1)
-            turns = np.flatnonzero(np.diff(np.concatenate([[0], unsure, [0]])))
-            for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
-                run = e[a:b].copy()
-                run[0] += self.move[0] if a else self.first
-                run[-1] += self.move[:, 0] if b < len(e) else 0
-                runs.append(run)
-                where.append((i, a, b))
-        for path, (i, a, b) in zip(self.paths(runs), where, strict=True):
-            out[i][a:b] = path
-        return out
+        some, emitted = [np.zeros(0, np.int64)], [np.zeros((0, len(LABELS)), np.float32)]
+        for at in range(0, len(place), WORDS):
+            e = self._emissions_at(padded, place[at : at + WORDS])
+            unsure = np.flatnonzero((e[:, :1] - e[:, 1:] <= gain[1:] + 1e-6).any(1))
+            some.append(unsure + at)
+            emitted.append(e[unsure])
+        k, e = np.concatenate(some), np.concatenate(emitted).astype(float)
+        out = np.zeros(len(place), np.int8)
+        if len(k):
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1] + 1) | (text[k[1:]] != text[k[:-1]])
+            a = np.flatnonzero(new)
+            b = np.append(a[1:], len(k))
+            first = k[a] == w[text[k[a]]]
+            e[a] += np.where(first[:, None], self.first, self.move[0])
+            last = k[b - 1] + 1 == w[text[k[b - 1]] + 1]
+            e[b[~last] - 1] += self.move[:, 0]
+            out[k] = np.concatenate(self.paths([e[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]))
+        return np.split(out, w[1:-1])
 
     def paths(self, runs: list[np.ndarray]) -> list[np.ndarray]:
         """Viterbi of many runs of emissions at once, batched by length."""
@@ -375,15 +426,14 @@ def find_spans(texts: pa.Array, field: Field) -> tuple[list[list[Span]], list[li
     for i in np.union1d(has, brackets).astype(int).tolist():
         base[i] = base_spans(texts[i].as_py() or "")
         every[i] = list(base[i])
-    for part in portions(texts):
-        for labels, (i, text, _) in zip(field.decode([ws for _, _, ws in part]), part, strict=True):
-            if not labels.any():
-                continue
+    for part, labels in labelled(texts, data, offsets, field):
+        for i in part[[x.any() for x in labels]].tolist():
+            text, labels_ = texts[i].as_py(), labels[i - part[0]]
             words = [m.span() for m in _WORD.finditer(text)]
-            edges = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
+            edges = [0, *(np.flatnonzero(np.diff(labels_)) + 1).tolist(), len(labels_)]
             at, reach = 0, 0  # base spans that begin before the decoded one's end, and how far they reach
             for t, u in zip(edges, edges[1:], strict=False):
-                if k := int(labels[t]):
+                if k := int(labels_[t]):
                     a, b = trimmed(text, words[t][0], words[u - 1][1], k - 1)
                     while at < len(base[i]) and base[i][at][0] < b:
                         reach = max(reach, base[i][at][2])
@@ -396,18 +446,13 @@ def find_spans(texts: pa.Array, field: Field) -> tuple[list[list[Span]], list[li
 _WORD = re.compile(common.WORD)
 
 
-def portions(texts: pa.Array, words: int = 50_000) -> Iterator[list[tuple[int, str, list[str]]]]:
-    """All texts that have words, as (index, text, words), in lists that end with the text that fills them."""
-    part, n = [], 0
-    for i in range(len(texts)):
-        if ws := _WORD.findall(text := texts[i].as_py() or ""):
-            part.append((i, text, ws))
-            n += len(ws)
-        if n >= words:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+def labelled(texts: pa.Array, data: np.ndarray, offsets: np.ndarray, field: Field) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """All texts in parts of about a megabyte, a longer text alone: their numbers, and the labels of their words."""
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20), "right")) - 1)
+        yield np.arange(i, j), field.labels(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        i = j
 
 
 def trimmed(text: str, a: int, b: int, kind: int) -> tuple[int, int]:
