@@ -39,7 +39,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ep
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, bucket_bits: int = 12) -> DataFrame:
     """Adds size, source_size, target and taken (words that the mix takes, repeats counted) to docs.
 
-    Each source is sorted by a key hashed from the id; ``taken`` is the whole epochs times the size, plus what the last,
+    Each source is sorted by a key hashed from the id and the text, so that rows of one id or of none spread too; ``taken`` is the whole epochs times the size, plus what the last,
     partial epoch takes: documents in key order until the source's budget is met, the one at the border cut to fit. So
     the words taken of a source are its target rounded down to a whole word, exactly.
 
@@ -53,7 +53,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(common.WORD)), F.lit(0)).cast("long")
     added = ("size", "source_size", "target", "taken")
     d = docs.drop(*[c for c in added if c in docs.columns]).withColumn("size", size)
-    d = d.withColumn("_key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))).withColumn("_src", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")))
+    d = d.withColumn("_key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit("")))))).withColumn("_src", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")))
     d = d.withColumn("_bucket", F.conv(F.substring("_key", 1, 4), 16, 10).cast("int").bitwiseAND(F.lit(0xFFFF)))
     d = d.withColumn("_bucket", F.shiftright("_bucket", 16 - bucket_bits))
     slim = d.select("_src", F.col(source).alias("source"), "_bucket", "size")
@@ -79,7 +79,7 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, text, source,
                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key FROM documents),
+                  md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight,
              2.0::DOUBLE * source_size AS cap FROM s),
