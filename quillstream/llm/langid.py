@@ -18,8 +18,9 @@ from quillstream.llm import common
 
 BITS = 14
 ORDERS = (1, 2, 3)
-#: Most languages that a model holds. A table with more distinct lang values is refused, never cut.
-MAX_LANGS = 1000
+#: Most cells of a model (languages x buckets): the bound of what is broadcast and sent to the driver. More than 1,024
+#: languages share fewer buckets; none is left out.
+CELLS = 1 << 24
 #: Code points handled at once.
 PIECE = 1 << 20
 FOLD, HELD = 4, 2
@@ -117,7 +118,13 @@ class LangModel:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = BITS, orders: tuple = ORDERS, alpha: float = 0.3) -> LangModel:
-    """Counts of all rows with a lang. Each task sums into one array a language; the arrays are summed by language."""
+    """Counts of all rows with a lang. Each task sums into one array a language; the arrays are summed by language.
+
+    Rows that repeat count as often as they come. Of more languages than ``CELLS`` allows, n-grams share larger buckets.
+    """
+    n_langs = docs.agg(F.countDistinct(lang)).first()[0]
+    while bits > 4 and n_langs << bits > CELLS:
+        bits -= 1
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +163,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = B
     part = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(count, schema)
     # two steps, so that a language of most documents isn't summed by one task alone
     part = part.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16))).repartition("lang", "salt").drop("salt").mapInArrow(total, schema)
-    rows = part.repartition("lang").mapInArrow(total, schema).limit(MAX_LANGS + 1).collect()
-    if len(rows) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} values of lang")
+    rows = part.repartition("lang").mapInArrow(total, schema).collect()
     rows = sorted(rows, key=lambda r: r["lang"])
     if not rows:
         return LangModel([], np.zeros((size, 0), np.float32), np.zeros(0), bits, orders)
@@ -172,7 +177,8 @@ def identify(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame
     """Adds lang_pred and score to docs (columns of those names are replaced).
 
     A null text and a text without letters are ``und`` with score 0; an empty table gives no rows; a model learned from
-    no rows predicts ``und`` throughout. Texts of any length are read whole, in pieces of code points.
+    no rows predicts ``und`` throughout. Texts of any length are read whole, in pieces of code points. Each row is judged
+    alone, so repeated rows and ids are as many results; equal scores go to the language first in order.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     d = docs.select(*keep)

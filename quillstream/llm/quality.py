@@ -188,10 +188,14 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = BINS, pairs: int = PAIRS, roun
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> AdditiveModel:
-    """Fits on the labelled rows (doc_id, quality) given, at most ``limit`` of them, those of the smallest id hash."""
+    """Fits on the labelled rows (doc_id, quality) given, at most ``limit`` of them, those of the smallest id hash.
+
+    Of documents that share an id the one of the smallest text hash is taken, so repeats don't add rows.
+    """
     some = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("quality", "text")  # at most ``limit`` small rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(some.distinct()), "doc_id")  # at most ``limit`` small rows
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,8 +212,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Additive
 def score_quality(docs: DataFrame, model: AdditiveModel, text: str = "text") -> DataFrame:
     """Adds score double (0 to 1) and predicted int (1 if score >= 0.5) to docs; columns of those names are replaced.
 
-    Null and empty texts have all features 0 and are scored like any other. Texts are read whole. An empty table gives
-    no rows; without labels, or with labels of one kind, each score is the smoothed share of label 1.
+    Null and empty texts have all features 0 and are scored like any other. Texts are read whole. Each row is scored alone,
+    so repeated rows and ids are as many results. An empty table gives no rows; without labels, or with labels of one kind, each score is the smoothed share of label 1.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     d = docs.select(*keep)
