@@ -44,9 +44,11 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:  # single machine, as in tests
-            base = tempfile.mkdtemp(prefix="quill-")
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="quill-")  # all runs on this machine, as in tests
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/quill-{name}-{uuid.uuid4().hex[:12]}"

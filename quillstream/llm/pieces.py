@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from quillstream.llm import common
@@ -31,14 +32,38 @@ REMEMBER = 400_000
 PIECE_BYTES = 1 << 20
 
 
+def message(raw: bytes) -> list[tuple[int, int | bytes]]:
+    """Fields of a message in the protocol-buffer wire format, as (number, value)."""
+    out, i = [], 0
+
+    def varint() -> int:
+        nonlocal i
+        value = shift = 0
+        while True:
+            value |= (raw[i] & 127) << shift
+            shift, i = shift + 7, i + 1
+            if raw[i - 1] < 128:
+                return value
+
+    while i < len(raw):
+        tag = varint()
+        if tag & 7 == 0:
+            out.append((tag >> 3, varint()))
+        else:
+            n = varint() if tag & 7 == 2 else 4 if tag & 7 == 5 else 8
+            out.append((tag >> 3, raw[i : i + n]))
+            i += n
+    return out
+
+
 class PieceModel:
     """Vocabulary and forward pass. Small and picklable: it is broadcast, its size that of the vocabulary."""
 
-    def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], unknown: int, special: set[int], kind: str | None = None):
+    def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], unknown: int, special: set[int], kind: str = "unigram", prefix: bool = True):
         self.pieces, self.byte_ids, self.unknown, self.special, self.scores = pieces, byte_ids, unknown, special, scores
         self.id_of = {p: i for i, p in enumerate(pieces) if i not in special}
         self.score = {p: scores[i] for p, i in self.id_of.items()}
-        self.kind = kind or ("bpe" if all(float(s).is_integer() for s in self.score.values()) else "unigram")
+        self.kind, self.prefix = kind, prefix
         self.unknown_score = min(self.score.values(), default=0.0) - 10.0
         self._clear()
 
@@ -51,16 +76,24 @@ class PieceModel:
         self._bytes = None
 
     @classmethod
-    def load(cls, path: str = MODEL_FILE, kind: str | None = None) -> PieceModel:
+    def load(cls, path: str = MODEL_FILE) -> PieceModel:
+        """A model file as its trainer wrote it. What this encoder doesn't follow is refused, not encoded wrongly: kinds but
+        BPE and unigram, character maps of the normaliser, the removal of white space, marks behind words, user pieces."""
         import sentencepiece
 
-        m = sentencepiece.SentencePieceProcessor(model_proto=Path(path).read_bytes())
+        raw = Path(path).read_bytes()
+        m = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        trainer, normaliser = ({k: v for k, v in message(next((v for k, v in message(raw) if k == part), b""))} for part in (2, 3))
+        kind = {1: "unigram", 2: "bpe"}.get(trainer.get(3, 1))
+        user = [v for k, v in message(raw) if k == 1 and dict(message(v)).get(3) == 4]
+        if kind is None or normaliser.get(2) or normaliser.get(4, 1) or trainer.get(24) or not normaliser.get(5, 1) or user:
+            raise ValueError(f"{path}: a kind of model, normaliser or piece that is not supported")
         n = m.vocab_size()
         special = {i for i in range(n) if m.is_unknown(i) or m.is_control(i) or m.is_byte(i) or m.is_unused(i)}
         pieces = [m.id_to_piece(i) for i in range(n)]
         by_name = {pieces[i]: i for i in range(n) if m.is_byte(i)}
         byte_ids = [by_name[f"<0x{b:02X}>"] for b in range(256)] if by_name else []
-        return cls(pieces, [m.get_score(i) for i in range(n)], byte_ids, m.unk_id(), special, kind)
+        return cls(pieces, [m.get_score(i) for i in range(n)], byte_ids, m.unk_id(), special, kind, bool(normaliser.get(3, 1)))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -215,7 +248,7 @@ class PieceModel:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets by text. A null or empty text has no ids."""
         t = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), MARK, " ")
-        some = pc.greater(pc.binary_length(t), 0)
+        some = pc.and_(pc.greater(pc.binary_length(t), 0), self.prefix)
         t = pc.if_else(some, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), t, pa.scalar(" ", pa.large_string())), t)
         data, offsets = common.utf8(t)
         flat, counts = [np.zeros(0, np.int32)], np.zeros(len(t), np.int64)
@@ -266,7 +299,7 @@ class PieceModel:
             at = np.concatenate([[0], ends])[offsets[i : j + 1] - offsets[i]].tolist()
             for a, b in zip(at[:-1], at[1:], strict=True):
                 s = raw[a:b]
-                out.append(s[1:] if s[:1] == b" " else s)
+                out.append(s[1:] if self.prefix and s[:1] == b" " else s)
             i = j
         return out
 
@@ -275,7 +308,8 @@ def encode_pieces(docs: DataFrame, model: PieceModel, text: str = "text") -> Dat
     """docs without its text, with n_tokens long, ids array<int> and round_trip boolean (decoding gives the text back).
 
     ``round_trip`` compares with the text after marks (U+2581) became spaces, which is all the model can't tell apart. A
-    null or empty text has no ids and a true round trip; very long texts and words are taken whole; an empty table gives
+    null or empty text has no ids and a true round trip; very long texts and words are taken whole; each row is encoded
+    alone, so repeated rows and ids are as many results; of equal sums the longest last piece wins; an empty table gives
     no rows; columns named n_tokens, ids or round_trip are replaced.
     """
     keep = [c for c in docs.columns if c not in ("n_tokens", "ids", "round_trip", text)]
@@ -296,6 +330,29 @@ def encode_pieces(docs: DataFrame, model: PieceModel, text: str = "text") -> Dat
     return d.mapInArrow(run, schema)
 
 
+def decode_pieces(df: DataFrame, model: PieceModel, ids: str = "ids", text: str = "text") -> DataFrame:
+    """df with the text that each row's ids spell in place of the ids.
+
+    Bytes that are no UTF-8 become U+FFFD; null and empty ids give an empty text, null ids in a list are left out, ids
+    outside the vocabulary raise. A column named like the text is replaced; an empty table gives no rows.
+    """
+    keep = [c for c in df.columns if c not in (ids, text)]
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keep))
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(flat) and (flat.min() < 0 or flat.max() >= len(shared.value.pieces)):
+                raise ValueError("an id outside the vocabulary")
+            offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            out = [x.decode("utf-8", "replace") for x in shared.value.decode(flat, offsets)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.string())], names=[*keep, text])
+
+    some = F.coalesce(F.filter(F.col(ids).cast("array<int>"), lambda x: x.isNotNull()), F.array().cast("array<int>")).alias(ids)
+    return df.select(*keep, some).mapInArrow(run, df.select(*keep).schema.add(text, "string"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.tune(spark)
     return encode_pieces(common.table(spark, sf_dir, "documents").select("doc_id", "text"), PieceModel.load())

@@ -1,5 +1,7 @@
 """Mixing, language, quality, personal data and pieces on small tables, with nulls, empty and long texts."""
 
+import hashlib
+import math
 import re
 import zlib
 
@@ -94,6 +96,96 @@ def test_held_out_follows_crc32(spark):
     assert all(r[1] == (zlib.crc32(str(r[0]).encode()) % 3 == 1) for r in got)
 
 
+def test_scores_equal_a_look_up_by_hand(spark):
+    """Each score against the tables of the model, read cell by cell in plain Python."""
+    texts = sentences(6, ["plain", "words", "of", "prose", "and", "more!"], 60) + [t.upper() + " | 12" for t in sentences(7, ["buy", "now"], 40)] + ODD
+    df = table(spark, texts)
+    m = quality.train(df, spark.createDataFrame([(i, int(i < 60)) for i in range(100)], "doc_id long, quality int"))
+    x = quality.measure(pa.array(texts, pa.string()))
+    for r in quality.score_quality(df, m).collect():
+        z = m.base
+        bin_of = lambda edges, v: sum(1 for e in edges if e <= v)
+        for f in range(len(quality.FEATURES)):
+            z += float(m.tables[f][bin_of(m.edges[f], x[r.doc_id, f])])
+        for (a, b), t in zip(m.pairs, m.pair_tables, strict=True):
+            z += float(t[bin_of(m.pair_edges[a], x[r.doc_id, a]), bin_of(m.pair_edges[b], x[r.doc_id, b])])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), abs=1e-12)
+    assert m.pairs and len({round(float(v), 9) for t in m.tables for v in t}) > 5
+
+
+def test_repeated_documents_add_no_rows_to_the_fit(spark):
+    df = table(spark, sentences(8, ["some", "words", "here"], 50))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    one, two = quality.train(df, labels), quality.train(df.union(df).union(df.where("doc_id = 3")), labels.union(labels))
+    assert one.base == two.base and all(np.array_equal(a, b) for a, b in zip(one.tables, two.tables, strict=True))
+
+
+def test_language_probabilities_equal_plain_counting(spark):
+    """Naive Bayes again in plain Python: counts by n-gram bucket, log probabilities, sums by text."""
+    texts = ["das ist gut", "das war es", "this is it", "it was this", "é è", "das this"]
+    langs = ["de", "de", "en", "en", "fr", None]
+    model = langid.train(table(spark, texts, langs))
+
+    def buckets(text):
+        points = [ord(c) for c in text]
+        points = [32 if 9 <= p <= 13 else p if p >= 128 or 97 <= p <= 122 or p == 32 else 0 for p in points]
+        for n in langid.ORDERS:
+            for i in range(len(points) - n + 1):
+                h = 0
+                for p in points[i : i + n]:
+                    h = (h * 0x01000193 + p + 1) % 2**32
+                yield (h * 0x9E3779B1 % 2**32) >> (32 - langid.BITS)
+
+    size, names, counts = 1 << langid.BITS, sorted({x for x in langs if x}), {}
+    for t, name in zip(texts, langs, strict=True):
+        for b in buckets(t) if name else ():
+            counts[name, b] = counts.get((name, b), 0) + 1
+    total = {name: sum(v for (k, _), v in counts.items() if k == name) for name in names}
+    logp = lambda name, b: math.log((counts.get((name, b), 0) + 0.3) / (total[name] + 0.3 * size))
+    assert model.langs == names
+    for r in langid.identify(table(spark, texts, langs), model).collect():
+        seen = list(buckets(r.text))
+        score = {k: (math.log(langs.count(k) / 5) + sum(logp(k, b) - sum(logp(j, b) for j in names) / 3 for b in seen)) / len(seen) ** 0.5 for k in names}
+        top = max(score.values())
+        assert r.lang_pred == max(names, key=score.get)
+        assert r.score == pytest.approx(1 / sum(math.exp(v - top) for v in score.values()), rel=1e-3)
+
+
+def test_more_languages_than_cells(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CELLS", 1 << 8)
+    model = langid.train(table(spark, [f"{chr(97 + i % 26) * 9} x" for i in range(52)], [f"l{i % 26:02}" for i in range(52)]))
+    assert len(model.langs) == 26 and model.bits == 4
+
+
+# --- the queries as they are registered --------------------------------------------------------------------------------
+@pytest.fixture
+def folder(spark, tmp_path):
+    texts = [t for t in sentences(9, ["das", "ist", "gut", "und", "schön"], 40)] + sentences(10, ["this", "is", "plain", "text"], 40) + [None, "", "12 34", "mail a@b.cd or 10.0.0.1"]
+    rows = [(i, t, "de" if i < 40 else "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path), rows
+
+
+def test_registered_queries_return_the_contract(spark, folder):
+    path, rows = folder
+    nine = {r.doc_id: r for r in langid.op9_langid(spark, path).collect()}
+    assert len(nine) == len(rows) and all(nine[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in rows)
+    learnt = langid.train(spark.read.parquet(f"{path}/documents.parquet").where("pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2"))
+    want = {r.doc_id: r for r in langid.identify(spark.read.parquet(f"{path}/documents.parquet"), learnt).collect()}
+    assert all(nine[i].lang_pred == want[i].lang_pred and nine[i].score == want[i].score for i in want)
+    assert langid.op9_langid(spark, path).columns == ["doc_id", "held_out", "lang_pred", "score"]
+    eight = quality.op8_quality(spark, path)
+    assert eight.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5) for r in eight.collect())
+    seven = pii.op7_pii(spark, path)
+    assert seven.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    for r in seven.collect():
+        base = pii.spell(plain_base(rows[r.doc_id][1] or ""))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(base.split(",")) <= {*r.spans.split(","), ""}
+    assert {r.doc_id: r.round_trip for r in pieces.op10_pieces(spark, path).collect()} == {i: True for i, *_ in rows}
+
+
 # --- personal data -----------------------------------------------------------------------------------------------------
 def plain_base(text):
     """The contract's patterns, word for word."""
@@ -180,6 +272,27 @@ def test_pieces_equal_the_library_and_round_trip(spark):
     assert pieces.encode_pieces(table(spark, []), pieces.PieceModel.load()).count() == 0
 
 
+def test_ids_decode_as_an_operator(spark):
+    m = pieces.PieceModel.load()
+    texts = ["plain text here", None, "", "héllo  wörld", " a", "日本 x"]
+    df = pieces.encode_pieces(table(spark, texts), m)
+    back = {r.doc_id: r.text for r in pieces.decode_pieces(df, m).collect()}
+    assert back == {i: t or "" for i, t in enumerate(texts)}
+    assert pieces.decode_pieces(df.where("false"), m).count() == 0
+    odd = spark.createDataFrame([(1, None, "x"), (2, [None], "y")], "doc_id long, ids array<int>, text string")
+    assert {r.doc_id: r.text for r in pieces.decode_pieces(odd, m).collect()} == {1: "", 2: ""}
+
+
+def test_a_model_that_is_not_followed_is_refused(tmp_path):
+    raw = open(pieces.MODEL_FILE, "rb").read()
+    at = raw.rindex(b"identity") - 2  # the normaliser's message: switch the removal of white space on
+    assert raw[at:].count(b"\x20\x00") == 1
+    (tmp_path / "m.model").write_bytes(raw[:at] + raw[at:].replace(b"\x20\x00", b"\x20\x01"))
+    with pytest.raises(ValueError):
+        pieces.PieceModel.load(str(tmp_path / "m.model"))
+    assert pieces.PieceModel.load().kind == "bpe"
+
+
 def test_unigram_viterbi_takes_the_best_sum():
     vocab = {"▁": -3.0, "a": -1.0, "b": -1.5, "ab": -2.2, "▁a": -2.5, "ba": -2.0, "▁ab": -4.9}
     m = pieces.PieceModel(list(vocab), list(vocab.values()), [], -1, set(), kind="unigram")
