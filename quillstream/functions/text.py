@@ -60,6 +60,11 @@ def joined_lines(col: Column) -> Column:
     return F.regexp_replace(F.array_join(lines, "\n"), r"^\n+|\n+$", "")
 
 
+def windows_of(words: Column, most: int = 4) -> Column:
+    """A row for each place of an array: the element there and the ``most - 1`` after it, null beyond the end."""
+    return F.arrays_zip(*[F.slice(words, k + 1, F.greatest(F.size(words) - k, F.lit(0))).alias(f"w{k}") for k in range(most)])
+
+
 def digest(col: Column) -> Column:
     return F.sha1(col.cast("binary"))
 
@@ -158,7 +163,7 @@ def is_acronym(col: Column) -> Column:
 def folded(col: Column) -> Column:
     """Key of a term: lower case, a plural in its last word folded; an acronym alone stays as it is."""
     low = F.lower(col)
-    last = F.element_at(F.split(low, " "), -1)
+    last = F.substring_index(low, " ", -1)
     head = F.substring(low, F.lit(1), F.length(low) - F.length(last))
     singular = F.when((F.length(last) > 4) & last.endswith("ies"), F.concat(F.substring(last, F.lit(1), F.length(last) - 3), F.lit("y"))).when((F.length(last) > 3) & last.endswith("s") & ~last.endswith("ss"), F.substring(last, F.lit(1), F.length(last) - 1)).otherwise(last)
     return F.when(~F.contains(col, F.lit(" ")) & is_acronym(col), col).otherwise(F.concat(head, singular))

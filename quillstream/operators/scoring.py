@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as X
 from quillstream.operators.segments import segments
-from quillstream.session import table
+from quillstream.session import small, table
 
 
 def words_of(col: str) -> Column:
@@ -20,8 +20,8 @@ def words_of(col: str) -> Column:
 def shingles(df: DataFrame, key: str, col: str, n: int = 4) -> DataFrame:
     """key, pos, shingle of n words of two characters and more."""
     d = df.select(key, words_of(col).alias("w")).where(F.size("w") >= n)
-    s = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
-    return d.select(key, F.posexplode(s).alias("pos", "shingle"))
+    rows = d.select(key, F.posexplode(X.windows_of(F.col("w"), n)).alias("pos", "z")).where(F.col("z")[f"w{n - 1}"].isNotNull())
+    return rows.select(key, "pos", F.concat_ws(" ", *[F.col("z")[f"w{k}"] for k in range(n)]).alias("shingle"))
 
 
 def shingle_locate(spark: SparkSession, sf_dir: str, reach: int = 12) -> DataFrame:
@@ -33,7 +33,7 @@ def shingle_locate(spark: SparkSession, sf_dir: str, reach: int = 12) -> DataFra
     """
     items = shingles(table(spark, sf_dir, "benchmark"), "item_id", "text")
     last = items.groupBy("item_id").agg(F.max("pos").alias("last"))
-    docs = shingles(table(spark, sf_dir, "documents"), "doc_id", "text").join(items.select("shingle").distinct(), "shingle", "left_semi")
+    docs = shingles(table(spark, sf_dir, "documents"), "doc_id", "text").join(small(items.select("shingle").distinct()), "shingle", "left_semi")
     once = docs.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
     hit = items.join(once, "shingle").join(last, "item_id").where((F.col("pos") < reach) | (F.col("last") - F.col("pos") < reach))
     start, end = F.when(F.col("pos") < reach, F.struct("pos", "doc_id")), F.when(F.col("last") - F.col("pos") < reach, F.struct(-F.col("pos"), "doc_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as X
 from quillstream.operators.segments import segments
-from quillstream.session import numbered, settle, table
+from quillstream.session import numbered, small, table
 
 #: Words that no term begins, ends or is made of: short function words of the languages at hand.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "de", "der", "des", "die", "du", "el", "en", "et", "for", "from", "in", "is", "it", "la", "le", "les", "los", "of", "on", "or", "que", "the", "this", "to", "und", "un", "une", "was", "with")
@@ -16,11 +16,6 @@ LEAST_MANY, LEAST_CAPITAL, LEAST_PLAIN = 3, 2, 6
 WORD = r"\p{L}[\p{L}\p{N}]*"
 
 
-def windows_of(words: Column, most: int = 4) -> Column:
-    """A row for each place of an array: the element there and the ``most - 1`` after it, null beyond the end."""
-    return F.arrays_zip(*[F.slice(words, k + 1, F.greatest(F.size(words) - k, F.lit(0))).alias(f"w{k}") for k in range(most)])
-
-
 def grams(docs: DataFrame) -> DataFrame:
     """doc_id, surface, words, n: all runs of 1 to 4 words within a clause, without stop words or repeated words, counted.
 
@@ -31,7 +26,7 @@ def grams(docs: DataFrame) -> DataFrame:
     clauses = dealt.select("doc_id", F.explode(F.split("text", r"[\n.,;:!?()|\"]+")).alias("clause"))
     words = clauses.select("doc_id", F.regexp_extract_all("clause", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
     about = words.select("doc_id", F.transform("w", lambda x: F.struct(x.alias("x"), F.lower(x).alias("low"), F.lower(x).isin(*STOP).alias("stop"), X.is_acronym(x).alias("acronym"))).alias("w"))
-    rows = about.select("doc_id", F.inline(windows_of(F.col("w"))))
+    rows = about.select("doc_id", F.inline(X.windows_of(F.col("w"))))
     w = [F.col(f"w{k}") for k in range(4)]
     plain = [x.isNotNull() & ~x["stop"] & ~x["acronym"] for x in w]
     ok, surface = plain[0], w[0]["x"]
@@ -42,7 +37,7 @@ def grams(docs: DataFrame) -> DataFrame:
             ok = ok & (w[k]["low"] != w[j]["low"])
         surface = F.concat(surface, F.lit(" "), w[k]["x"])
         runs.append(F.when(ok, F.struct(surface.alias("surface"), F.lit(k + 1).alias("words"))))
-    each = rows.select("doc_id", F.inline(F.array_compact(F.array(*runs))))
+    each = rows.select("doc_id", F.inline(F.array(*runs))).where("surface IS NOT NULL")
     return each.groupBy("doc_id", "surface", "words").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -54,10 +49,11 @@ def mined(docs: DataFrame) -> DataFrame:
     forms = grams(docs).withColumn("key", X.folded(F.col("surface")))
     small = F.substring("surface", 1, 1) == F.lower(F.substring("surface", 1, 1))
     best = F.min_by("surface", F.struct((~small).alias("capital"), (-F.col("n")).alias("n"), F.col("surface")))
-    terms = forms.groupBy("doc_id", "key").agg(best.alias("surface"), F.max("words").alias("words"), F.sum("n").alias("cnt"), F.bool_and(~small).alias("capital"))
+    terms = forms.groupBy("doc_id", "key").agg(best.alias("surface"), F.max("words").alias("words"), F.sum("n").alias("cnt"), F.bool_and(~small).alias("capital"), F.max(F.length("key")).alias("size"))
     least = F.when(F.col("words") > 1, LEAST_MANY).when(F.col("capital"), LEAST_CAPITAL).otherwise(LEAST_PLAIN)
     weight = F.when(F.col("words") > 1, F.lit(1.5)).when(F.col("capital"), F.lit(1.0)).otherwise(F.lit(0.5))
-    return terms.where((F.col("cnt") >= least) & (F.length("key") > 1)).withColumn("score", F.col("cnt") * weight * F.col("words"))
+    # the size is an aggregate, so that keys aren't made for every run of words before they are counted
+    return terms.where((F.col("cnt") >= least) & (F.col("size") > 1)).drop("size").withColumn("score", F.col("cnt") * weight * F.col("words"))
 
 
 def pruned(terms: DataFrame, share: float = 0.8) -> DataFrame:
@@ -108,10 +104,6 @@ def glossary_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary(spark, sf_dir).select("source", "target", "prio")
 
 
-#: Rows up to which a glossary is sent to all executors; a larger one is shuffled to the words instead.
-BROADCAST_TERMS = 100_000
-
-
 def mentions_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, term) of the terms (in lower case, of two to four words) that a document holds as whole words, plurals included.
 
@@ -121,10 +113,10 @@ def mentions_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """
     t = F.split("term", " ")
     g = terms.select("term", t[0].alias("first"), F.slice(t, 2, 3).alias("next"), F.size(t).alias("n"))
-    g = settle(g.where("n between 2 and 4"))
+    g = g.where("n between 2 and 4")
     stretches = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N} ]+|  +")).alias("s"))
-    rows = stretches.select("doc_id", F.inline(windows_of(F.split(F.trim("s"), " ")))).where("w1 IS NOT NULL")
-    pairs = rows.join(F.broadcast(g) if g.count() <= BROADCAST_TERMS else g, F.col("w0") == F.col("first"))
+    rows = stretches.select("doc_id", F.inline(X.windows_of(F.split(F.trim("s"), " ")))).where("w1 IS NOT NULL")
+    pairs = rows.join(small(g), F.col("w0") == F.col("first"))
     after = [F.col("w1"), F.col("w2"), F.col("w3")]
     hit = F.lit(False)
     for n in (2, 3, 4):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as X
 from quillstream.operators.segments import section_carry, segments
-from quillstream.session import table
+from quillstream.session import small, table
 
 
 def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,10 @@ def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     d = table(spark, sf_dir, "documents")
     p = profiles(d.where("doc_id % 2 = 0 AND lang IS NOT NULL").select("lang", "text"))
-    g = triples(d.select("doc_id", "text"), "doc_id").groupBy("doc_id", "gram").agg(F.sum("n").alias("n"))
-    s = g.join(p, "gram").groupBy("doc_id", "lang").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+    w = d.select("doc_id", F.explode(words).alias("w")).withColumn("w", F.concat(F.lit("_"), "w", F.lit("_")))
+    g = w.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, F.lit(3)))).alias("gram"))
+    s = g.join(small(p), "gram").groupBy("doc_id", "lang").agg(F.sum("weight").alias("score"))  # scored where the text is
     best = s.groupBy("doc_id").agg(F.max_by("lang", F.struct("score", "lang")).alias("by_profile"))
     t = F.col("text")
     enough = X.count_of(t, X.LETTER) + 2 * X.count_of(t, r"\p{IsHan}") >= 20

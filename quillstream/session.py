@@ -49,3 +49,13 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     parts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # a row a partition
     return d.join(F.broadcast(parts), "_part").withColumn("ord", F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1).drop("_at", "_part", "_before")
+
+
+#: Rows up to which a table is sent to all executors; a larger one is shuffled instead.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, to be broadcast if it has ``most`` rows at most: they are counted, and computed once."""
+    d = settle(df)
+    return F.broadcast(d) if d.limit(most + 1).count() <= most else d

@@ -111,12 +111,12 @@ def since(feed: DataFrame, version: int) -> DataFrame:
     return feed.where(F.col("version") > version)
 
 
-def stream_retention(spark: SparkSession, sf_dir: str, days: int = 7) -> DataFrame:
-    """Users whose last event is older than ``days`` before the newest of all: what a state with a time to live lets go."""
+def stream_retention(spark: SparkSession, sf_dir: str, hours: int = 12) -> DataFrame:
+    """Users whose last event is older than ``hours`` before the newest of all: what a state with a time to live lets go."""
     last = event_stream(spark, sf_dir).groupBy("user_id").agg(F.max("ts").alias("last_ts"))
     done = drained(last, "complete")
     now = done.agg(F.max("last_ts").alias("now"))  # one row
-    return done.join(F.broadcast(now)).where(F.col("last_ts") < F.col("now") - F.make_interval(days=F.lit(days))).select("user_id")
+    return done.join(F.broadcast(now)).where(F.col("last_ts") < F.col("now") - F.make_interval(hours=F.lit(hours))).select("user_id")
 
 
 def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,7 @@ ORACLE = {
     "stream_summary": "SELECT event_type, count(*) AS n, round(sum(value), 3) AS total, max(value) AS top FROM events GROUP BY event_type",
     "stream_join": "SELECT b.event_id AS buy, v.event_id AS view FROM events b JOIN events v ON b.user_id = v.user_id AND b.event_type = 'purchase' AND v.event_type = 'view' AND v.ts <= b.ts AND v.ts > b.ts - INTERVAL 1 HOUR",
     "change_feed": f"WITH {_SEG}, f AS (SELECT *, min(seg_no) OVER (PARTITION BY doc_id, text) AS fp FROM s) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY fp, seg_no) AS version, seg_no FROM f",
-    "stream_retention": "WITH l AS (SELECT user_id, max(ts) AS t FROM events GROUP BY user_id) SELECT user_id FROM l WHERE t < (SELECT max(t) FROM l) - INTERVAL 7 DAY",
+    "stream_retention": "WITH l AS (SELECT user_id, max(ts) AS t FROM events GROUP BY user_id) SELECT user_id FROM l WHERE t < (SELECT max(t) FROM l) - INTERVAL 12 HOUR",
     "stream_batches": f"""WITH RECURSIVE {_SEG}, o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no) AS k, length(text) AS n FROM s),
 b AS (SELECT doc_id, k, 0 AS batch_no, CAST(1 AS BIGINT) AS items, CAST(n AS BIGINT) AS chars FROM o WHERE k = 1
  UNION ALL SELECT o.doc_id, o.k, CASE WHEN full_ THEN b.batch_no + 1 ELSE b.batch_no END, CASE WHEN full_ THEN 1 ELSE b.items + 1 END, CASE WHEN full_ THEN o.n ELSE b.chars + o.n END
