@@ -36,7 +36,7 @@ CHUNK = 384 << 10
 #: Contexts of an anchor (by an upper estimate) from which on its stretches are dealt one by one instead of by anchor.
 HOT = 8192
 #: Contexts that are sorted at once, and spans whose bytes are compared at once.
-SLICE, SPANS = 8192, 20_000
+SLICE, SPANS = 16384, 20_000
 _K1, _K2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 

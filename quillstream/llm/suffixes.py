@@ -39,41 +39,39 @@ def common_extension(p: common.Prefixes, i: np.ndarray, j: np.ndarray, most: np.
 def suffix_sort(values: np.ndarray, at: np.ndarray, group: np.ndarray, most: np.ndarray, p: common.Prefixes) -> np.ndarray:
     """Order of the suffixes at ``at`` by (group, their first ``most`` tokens), stable. group is sorted, most one a group.
 
-    Mergesort from runs of one: in each round the place of every suffix in its merged run is found by binary search in
-    the neighbouring run, for all suffixes of all groups at once.
+    Mergesort from runs of one: in each round the place of every suffix of a left run among those of the run at its right
+    is found by binary search, for all suffixes of all groups at once; the right runs fill the places that are left.
     """
     n = len(at)
     order = np.arange(n)
     starts = matching.firsts(group)
     size = np.diff(np.append(starts, n))
-    base, count = np.repeat(starts, size), np.repeat(size, size)
+    inner, count = np.arange(n) - np.repeat(starts, size), np.repeat(size, size)
     run = 1
     while run < size.max(initial=0):
-        live = np.flatnonzero(count > run)
-        inner = live - base[live]
         mine = inner // run
-        other = mine ^ 1
-        left = (mine & 1) == 0
-        lo = np.minimum(other * run, count[live])
-        first, hi = lo.copy(), np.minimum((other + 1) * run, count[live])
-        x = at[order[live]]
+        right = (mine & 1) == 1
+        left = np.flatnonzero(~right & ((mine + 1) * run < count))
+        first = left - inner[left] + (mine[left] + 1) * run
+        lo, hi = first.copy(), np.minimum(first + run, left - inner[left] + count[left])
+        x = at[order[left]]
         while True:
             on = np.flatnonzero(lo < hi)
             if not len(on):
                 break
             mid = (lo[on] + hi[on]) >> 1
-            y = at[order[base[live[on]] + mid]]
-            m = most[live[on]]
+            y, m = at[order[mid]], most[left[on]]
             e = common_extension(p, x[on], y, m)
-            full = e == m
             k = np.minimum(e, m - 1)
-            # a left suffix goes before equal ones of the right run, a right one after those of the left
-            past = np.where(full, ~left[on], values[y + k] < values[x[on] + k])
+            past = (e < m) & (values[y + k] < values[x[on] + k])  # of equal ones the left goes first
             lo[on] = np.where(past, mid + 1, lo[on])
             hi[on] = np.where(past, hi[on], mid)
-        target = base[live] + np.minimum(mine, other) * run + (inner - mine * run) + (lo - first)
-        new = order.copy()
-        new[target] = order[live]
+        target = left + (lo - first)
+        new, free = order.copy(), right.copy()
+        new[target] = order[left]
+        free[left] = True
+        free[target] = False
+        new[free] = order[right]
         order = new
         run *= 2
     return order
