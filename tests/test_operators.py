@@ -344,3 +344,19 @@ def test_admission_waits():
     rows = pd.DataFrame({"at": [0.0, 10.0, 59.0, 60.0], "event_id": [1, 2, 3, 4]})
     out = next(streams.admit(("svc",), iter([rows]), s, 2, 60))
     assert list(out["wait"]) == [0.0, 0.0, 1.0, 10.0] and s.value == ([60.0, 70.0],)
+
+
+def test_lines_of_markup():
+    assert [documents.heading(t) for t in ("# a", "### b c ##", "####### x", "#x", "    # a", "#")] == [(1, "a"), (3, "b c"), (0, ""), (0, ""), (0, ""), (0, "")]
+    assert [documents.is_rule(t) for t in ("---", "* * *", "__", "-*-", "", "    ---")] == [True, True, False, False, False, False]
+    assert [documents.is_table_rule(t) for t in ("|---|:-:|", "--- | ---", "---", "| a | - |", "|::|", "| - | |")] == [True, True, False, False, False, False]
+    assert [documents.item(t) for t in ("- a", "  12) b", "1.x", "* ", "-", "1234567890. a")] == [2, 6, 0, 2, 0, 0]
+    assert [documents.quoted(t) for t in ("> a", ">b", "a > b", "     > a")] == [2, 1, 0, 0]
+    assert [documents.underline(t) for t in ("===", "--", "=-", "", "    ---")] == [1, 2, 0, 0, 0]
+    assert [documents.fence(t) for t in ("```py", "~~~~", "``", "")] == ["```", "~~~~", "", ""]
+
+
+def test_timing_lines(spark):
+    lines = ["00:00:01,000 --> 00:00:02,500", "00:01.5 --> 01:02.25 align:start", "1:2:3 --> 4:5:6", "a --> b", "00:01,000", "00:01,000 -->", "--> 00:01,000", "x00:01,0 --> 00:01,0"]
+    df = spark.createDataFrame([(t,) for t in lines], "t string")
+    assert [r.k for r in df.select(documents.is_timing(F.col("t")).alias("k")).collect()] == [True, True, False, False, False, False, False, False]
