@@ -213,3 +213,10 @@ def test_components(spark):
     got = common.components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark, "test")).collect()
     want = {x: root(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
     assert {r.id: r.component_id for r in got} == want and len(got) == len(want)
+
+
+def test_counts_keep_their_order_without_an_upper_end():
+    counts = np.array([0, 1, 2, 4095, 4096, 8191, 2**20, 2**21, 2**32, 2**40, 2**62], np.uint64)
+    got = jaccard.order_of(counts)
+    assert (np.diff(got.astype(np.int64)) > 0).all() and got.max() < 2**20
+    assert len(set(jaccard.order_of(np.arange(8192, dtype=np.uint64)).tolist())) == 8192
