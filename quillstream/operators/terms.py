@@ -25,7 +25,7 @@ def grams(docs: DataFrame) -> DataFrame:
     dealt = docs.select("doc_id", "text").repartition("doc_id")
     clauses = dealt.select("doc_id", F.explode(F.split("text", r"[\n.,;:!?()|\"]+")).alias("clause"))
     words = clauses.select("doc_id", F.regexp_extract_all("clause", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
-    about = words.select("doc_id", F.transform("w", lambda x: F.struct(x.alias("x"), F.lower(x).alias("low"), F.lower(x).isin(*STOP).alias("stop"), X.is_acronym(x).alias("acronym"))).alias("w"))
+    about = words.select("doc_id", F.transform("w", lambda x: F.struct(x.alias("x"), X.lower(x).alias("low"), X.lower(x).isin(*STOP).alias("stop"), X.is_acronym(x).alias("acronym"))).alias("w"))
     rows = about.select("doc_id", F.inline(X.windows_of(F.col("w"))))
     w = [F.col(f"w{k}") for k in range(4)]
     plain = [x.isNotNull() & ~x["stop"] & ~x["acronym"] for x in w]
@@ -47,7 +47,7 @@ def mined(docs: DataFrame) -> DataFrame:
     The surface is the most frequent form that begins with a small letter, else the most frequent; ties by text.
     """
     forms = grams(docs).withColumn("key", X.folded(F.col("surface")))
-    small = F.substring("surface", 1, 1) == F.lower(F.substring("surface", 1, 1))
+    small = F.substring("surface", 1, 1) == X.lower(F.substring("surface", 1, 1))
     best = F.min_by("surface", F.struct((~small).alias("capital"), (-F.col("n")).alias("n"), F.col("surface")))
     terms = forms.groupBy("doc_id", "key").agg(best.alias("surface"), F.max("words").alias("words"), F.sum("n").alias("cnt"), F.bool_and(~small).alias("capital"), F.max(F.length("key")).alias("size"))
     least = F.when(F.col("words") > 1, LEAST_MANY).when(F.col("capital"), LEAST_CAPITAL).otherwise(LEAST_PLAIN)
@@ -70,7 +70,7 @@ def pruned(terms: DataFrame, share: float = 0.8) -> DataFrame:
 
 
 def ranked(terms: DataFrame, most: int = 80) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), F.lower("surface"), "key")
+    w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), X.lower(F.col("surface")), "key")
     return terms.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
@@ -86,7 +86,7 @@ def common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of at most four letters in 30 % or more of the lines of a document with at least 20 lines."""
     s = segments(table(spark, sf_dir, "documents"))
     size = s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines")).where("lines >= 20")
-    w = s.select("doc_id", "seg_no", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")).where("length(word) <= 4")
+    w = s.select("doc_id", "seg_no", F.explode(F.array_distinct(F.regexp_extract_all(X.lower(F.col("text")), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")).where("length(word) <= 4")
     return w.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n")).join(size, "doc_id").where("n >= 0.3 * lines").select("doc_id", "word", "n", "lines")
 
 
@@ -95,8 +95,8 @@ def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     (prio 0) over candidates (1)."""
     t = mined(table(spark, sf_dir, "documents")).where("words > 1").groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("surface").alias("source"))
     t = numbered(t, F.col("docs").desc(), F.col("key"))
-    both = t.select("source", F.upper("source").alias("target"), F.lit(1).alias("prio"), "ord").unionByName(t.where("ord % 3 = 0").select(F.upper("source").alias("source"), F.lit("user").alias("target"), F.lit(0).alias("prio"), "ord"))
-    first = F.row_number().over(Window.partitionBy(F.lower("source")).orderBy("prio", "ord"))
+    both = t.select("source", X.upper(F.col("source")).alias("target"), F.lit(1).alias("prio"), "ord").unionByName(t.where("ord % 3 = 0").select(X.upper(F.col("source")).alias("source"), F.lit("user").alias("target"), F.lit(0).alias("prio"), "ord"))
+    first = F.row_number().over(Window.partitionBy(X.lower(F.col("source"))).orderBy("prio", "ord"))
     return both.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
@@ -114,7 +114,7 @@ def mentions_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
     t = F.split("term", " ")
     g = terms.select("term", t[0].alias("first"), F.slice(t, 2, 3).alias("next"), F.size(t).alias("n"))
     g = g.where("n between 2 and 4")
-    stretches = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N} ]+|  +")).alias("s"))
+    stretches = docs.select("doc_id", F.explode(F.split(X.lower(F.col("text")), r"[^\p{L}\p{N} ]+|  +")).alias("s"))
     rows = stretches.select("doc_id", F.inline(X.windows_of(F.split(F.trim("s"), " ")))).where("w1 IS NOT NULL")
     pairs = rows.join(small(g), F.col("w0") == F.col("first"))
     after = [F.col("w1"), F.col("w2"), F.col("w3")]
@@ -129,7 +129,7 @@ def mentions_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def glossary_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, term) of the glossary entries that a document mentions as whole words, plurals included."""
-    return mentions_of(table(spark, sf_dir, "documents"), glossary(spark, sf_dir).select(F.lower("source").alias("term")).distinct())
+    return mentions_of(table(spark, sf_dir, "documents"), glossary(spark, sf_dir).select(X.lower(F.col("source")).alias("term")).distinct())
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP)
