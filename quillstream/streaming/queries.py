@@ -19,11 +19,18 @@ from quillstream.operators.segments import pack, segments
 from quillstream.session import scratch_dir, table
 
 
+def file_stream(spark: SparkSession, sf_dir: str, name: str, **options: int) -> DataFrame:
+    """A table as a stream of its files, whether it is one file or a folder of them.
+
+    The path is a pattern, which only the table's own name meets: a stream takes a plain path for the folder of its files.
+    """
+    like = table(spark, sf_dir, name)
+    return spark.readStream.schema(like.schema).options(**options).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of files. ts becomes an instant, so that it can be a watermark."""
-    like = table(spark, sf_dir, "events")
-    s = spark.readStream.schema(like.schema).option("pathGlobFilter", "events.parquet*").option("maxFilesPerTrigger", 1).parquet(sf_dir)
-    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+    return file_stream(spark, sf_dir, "events", maxFilesPerTrigger=1).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
@@ -121,9 +128,8 @@ def stream_retention(spark: SparkSession, sf_dir: str, hours: int = 12) -> DataF
 
 def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that arrive as files, packed into batches of at most 20 texts and 3,000 characters in each micro-batch."""
-    like = table(spark, sf_dir, "documents")
     root = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
-    s = spark.readStream.schema(like.schema).option("pathGlobFilter", "documents.parquet*").parquet(sf_dir)
+    s = file_stream(spark, sf_dir, "documents")
 
     def write(batch: DataFrame, number: int) -> None:
         rows = segments(batch).select("doc_id", F.col("seg_no").alias("first_pos"), "text")
