@@ -119,8 +119,12 @@ def weighted_median_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_intervals(df: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
-    """Unions of the intervals of a key that overlap or touch: key, start, end, n."""
-    w = Window.partitionBy(*key).orderBy(start, end)
+    """Unions of the intervals of a key that overlap or touch: key, start, end, n.
+
+    An unknown end reaches nowhere, and an unknown start belongs to the last union: nulls come last, as in SQL. Both
+    windows are of one sort, so equal intervals can't change places between them.
+    """
+    w = Window.partitionBy(*key).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.withColumn("_new", (F.col(start) > reach) | reach.isNull()).withColumn("_island", F.count_if("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_island")
@@ -134,7 +138,7 @@ def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interval_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = interval_union(spark, sf_dir)
-    nxt = F.lead("start").over(Window.partitionBy("l_orderkey").orderBy("start"))
+    nxt = F.lead("start").over(Window.partitionBy("l_orderkey").orderBy(F.asc_nulls_last("start")))
     return u.select("l_orderkey", F.col("end").alias("gap_start"), nxt.alias("gap_end")).where("gap_end IS NOT NULL")
 
 
