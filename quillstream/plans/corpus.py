@@ -306,12 +306,18 @@ def register_functions(spark: SparkSession) -> None:
 
 
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions at work, a row a document.
+
+    What needs the text is found before the clauses are, so a clause's row holds no text, and numbers alone are aggregated:
+    by hash, never by a sort of all clauses. Rows are told apart by their place, so documents of one id stay apart.
+    """
     register_functions(spark)
     table(spark, sf_dir, "documents").createOrReplaceTempView("quill_documents")
     return spark.sql("""
-        SELECT doc_id, first(sha1(quill_squeeze(text))) AS squeezed, first(quill_same_language(lang, 'DE-at')) AS german,
-               first(round(quill_ratio(text, lang), 9)) AS ratio, count(*) AS clauses, max(c.n) AS longest
-        FROM quill_documents, LATERAL quill_clauses(text) c GROUP BY doc_id""")
+        WITH d AS (SELECT doc_id, text, monotonically_increasing_id() AS at, sha1(quill_squeeze(text)) AS squeezed,
+                          quill_same_language(lang, 'DE-at') AS german, round(quill_ratio(text, lang), 9) AS ratio FROM quill_documents)
+        SELECT doc_id, squeezed, german, ratio, count(*) AS clauses, max(c.n) AS longest
+        FROM d, LATERAL quill_clauses(text) c GROUP BY at, doc_id, squeezed, german, ratio""")
 
 
 #: Renderers by name: functions from a frame of (part, ord, text) to one of (part, out), run a partition at a time.
