@@ -19,6 +19,8 @@ the text itself is never shuffled whole.
 
 from __future__ import annotations
 
+import itertools
+import math
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -51,12 +53,13 @@ class Spec:
 def chunk_table(docs: DataFrame, path: str, parts: int, batch: int = 0) -> DataFrame:
     """docs (doc_id, text) packed into rows of about CHUNK bytes, Parquet at ``path`` bucketed by chunk.
 
-    A task numbers its chunks so that they fall into one bucket: it writes one file, and nothing is shuffled. ``batch``
+    A task numbers its chunks so that some at a time fall into one bucket, and then goes on to another: a bucket's size
+    hangs on ``parts`` alone, not on how much text the input's files give to a task, and nothing is shuffled. ``batch``
     sets the numbers of several tables apart.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = bucket_ids(TaskContext.get().partitionId(), parts, batch)
+        numbers = chunk_ids(TaskContext.get().partitionId(), parts, batch)
         ids, texts, size = [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -78,11 +81,10 @@ def chunk_table(docs: DataFrame, path: str, parts: int, batch: int = 0) -> DataF
             yield row()
 
     made = docs.select("doc_id", "text").mapInArrow(pack, "chunk long, ids binary, offs binary, text binary")
-    out = bucketed(made, path, "chunk", parts)
-    part = F.shiftright("chunk", 32).bitwiseAND(F.lit((1 << PART_BITS) - 1))
-    if out.where(F.pmod(F.hash("chunk"), F.lit(parts)) != F.pmod(part, F.lit(parts))).limit(1).count():
+    some = [next(bucket_ids(k, k, parts)) for k in range(min(parts, 8))]
+    if docs.sparkSession.range(1).select(*[F.pmod(F.hash(F.lit(n).cast("long")), F.lit(parts)).alias(f"b{k}") for k, n in enumerate(some)]).first() != tuple(range(len(some))):
         raise RuntimeError("chunk numbers don't follow Spark's bucket hash")
-    return out
+    return bucketed(made, path, "chunk", parts)
 
 
 def bucketed(df: DataFrame, path: str, key: str, parts: int) -> DataFrame:
@@ -111,8 +113,24 @@ def _dropped(spark: SparkSession, name: str) -> DataFrame:
 PART_BITS = 20
 
 
-def bucket_ids(part: int, buckets: int, batch: int = 0) -> Iterator[int]:
-    """Distinct numbers of a task, all of the bucket that Spark's hash (Murmur3 of a long, seed 42) gives part % buckets."""
+#: Chunks that a task gives to a bucket before it goes on to another.
+RUN_OF_CHUNKS = 16
+
+
+def chunk_ids(part: int, buckets: int, batch: int = 0) -> Iterator[int]:
+    """Distinct numbers of a task, RUN_OF_CHUNKS at a time of one bucket. Steps of the golden section spread any number of
+    tasks of any length evenly."""
+    step = next(k for k in range(max(1, round(buckets * 0.618)), 2 * buckets + 1) if math.gcd(k, buckets) == 1)
+    of: dict[int, Iterator[int]] = {}
+    bucket = part % buckets
+    while True:
+        numbers = of.setdefault(bucket, bucket_ids(part, bucket, buckets, batch))
+        yield from itertools.islice(numbers, RUN_OF_CHUNKS)
+        bucket = (bucket + step) % buckets
+
+
+def bucket_ids(part: int, bucket: int, buckets: int, batch: int = 0) -> Iterator[int]:
+    """Distinct numbers of a task, all of the bucket that Spark's hash (Murmur3 of a long, seed 42) gives ``bucket``."""
     rot = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
     m1, m2 = np.uint32(0xCC9E2D51), np.uint32(0x1B873593)
     high = np.uint32(batch << PART_BITS | part)
@@ -126,7 +144,7 @@ def bucket_ids(part: int, buckets: int, batch: int = 0) -> Iterator[int]:
         h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
         h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
         h = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64)
-        for k in np.flatnonzero(h % buckets == part % buckets).tolist():
+        for k in np.flatnonzero(h % buckets == bucket).tolist():
             yield (int(high) << 32) | int(low[k])
         at += step
 
@@ -306,23 +324,37 @@ def to_chunk(kind: int, chunks: list[int], blobs: list[list[bytes]]) -> pa.Recor
 
 
 def at_buckets(mail: DataFrame, parts: int, fn: Callable[[int, np.ndarray, list[list[bytes]]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Brings all rows of a bucket together and calls fn(kind, chunks, blobs) once a task and kind."""
+    """Brings all rows of a bucket together and calls fn(kind, chunks, blobs) once a bucket and kind.
+
+    A task's buckets come one after the other, each kind of a bucket by itself, so it holds one of them at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, tuple[list, list[list[bytes]]]] = {}
+        now, chunks, blobs = None, [], [[], [], [], []]
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal chunks, blobs
+            if chunks:
+                got, rows = np.array(chunks, np.int64), blobs
+                chunks, blobs = [], [[], [], [], []]
+                for out in fn(now[0], got, rows):
+                    if out is not None:
+                        yield out
+
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5, 6)]
-            for row in zip(*cols, strict=True):
-                chunks, blobs = got.setdefault(row[0], ([], [[], [], [], []]))
-                chunks.append(row[1])
+            kind, bucket = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.append(firsts(kind, bucket), len(kind)).tolist()
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if (int(kind[s]), int(bucket[s])) != now:
+                    yield from done()
+                    now = int(kind[s]), int(bucket[s])
+                part = batch.slice(s, e - s)
+                chunks += part.column(2).to_pylist()
                 for c in range(4):
-                    blobs[c].append(row[2 + c])
-        for kind in sorted(got):
-            for out in fn(kind, np.array(got[kind][0], np.int64), got.pop(kind)[1]):
-                if out is not None:
-                    yield out
+                    blobs[c] += part.column(3 + c).to_pylist()
+        yield from done()
 
-    return mail.repartition(parts, "bucket").mapInArrow(run, MAIL)
+    return mail.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, MAIL)
 
 
 def spread(blobs: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray]:
@@ -482,6 +514,7 @@ def gone(mail: DataFrame, spec: Spec, parts: int, sort: Callable[[Pool, int], tu
 
     def run(kind: int, chunks: np.ndarray, blobs: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
         heads, row = spread(blobs[0], "i8")
+        blobs[0] = []
         heads, row = heads.reshape(-1, 2), row[::2]
         size, marks = spread(blobs[1], "u2")[0].reshape(-1, 2), spread(blobs[2], "u4")[0].reshape(-1, 2).astype(np.int64)
         text = np.frombuffer(b"".join(blobs[3]), np.uint8)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from quillstream.llm import common, matching
 
 LENGTH, GRAM = 50, 28
+#: Bytes of text whose chunks make a bucket.
+BUCKET = 24e6
 
 
 def common_extension(p: common.Prefixes, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -163,7 +165,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     common.tune(spark)
     scratch = common.Scratch(spark, "suffixes")
     spec = matching.Spec("bytes", length, gram)
-    chunks = matching.chunk_table(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), f"{scratch.root}/chunks", common.partitions(spark))
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = matching.chunk_table(d, f"{scratch.root}/chunks", common.partitions(spark, size, BUCKET))
     parts = matching.parts_for(chunks)
     shared = scratch.table(matching.shared_anchors(matching.ask_anchors(chunks, spec, parts), parts), "shared")
     scratch.tidy()
