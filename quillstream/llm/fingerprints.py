@@ -150,7 +150,7 @@ def _merge_runs(one: pa.Table, two: pa.Table) -> pa.Table:
     return _rows(one.column("bucket")[0].as_py(), *out)
 
 
-def _answers(kind: int, chunks: np.ndarray, blobs: list[list[bytes]]) -> Iterator[pa.RecordBatch | None]:
+def _answers(kind: int, chunks: np.ndarray, blobs: list[matching.Blobs]) -> Iterator[pa.RecordBatch | None]:
     """To each chunk its shared fingerprints, and whether they are hot: all chunks are told the same."""
     h, chunk, mark = (matching.spread(blobs[c], k)[0] for c, k in enumerate(("u8", "i8", "u1")))
     if not len(h):

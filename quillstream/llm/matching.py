@@ -323,20 +323,34 @@ def to_chunk(kind: int, chunks: list[int], blobs: list[list[bytes]]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([-1] * n, pa.int32()), pa.array(chunks, pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["kind", "bucket", "chunk", "a", "b", "c", "d"])
 
 
-def at_buckets(mail: DataFrame, parts: int, fn: Callable[[int, np.ndarray, list[list[bytes]]], Iterator[pa.RecordBatch]]) -> DataFrame:
+class Blobs:
+    """A column of blobs, one after the other, and their sizes: no second copy when they are read as one array."""
+
+    def __init__(self) -> None:
+        self.data, self.sizes = bytearray(), []
+
+    def add(self, column: pa.Array) -> None:
+        _, offsets, data = column.buffers()
+        o = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+        if data is not None:
+            self.data += memoryview(data)[int(o[0]) : int(o[-1])]
+        self.sizes.append(np.diff(o).astype(np.int64))
+
+
+def at_buckets(mail: DataFrame, parts: int, fn: Callable[[int, np.ndarray, list[Blobs]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """Brings all rows of a bucket together and calls fn(kind, chunks, blobs) once a bucket and kind.
 
     A task's buckets come one after the other, each kind of a bucket by itself, so it holds one of them at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, chunks, blobs = None, [], [[], [], [], []]
+        now, chunks, blobs = None, [], [Blobs() for _ in range(4)]
 
         def done() -> Iterator[pa.RecordBatch]:
             nonlocal chunks, blobs
             if chunks:
                 got, rows = np.array(chunks, np.int64), blobs
-                chunks, blobs = [], [[], [], [], []]
+                chunks, blobs = [], [Blobs() for _ in range(4)]
                 for out in fn(now[0], got, rows):
                     if out is not None:
                         yield out
@@ -351,15 +365,18 @@ def at_buckets(mail: DataFrame, parts: int, fn: Callable[[int, np.ndarray, list[
                 part = batch.slice(s, e - s)
                 chunks += part.column(2).to_pylist()
                 for c in range(4):
-                    blobs[c] += part.column(3 + c).to_pylist()
+                    blobs[c].add(part.column(3 + c))
         yield from done()
 
     return mail.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, MAIL)
 
 
-def spread(blobs: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray]:
+def spread(blobs: Blobs | list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """The blobs' values, and the number of the row of each."""
     size = np.dtype(dtype).itemsize
+    if isinstance(blobs, Blobs):
+        sizes = np.concatenate([np.zeros(0, np.int64), *blobs.sizes])
+        return np.frombuffer(blobs.data, dtype), np.repeat(np.arange(len(sizes)), sizes // size)
     return np.frombuffer(b"".join(blobs), dtype), np.repeat(np.arange(len(blobs)), [len(x) // size for x in blobs])
 
 
@@ -432,7 +449,7 @@ def ask_anchors(chunks: DataFrame, spec: Spec, parts: int) -> DataFrame:
 def shared_anchors(mail: DataFrame, parts: int) -> DataFrame:
     """Answers: the hashes that a second document has, and whether they are hot."""
 
-    def run(kind: int, chunks: np.ndarray, blobs: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def run(kind: int, chunks: np.ndarray, blobs: list[Blobs]) -> Iterator[pa.RecordBatch]:
         h, row = spread(blobs[0], "u8")
         mark, _ = spread(blobs[1], "u1")
         order = np.argsort(h, kind="stable")
@@ -512,12 +529,11 @@ class Pool:
 def gone(mail: DataFrame, spec: Spec, parts: int, sort: Callable[[Pool, int], tuple]) -> DataFrame:
     """Answers: stretches that a smaller document has too, as ranges of places in a context, by its number in the chunk."""
 
-    def run(kind: int, chunks: np.ndarray, blobs: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def run(kind: int, chunks: np.ndarray, blobs: list[Blobs]) -> Iterator[pa.RecordBatch]:
         heads, row = spread(blobs[0], "i8")
-        blobs[0] = []
         heads, row = heads.reshape(-1, 2), row[::2]
         size, marks = spread(blobs[1], "u2")[0].reshape(-1, 2), spread(blobs[2], "u4")[0].reshape(-1, 2).astype(np.int64)
-        text = np.frombuffer(b"".join(blobs[3]), np.uint8)
+        text = np.frombuffer(blobs[3].data, np.uint8)
         blobs.clear()
         number, n = marks[:, 0], marks[:, 1]
         begin = np.cumsum(n) - n
