@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from quillstream.functions import text as X
+from quillstream.functions.mining import runs_of_batches
 from quillstream.operators.segments import segments
 from quillstream.session import numbered, small, table
 
@@ -13,60 +16,37 @@ from quillstream.session import numbered, small, table
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "de", "der", "des", "die", "du", "el", "en", "et", "for", "from", "in", "is", "it", "la", "le", "les", "los", "of", "on", "or", "que", "the", "this", "to", "und", "un", "une", "was", "with")
 #: Times a term must occur: several words, one capitalised word, one plain word.
 LEAST_MANY, LEAST_CAPITAL, LEAST_PLAIN = 3, 2, 6
-WORD = r"\p{L}[\p{L}\p{N}]*"
-
-
-def grams(docs: DataFrame) -> DataFrame:
-    """doc_id, surface, words, n: all runs of 1 to 4 words within a clause, without stop words or repeated words, counted.
-
-    Acronyms stand alone only. What is asked of a word is found once a word; the runs that begin at it are expressions of
-    a row. Documents are dealt by id once, so that neither this count nor the next by key shuffles the runs.
-    """
-    dealt = docs.select("doc_id", "text").repartition("doc_id")
-    clauses = dealt.select("doc_id", F.explode(F.split("text", r"[\n.,;:!?()|\"]+")).alias("clause"))
-    words = clauses.select("doc_id", F.regexp_extract_all("clause", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
-    about = words.select("doc_id", F.transform("w", lambda x: F.struct(x.alias("x"), X.lower(x).alias("low"), X.lower(x).isin(*STOP).alias("stop"), X.is_acronym(x).alias("acronym"))).alias("w"))
-    rows = about.select("doc_id", F.inline(X.windows_of(F.col("w"))))
-    w = [F.col(f"w{k}") for k in range(4)]
-    plain = [x.isNotNull() & ~x["stop"] & ~x["acronym"] for x in w]
-    ok, surface = plain[0], w[0]["x"]
-    runs = [F.when(~w[0]["stop"], F.struct(surface.alias("surface"), F.lit(1).alias("words")))]
-    for k in range(1, 4):
-        ok = ok & plain[k]
-        for j in range(k):
-            ok = ok & (w[k]["low"] != w[j]["low"])
-        surface = F.concat(surface, F.lit(" "), w[k]["x"])
-        runs.append(F.when(ok, F.struct(surface.alias("surface"), F.lit(k + 1).alias("words"))))
-    each = rows.select("doc_id", F.inline(F.array(*runs))).where("surface IS NOT NULL")
-    return each.groupBy("doc_id", "surface", "words").agg(F.count(F.lit(1)).alias("n"))
 
 
 def mined(docs: DataFrame) -> DataFrame:
-    """doc_id, key, surface, words, cnt, score of the terms above their thresholds.
+    """doc_id, key, surface, words, cnt, capital, score of the terms above their thresholds.
 
-    The surface is the most frequent form that begins with a small letter, else the most frequent; ties by text.
+    Terms are runs of 1 to 4 words within a clause, without stop words or repeated words; acronyms stand alone only. The
+    surface is the most frequent form that begins with a small letter, else the most frequent; ties by text. Documents are
+    dealt by id once, and the runs of a document are counted where it is.
     """
-    forms = grams(docs).withColumn("key", X.folded(F.col("surface")))
-    small = F.substring("surface", 1, 1) == X.lower(F.substring("surface", 1, 1))
-    best = F.min_by("surface", F.struct((~small).alias("capital"), (-F.col("n")).alias("n"), F.col("surface")))
-    terms = forms.groupBy("doc_id", "key").agg(best.alias("surface"), F.max("words").alias("words"), F.sum("n").alias("cnt"), F.bool_and(~small).alias("capital"), F.max(F.length("key")).alias("size"))
-    least = F.when(F.col("words") > 1, LEAST_MANY).when(F.col("capital"), LEAST_CAPITAL).otherwise(LEAST_PLAIN)
+    dealt = docs.where("text IS NOT NULL").select("doc_id", "text").repartition("doc_id").sortWithinPartitions("doc_id")
+    of_id = dealt.schema["doc_id"].dataType
+    fields = StructType([StructField("doc_id", of_id)] + [StructField(n, t) for n, t in (("key", StringType()), ("surface", StringType()), ("words", IntegerType()), ("cnt", LongType()), ("capital", BooleanType()))])
+    arrow, stop, least = to_arrow_schema(fields), frozenset(STOP), (LEAST_MANY, LEAST_CAPITAL, LEAST_PLAIN)
+    terms = dealt.mapInArrow(lambda batches: runs_of_batches(batches, arrow, stop, least), fields)
     weight = F.when(F.col("words") > 1, F.lit(1.5)).when(F.col("capital"), F.lit(1.0)).otherwise(F.lit(0.5))
-    # the size is an aggregate, so that keys aren't made for every run of words before they are counted
-    return terms.where((F.col("cnt") >= least) & (F.col("size") > 1)).drop("size").withColumn("score", F.col("cnt") * weight * F.col("words"))
+    return terms.withColumn("score", F.col("cnt") * weight * F.col("words"))
 
 
 def pruned(terms: DataFrame, share: float = 0.8) -> DataFrame:
     """Drops a term if a longer one of the document holds its words and has at least 80 % of its count.
 
-    Longer keys are expanded to their runs of words and joined on equality, instead of comparing all pairs of terms.
+    Longer keys are expanded to their runs of words and meet the terms of these on equality, instead of comparing all pairs;
+    a term is among its own runs, so the terms are made and dealt once. A document has a key once.
     """
     w = F.split("key", " ")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.size(w) - i + 1), lambda n: F.array_join(F.slice(w, i, n), " "))))
-    inner = terms.where("words > 1").select("doc_id", F.col("key").alias("longer"), F.col("cnt").alias("longer_cnt"), F.explode(F.array_distinct(runs)).alias("key")).where("key <> longer")
-    most = inner.groupBy("doc_id", "key").agg(F.max("longer_cnt").alias("longer_cnt"))
-    gone = terms.join(most, ["doc_id", "key"]).where(F.col("longer_cnt") >= share * F.col("cnt")).select("doc_id", "key")
-    return terms.join(gone, ["doc_id", "key"], "left_anti")
+    each = terms.select(F.struct("*").alias("term"), F.explode(F.when(F.col("words") > 1, F.array_distinct(runs)).otherwise(F.array("key"))).alias("run"))
+    own = F.col("run") == F.col("term.key")
+    longer = F.max(F.when(~own & F.col("term.doc_id").isNotNull(), F.col("term.cnt"))).alias("longer")
+    met = each.groupBy(F.col("term.doc_id").alias("doc_id"), "run").agg(longer, F.first(F.when(own, F.col("term")), ignorenulls=True).alias("term"))
+    return met.where(F.col("term").isNotNull() & (F.col("longer").isNull() | (F.col("longer") < share * F.col("term.cnt")))).select("term.*")
 
 
 def ranked(terms: DataFrame, most: int = 80) -> DataFrame:
