@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as X
 from quillstream.operators.segments import segments
-from quillstream.session import numbered, table
+from quillstream.session import numbered, small, table
 
 
 @dataclass(frozen=True)
@@ -57,6 +57,15 @@ class Store:
         fresh = fresh.crossJoin(self.entries.agg(top)).select("k", "v", "ok", (F.col("top") + F.col("ord")).alias("seq"))  # one row
         return Store(self.entries.join(fresh.select("k"), "k", "left_anti").unionByName(fresh), self.owners)
 
+    def add(self, new: DataFrame) -> Store:
+        """Inserts verified results (k, v, _at) whose keys the store lacks, in the order of _at (a number from 0, with gaps).
+
+        The values aren't moved, so entries that were stored as a table are read where they are, column by column.
+        """
+        top = self.entries.agg(F.coalesce(F.max("seq") + 1, F.lit(1)).alias("top"))  # one row
+        fresh = new.join(F.broadcast(top)).select("k", "v", F.lit(True).alias("ok"), (F.col("top") + F.col("_at")).alias("seq"))
+        return Store(self.entries.unionByName(fresh), self.owners)
+
     def claim(self, rows: DataFrame) -> Store:
         """Insert or ignore owners."""
         return Store(self.entries, self.owners.unionByName(rows.select("doc", "k")).dropDuplicates(["doc", "k"]))
@@ -69,6 +78,11 @@ class Store:
     def delete(self, keys: DataFrame) -> Store:
         return Store(self.entries.join(keys.select("k"), "k", "left_anti"), self.owners)
 
+    def without(self, keys: DataFrame) -> Store:
+        """The same for keys that may well be none or few: they are counted, and entries are moved for many only."""
+        gone = small(keys.select("k"))
+        return self.delete(gone) if gone.limit(1).count() else self
+
     def purge(self, doc) -> Store:
         """Deletes all that a document owns, and every owner of it."""
         keys = self.owners.where(F.col("doc") == doc).select("k")

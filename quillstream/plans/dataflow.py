@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +12,7 @@ from quillstream.functions import text as X
 from quillstream.operators.pairs import fake_translation, upper_median
 from quillstream.operators.segments import segments
 from quillstream.operators.store import Store
-from quillstream.session import settle, table
+from quillstream.session import few, small, stored, table
 
 #: Functions that turn texts into results, by provider name. "mock" is deterministic and a plain expression.
 ENRICHERS: dict[str, Callable[[DataFrame], DataFrame]] = {"mock": lambda need: need.withColumn("v", fake_translation(F.col("text")))}
@@ -78,22 +78,47 @@ def suspects(placed: DataFrame, batch_chars: int) -> DataFrame:
     return d.withColumn("again", again).where("again").select("k").distinct()
 
 
+def suspect_keys(lines: DataFrame, heads: DataFrame, store: Store, batch_chars: int) -> DataFrame:
+    """k of the stored results of lines (doc_id, seg_no, k, text) to do again. Where all is verified, only echoes are."""
+    if store.entries.where("NOT ok").limit(1).count():
+        places = lines.groupBy("doc_id", "k").agg(F.min("seg_no").alias("first"), F.first("text").alias("text"))
+        return suspects(store.lookup(places), batch_chars)
+    return echo_keys(lines, heads, store.entries)
+
+
 #: A provider: a name in ENRICHERS, or a function from (k, text, attempt) to the same with v.
 Provider = str | Callable[[DataFrame], DataFrame]
 
 
-def enriched(need: DataFrame, provider: Provider, language: str | None, source: str | None) -> DataFrame:
-    """k, text, v of the results that are there; one of over 20 characters still in the source language is tried once more,
-    and kept if the second try is no better."""
+def head(text: Column) -> Column:
+    """A hash of a text's beginning: that of an echo is its source's."""
+    return F.xxhash64(F.substring(text, 1, X.ECHO_HEAD))
+
+
+def echo_keys(lines: DataFrame, heads: DataFrame, entries: DataFrame) -> DataFrame:
+    """k of the lines (k, text) whose stored result echoes them. heads: k, h (that of text) of those long enough.
+
+    Hashes of beginnings tell who may (texts have no spaces around them), so texts and results travel for these only.
+    """
+    there = entries.select("k", head(F.col("v")).alias("a"), head(F.trim("v")).alias("b"))
+    may = small(heads.distinct().join(there, "k").where((F.col("h") == F.col("a")) | (F.col("h") == F.col("b"))).select("k"))
+    texts = lines.join(may, "k", "left_semi").select("k", "text").dropDuplicates(["k"])
+    return texts.join(entries.join(may, "k", "left_semi").select("k", "v"), "k").where(X.echoes(F.col("text"), F.col("v"))).select("k")
+
+
+def enriched(need: DataFrame, provider: Provider, language: str | None, source: str | None, keep: Sequence[str | Column] = ("k", "text", "v")) -> DataFrame:
+    """``keep`` (columns of k, text and v) of the results that are there; one of over 20 characters still in the source
+    language is tried once more, and kept if the second try is no better."""
     make = ENRICHERS[provider] if isinstance(provider, str) else provider
-    made = settle(make(need.withColumn("attempt", F.lit(1))).select("k", "text", "v").where("trim(v) <> ''"))
+    made = make(need.withColumn("attempt", F.lit(1))).select("k", "text", "v").where("trim(v) <> ''")
     if language is None or source is None:
-        return made
+        return stored(made.select(*keep))
+    made = stored(made)
     still = lambda c: X.same_language(LANGUAGES[language](c), F.lit(source))
     echo = made.where((F.length("v") > 20) & still(F.col("v"))).select("k", "text")
     second = make(echo.withColumn("attempt", F.lit(2))).select("k", F.col("v").alias("better"))
     second = second.where((F.trim("better") != "") & ~still(F.col("better")))
-    return settle(made.join(second, "k", "left").select("k", "text", F.coalesce("better", "v").alias("v")))
+    return stored(made.join(second, "k", "left").select("k", "text", F.coalesce("better", "v").alias("v")).select(*keep))
 
 
 def run(docs: DataFrame, store: Store, prefix: str, provider: Provider = "mock", cache_only: bool = False, language: str | None = None,
@@ -110,26 +135,34 @@ def run(docs: DataFrame, store: Store, prefix: str, provider: Provider = "mock",
     s = segments(docs).withColumn("skip", ~X.worth_translating(text)).withColumn("k", X.cache_key(F.lit(prefix), text))
     if language and target:
         s = s.withColumn("skip", F.col("skip") | X.same_language(LANGUAGES[language](text), F.lit(target)))
-    places = s.where(~F.col("skip")).groupBy("doc_id", "k").agg(F.min("seg_no").alias("first"), F.first("text").alias("text"))
-    need = places.select("k", "text").dropDuplicates(["k"])
-    missing = store.misses(need)
-    if cache_only:
-        if missing.limit(1).count():
-            raise LookupError("texts without a stored result")
-        old, made = store, missing.withColumn("v", F.lit(None).cast("string"))
+    lines = s.where(~F.col("skip")).select("doc_id", "seg_no", "k", "text")
+    keys = stored(lines.select("doc_id", "k", F.when(F.length(text) >= X.ECHO_LEAST, head(text)).alias("h")))
+    pairs = keys.select("doc_id", "k").repartition("k").distinct()
+    need = lines.select("k", "text").dropDuplicates(["k"])
+    old = store
+    if not cache_only and store.entries.limit(1).count():
+        old = store.without(suspect_keys(lines, keys.where("h IS NOT NULL").select("k", "h"), store, batch_chars))
+    missing = stored(old.misses(keys.select("k").distinct()))
+    if not missing.limit(1).count():  # no text travels
+        kept, new = old.lookup(pairs).select("doc_id", "k", "v"), old
+    elif cache_only:
+        raise LookupError("texts without a stored result")
     else:
-        old = store.delete(settle(suspects(store.lookup(places), batch_chars)))
-        made = enriched(old.misses(need), provider, language, source)
-    fresh = places.join(made.select("k", "v"), "k").withColumn("ratio", X.length_ratio(text, F.col("v")))
-    fresh = fresh.join(upper_median(fresh, "ratio", ["doc_id"], name="typical"), "doc_id", "left")
-    fresh = fresh.where(~X.out_of_place(text, F.col("v"), F.col("typical"))).select("doc_id", "k", "v")
-    kept = old.lookup(places).select("doc_id", "k", "v").unionByName(settle(fresh))
+        v = F.col("v")
+        facts = (X.bare_length(text).alias("s"), X.bare_length(v).alias("t"), X.has_alien_slots(text, v).alias("alien"))
+        made = enriched(need.join(few(missing), "k", "left_semi"), provider, language, source, ("k", "v", *facts, F.monotonically_increasing_id().alias("_at")))
+        spots = stored(pairs.join(made.select("k", "s", "t", "alien"), "k").withColumn("ratio", X.ratio_of(F.col("s"), F.col("t"))))
+        typical = upper_median(spots, "ratio", ["doc_id"], name="typical")
+        fits = ~F.col("alien") & ~X.misfits(F.col("s"), F.col("t"), F.col("typical"))
+        fresh = stored(spots.join(typical, "doc_id", "left").where(fits).select("doc_id", "k"))
+        dropped = small(made.select("k").join(fresh.select("k").distinct(), "k", "left_anti"))
+        good = made.join(dropped, "k", "left_anti") if dropped.limit(1).count() else made
+        kept = old.lookup(pairs).select("doc_id", "k", "v").unionByName(fresh.join(made.select("k", "v"), "k").select("doc_id", "k", "v"))
+        new = old.add(good)
     out = s.join(kept, ["doc_id", "k"], "left").withColumn("result", F.when(F.col("skip") | F.col("v").isNull(), text).otherwise(F.col("v")))
     failed = F.count_if(~F.col("skip") & F.col("v").isNull())
     figures = out.agg(F.count(F.lit(1)).alias("segments"), F.count_if("skip").alias("skipped"), failed.alias("failed"))
-    good = fresh.select("k", "v").dropDuplicates(["k"])
-    new = old.upsert(good).mark(good).claim(places.select(F.col("doc_id").cast("string").alias("doc"), "k"))
-    return out.select("doc_id", "seg_no", "text", "skip", "result"), new, figures
+    return out.select("doc_id", "seg_no", "text", "skip", "result"), new.claim(pairs.select(F.col("doc_id").cast("string").alias("doc"), "k")), figures
 
 
 def assembled(out: DataFrame, bilingual: bool = False) -> DataFrame:
