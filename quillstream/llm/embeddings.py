@@ -10,7 +10,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.llm import common
@@ -220,6 +220,8 @@ LINES, THRESHOLD = 128, 0.5
 MARGIN = 1.25
 #: The factor by which a window grows at most, and the queries that set a block's first window.
 GROWTH, PROBES = 1.15, 16
+#: Places of a sorted array where a window may begin or end, and the queries whose collisions are counted at once.
+CELLS, WIDE = 256, 64
 
 
 class CollisionIndex:
@@ -230,71 +232,143 @@ class CollisionIndex:
     so that component stays small.
 
     A search opens a window around the query's place in each sorted array and widens all of them (virtual rehashing: the
-    same arrays, a larger radius). Rows that enter a window collide once more; rows with ``threshold`` collisions are
-    verified by exact inner product. A row at distance d collides with the share P(|u| * d <= half) of the arrays, u a
-    coordinate of a random unit vector; so the radius that a window has searched is known, and the search ends when the
-    k-th best found lies within it, whatever share of the block that takes.
+    same arrays, a larger radius). Rows with ``threshold`` collisions are verified by exact inner product. A row at distance
+    d collides with the share P(|u| * d <= half) of the arrays, u a coordinate of a random unit vector; so the radius that a
+    window has searched is known, and the search ends when the k-th best found lies within it, whatever share of the block
+    that takes.
+
+    An array is kept as the bitmaps of its first rows, at up to CELLS places: the rows of a window are two bitmaps' exclusive
+    or. A window is widened to the next such places, so it never holds fewer rows than its radius asks. Counts are bit-sliced:
+    bit b of 64 rows' counts is one word, and one operation adds a window to 64 rows of each of WIDE queries.
     """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, lines: int = LINES, threshold: float = THRESHOLD, margin: float = MARGIN, seed: int = 23):
         self.ids, self.x = ids, x
+        self.alone = len(np.unique(ids)) == len(ids)
         n, dim = len(x), x.shape[1] + 1
         scale = np.abs(x).max()
-        norm = np.sqrt(np.einsum("ij,ij->i", x / scale, x / scale))
-        self.top = float(norm.max())  # in units of scale
-        self.scale = float(scale)
-        unit = np.concatenate([x / scale / self.top, np.sqrt(np.maximum(0, 1 - (norm / self.top) ** 2))[:, None]], 1)
+        self.unit = x / scale
+        norm = np.sqrt(np.einsum("ij,ij->i", self.unit, self.unit))
+        self.unit /= norm.max()
+        more = np.sqrt(np.maximum(0, 1 - (norm / norm.max()) ** 2))
         rng = np.random.default_rng([seed, dim])
         self.lines = np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-lines // dim))], 1)[:, :lines].T.copy()
-        self.order, self.at = np.empty((lines, n), np.int64), np.empty((lines, n), np.float32)
-        for k, line in enumerate(self.lines):
-            p = (unit @ line).astype(np.float32)
-            self.order[k] = np.argsort(p, kind="stable")
-            self.at[k] = p[self.order[k]]
+        cells = min(CELLS, n)
+        bounds = np.arange(cells + 1) * n // cells
+        cell = np.repeat(np.arange(1, cells + 1), np.diff(bounds))
+        self.first, self.last = np.empty((lines, cells)), np.empty((lines, cells))
+        self.heads = np.zeros((lines, cells + 1, -(-n // 64)), np.uint64)
+        places = self.lines[:, :-1] @ self.unit.T + self.lines[:, -1:] * more
+        for k, p in enumerate(places):
+            order = np.argsort(p)
+            self.first[k], self.last[k] = p[order[bounds[:-1]]], p[order[bounds[1:] - 1]]
+            np.add.at(self.heads[k], (cell, order >> 6), np.uint64(1) << (order & 63).astype(np.uint64))
+            np.bitwise_or.accumulate(self.heads[k], axis=0, out=self.heads[k])
         self.least = int(np.ceil(threshold * lines))
         u = rng.normal(size=(20_000, dim))
         u = np.abs(u[:, 0]) / np.sqrt((u * u).sum(1))
         share = threshold + margin * np.sqrt(threshold * (1 - threshold) / lines)
         self.reach = 1 / float(np.quantile(u, min(share, 0.999)))
         self.start = 0.02 / np.sqrt(dim)
-        probes = [self.search(x[i], ids[i], NEAREST)[2] for i in range(0, n, max(1, n // PROBES))]
-        self.start = 0.95 * float(np.quantile(probes, 0.25))
-
-    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, float]:
-        """Ids and inner products of the best k found, ties to smaller ids, rows of the id ``own`` left out; the last window."""
+        probes = np.arange(0, n, max(1, n // PROBES))
+        self.start = 0.95 * float(np.quantile([half for _, _, half in self.search(x[probes], ids[probes], NEAREST)], 0.25))
+
+    def collisions(self, center: np.ndarray, half: np.ndarray) -> np.ndarray:
+        """Bitmaps (a row a query) of the rows with at least ``least`` collisions within half of center, a column an array."""
+        sums: list[np.ndarray] = []  # bit b of the counts
+        wait: list[np.ndarray | None] = []  # what is still to be added to it
+
+        def add(b: int, w: np.ndarray) -> None:
+            while True:
+                if b == len(sums):
+                    sums.append(w)
+                    wait.append(None)
+                    return
+                if wait[b] is None:
+                    wait[b] = w
+                    return
+                s, v = sums[b], wait[b]
+                wait[b] = None
+                both = s & v
+                s ^= v
+                v = s & w
+                s ^= w
+                both |= v
+                b, w = b + 1, both
+
+        left, right = center - half[:, None], center + half[:, None]
+        for k, heads in enumerate(self.heads):
+            window = heads.take(self.last[k].searchsorted(left[:, k]), 0)
+            window ^= heads.take(self.first[k].searchsorted(right[:, k], "right"), 0)
+            add(0, window)
+        for b in range(len(self.heads).bit_length()):
+            if b < len(sums) and (w := wait[b]) is not None:
+                wait[b] = None
+                carry = sums[b] & w
+                sums[b] ^= w
+                add(b + 1, carry)
+        if self.least >> len(sums):
+            return np.zeros_like(sums[0])
+        enough = np.full_like(sums[0], ~np.uint64(0))
+        for b, s in enumerate(sums):
+            enough = s & enough if self.least >> b & 1 else s | enough
+        return enough
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """For each query ids and inner products of the best k found, ties to smaller ids, rows of its own id left out; the
+        last window."""
         n = len(self.ids)
-        q_scale = np.abs(q).max()
-        unit = q / q_scale
-        unit = unit / np.sqrt(unit @ unit)
-        center = self.lines[:, :-1] @ unit
-        count, seen = np.zeros(n, np.int64), np.zeros(n, bool)
-        score, found = np.zeros(0), np.zeros(0, np.int64)
-        near = np.zeros(0)  # cosines to the query, as the distance of the k-th best needs them
-        half, low, high = self.start, None, None
-        while True:
-            left, right = (center - half).astype(np.float32), (center + half).astype(np.float32)
-            lo = [int(row.searchsorted(v)) for row, v in zip(self.at, left, strict=True)]
-            hi = [int(row.searchsorted(v, "right")) for row, v in zip(self.at, right, strict=True)]
-            if low is None:
-                entered = [o[a:b] for o, a, b in zip(self.order, lo, hi, strict=True)]
-            else:
-                entered = [o[a:b] for o, a, b in zip(self.order, lo, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, hi, strict=True)]
-            low, high = lo, hi
-            for at in range(0, len(entered), 16):  # some arrays at a time: bounded, and within a cache
-                count += np.bincount(np.concatenate(entered[at : at + 16]), minlength=n)
-            new = np.flatnonzero((count >= self.least) & ~seen)
-            seen[new] = True
-            new = new[self.ids[new] != own]
-            if len(new):
-                near = np.concatenate([near, (self.x[new] / self.scale) @ unit / self.top])
-                score, found = np.concatenate([score, (self.x[new] * q).sum(1)]), np.concatenate([found, self.ids[new]])
-                if len(found) > k:
-                    order = np.lexsort((found, -score))
-                    order = order[np.sort(np.unique(found[order], return_index=True)[1])][:k]  # rows of one id are one candidate
-                    score, found, near = score[order], found[order], near[order]
-            if half > 2 or (len(found) >= k and (d := np.sqrt(max(0.0, 2 - 2 * near.min()))) <= half * self.reach):
-                return found, score, half
-            half = max(half * 1.01, min(half * GROWTH, d / self.reach)) if len(found) >= k else half * GROWTH
+        unit = _unit(q)
+        center, half = unit @ self.lines[:, :-1].T, np.full(len(q), self.start)
+        seen = np.zeros((len(q), self.heads.shape[2]), np.uint64)
+        best = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))] * len(q)  # ids, scores, cosines as the index has them
+        live, ahead = [], 0
+        while live or ahead < len(q):
+            fill = min(len(q), ahead + WIDE - len(live))
+            live, ahead = [*live, *range(ahead, fill)], fill
+            new = self.collisions(center[live], half[live]) & ~seen[live]
+            seen[live] |= new
+            rows = np.flatnonzero(np.unpackbits(new.view(np.uint8), axis=1, count=n, bitorder="little").view(bool))
+            ends = np.searchsorted(rows, np.arange(len(live) + 1) * n).tolist()
+            on = []
+            for j, i in enumerate(live):
+                best[i] = found, _, near = self._verify(rows[ends[j] : ends[j + 1]] - j * n, q[i], unit[i], own[i], k, *best[i])
+                d = np.sqrt(max(0.0, 2 - 2 * near.min())) if len(found) >= k else None
+                if half[i] <= 2 and (d is None or d > half[i] * self.reach):
+                    half[i] = half[i] * GROWTH if d is None else max(half[i] * 1.01, min(half[i] * GROWTH, d / self.reach))
+                    on.append(i)
+            live = on
+        return [(found, score, float(h)) for (found, score, _), h in zip(best, half, strict=True)]
+
+    def _verify(self, rows: np.ndarray, q: np.ndarray, unit: np.ndarray, own: int, k: int, found: np.ndarray, score: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best k of those found so far and of these rows, by exact inner product."""
+        if not len(rows):
+            return found, score, near
+        cos = self.unit.take(rows, 0) @ unit
+        cos[self.ids[rows] == own] = -np.inf
+        least = near.min() if len(found) >= k else -2.0
+        if self.alone and len(cos) > k:
+            least = max(least, np.partition(cos, len(cos) - k)[len(cos) - k])
+        pick = np.flatnonzero(cos >= max(-2.0, least - 1e-9))  # these are within rounding of the best k
+        if not len(pick):
+            return found, score, near
+        rows = rows[pick]
+        found, score, near = np.concatenate([found, self.ids[rows]]), np.concatenate([score, (self.x[rows] * q).sum(1)]), np.concatenate([near, cos[pick]])
+        order = np.lexsort((found, -score))
+        if not self.alone:
+            order = order[np.sort(np.unique(found[order], return_index=True)[1])]  # rows of one id are one candidate
+        order = order[:k]
+        return found[order], score[order], near[order]
+
+
+def span_of(vector: str) -> Column:
+    """The power of two nearest to the norm of a usable vector, by its logarithm: vectors of one span have norms within a
+    factor of two, and normalised ones are of span 0 despite rounding.
+
+    The largest component is bound by a lambda, since Spark would work it out anew for each component.
+    """
+    by_top = lambda m: F.log2(m) + 0.5 * F.log2(F.aggregate(vector, F.lit(0.0), lambda s, x: s + (x / m) * (x / m)))
+    return F.floor(F.transform(F.array(F.array_max(F.transform(vector, F.abs))), by_top)[0] + 0.5).cast("int")
 
 
 def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = NEAREST, block: int = INDEX_BLOCK, **how: float) -> DataFrame:
@@ -311,21 +385,19 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: s
     spark = df.sparkSession
     common.tune(spark)
     scratch = common.Scratch(spark, "nearest")
-    top = F.array_max(F.transform("v", F.abs))
-    norm = F.log2(top) + 0.5 * F.log2(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / top) * (x / top)))
 
     def pick(d: DataFrame) -> DataFrame:
         d = _usable(d.where(F.col(vec_id).isNotNull()), vector).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
         return d.dropDuplicates(["id", "v"])
 
-    rows = scratch.put(pick(df).withColumn("dim", F.size("v")).withColumn("span", F.floor(norm).cast("int")))
+    rows = scratch.put(pick(df).withColumn("dim", F.size("v")).withColumn("span", span_of("v")))
     shelf = rows.groupBy("dim", "span").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))  # a row a length and power of two
-    shelf = scratch.put(shelf)
+    shelf = scratch.put(shelf.withColumn("before", (F.sum("parts").over(Window.orderBy("dim", "span")) - F.col("parts")).cast("int")))
     n_blocks = shelf.agg(F.sum("parts")).first()[0] or 1
-    number = F.struct("dim", "span", F.col("part").cast("int").alias("part")).alias("block")
+    number = (F.col("before") + F.col("part")).cast("int").alias("block")
     dealt = rows.join(shelf, ["dim", "span"]).withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts"))).select("id", "v", number, F.lit(0).alias("ask"))
     asked = pick(queries).withColumn("dim", F.size("v")).join(shelf.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "dim").select("id", "v", number, F.lit(1).alias("ask"))
-    both = dealt.unionByName(asked).select("id", "v", F.xxhash64("block").alias("block"), "ask")
+    both = dealt.unionByName(asked)
 
     def run(batches):
         now, held, index = None, [], None
@@ -339,16 +411,16 @@ def nearest(df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: s
                 if not ask[s]:
                     held.append(part)
                     continue
+                if not held and index is None:  # no row fell to this block
+                    continue
                 if held:
                     t = pa.Table.from_batches(held).combine_chunks()
                     index, held = CollisionIndex(t.column(0).to_numpy(), vectors(t.column(1))[1], **how), []
-                out = []
-                for own, q in zip(part.column(0).to_pylist(), vectors(part.column(1))[1], strict=True):
-                    found, score, _ = index.search(q, own, k)
-                    out.append((np.full(len(found), own), found, score))
-                yield pa.record_batch({c: pa.array(np.concatenate(x)) for c, x in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
+                own = part.column(0).to_numpy()
+                found, score, _ = zip(*index.search(vectors(part.column(1))[1], own, k), strict=True)
+                yield pa.record_batch({"query_id": pa.array(np.repeat(own, [len(f) for f in found])), "vec_id": pa.array(np.concatenate(found)), "score": pa.array(np.concatenate(score))})
 
-    found = both.repartition(n_blocks, "block").sortWithinPartitions("block", "ask", "id").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = both.repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "ask", "id").mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

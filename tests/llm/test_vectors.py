@@ -1,6 +1,7 @@
 """Near-duplicate vectors and nearest neighbours against brute force."""
 
 import os
+import time
 
 import numpy as np
 import pytest
@@ -158,3 +159,55 @@ def test_nearest_with_fewer_candidates_than_asked_for(spark):
     got = sorted((r.rank, r.vec_id, r.score) for r in embeddings.nearest(df, df.where("vec_id = 0")).collect())
     assert got == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 0.0)]
     assert embeddings.nearest(df.where("false"), df).count() == 0
+
+
+def test_collisions_equal_a_plain_count():
+    rng = np.random.default_rng(5)
+    for n, lines, threshold in ((700, 128, 0.5), (90, 37, 0.3), (5, 16, 1.0)):
+        x = rng.normal(size=(n, 12)) * rng.uniform(1, 2, (n, 1))
+        index = embeddings.CollisionIndex(np.arange(n), x, lines, threshold)
+        norm = np.sqrt((x * x).sum(1))
+        lifted = np.concatenate([x, np.sqrt(np.maximum(0, norm.max() ** 2 - norm**2))[:, None]], 1) / norm.max()
+        at = lifted @ index.lines.T
+        center, half = (x[:5] / norm[:5, None]) @ index.lines[:, :-1].T, np.array([0.01, 0.1, 0.2, 0.4, 3.0])[: len(x)]
+        got = np.unpackbits(index.collisions(center, half).view(np.uint8), axis=1, bitorder="little")
+        assert not got[:, n:].any()
+        for i, (c, h) in enumerate(zip(center, half, strict=True)):
+            count = np.zeros(n, int)
+            for k in range(lines):  # windows begin and end at the kept places, outside the radius
+                order = np.argsort(at[:, k])
+                bounds = np.arange(min(embeddings.CELLS, n) + 1) * n // min(embeddings.CELLS, n)
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    p = at[order[a:b], k]
+                    count[order[a:b]] += (p.max() >= c[k] - h - 1e-12) and (p.min() <= c[k] + h + 1e-12)
+            assert ((np.abs(at - c) <= h).sum(1) <= count).all()
+            assert (got[i, :n].astype(bool) == (count >= np.ceil(threshold * lines))).all()
+
+
+def test_searches_of_unrelated_vectors_cost_less_than_scans():
+    """CPU seconds against an exact scan with the scores' own formula; one search took three scans before."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(16384, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    index = embeddings.CollisionIndex(np.arange(len(x)), x)
+    start = time.thread_time()
+    got = index.search(x[:100], np.arange(100), 20)
+    search, start = time.thread_time() - start, time.thread_time()
+    want = []
+    for i in range(100):
+        score = (x * x[i]).sum(1)
+        score[i] = -9
+        want.append(set(np.argpartition(-score, 20)[:20].tolist()))
+    assert np.mean([len(w & set(f.tolist())) / 20 for w, (f, _, _) in zip(want, got, strict=True)]) >= 0.9
+    assert search < time.thread_time() - start
+
+
+def test_normalised_vectors_are_of_one_span(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    df = spark.createDataFrame([([float(np.float32(v)) for v in r],) for r in x], "v array<double>")
+    assert [r.s for r in df.select(embeddings.span_of("v").alias("s")).distinct().collect()] == [0]
+    odd = [[3e300, 4e300], [-3e-300, 4e-300], [0.0, -1.0], [1.4, 0.0], [1.5, 0.0]]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, v array<double>").select("i", embeddings.span_of("v").alias("s"))
+    assert [r.s for r in got.orderBy("i").collect()] == [999, -994, 0, 0, 1]
