@@ -221,7 +221,7 @@ MARGIN = 1.25
 #: The factor by which a window grows at most, and the queries that set a block's first window.
 GROWTH, PROBES = 1.15, 16
 #: Places of a sorted array where a window may begin or end, and the queries whose collisions are counted at once.
-CELLS, WIDE = 256, 64
+CELLS, WIDE = 128, 64
 
 
 class CollisionIndex:
@@ -247,9 +247,10 @@ class CollisionIndex:
         self.alone = len(np.unique(ids)) == len(ids)
         n, dim = len(x), x.shape[1] + 1
         scale = np.abs(x).max()
-        self.unit = x / scale
-        norm = np.sqrt(np.einsum("ij,ij->i", self.unit, self.unit))
-        self.unit /= norm.max()
+        unit = x / scale
+        norm = np.sqrt(np.einsum("ij,ij->i", unit, unit))
+        unit /= norm.max()
+        self.unit, self.slack = unit.astype(np.float32), (dim + 3) * 2.0**-23  # no two cosines of these are off by more
         more = np.sqrt(np.maximum(0, 1 - (norm / norm.max()) ** 2))
         rng = np.random.default_rng([seed, dim])
         self.lines = np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-lines // dim))], 1)[:, :lines].T.copy()
@@ -258,7 +259,7 @@ class CollisionIndex:
         cell = np.repeat(np.arange(1, cells + 1), np.diff(bounds))
         self.first, self.last = np.empty((lines, cells)), np.empty((lines, cells))
         self.heads = np.zeros((lines, cells + 1, -(-n // 64)), np.uint64)
-        places = self.lines[:, :-1] @ self.unit.T + self.lines[:, -1:] * more
+        places = self.lines[:, :-1] @ unit.T + self.lines[:, -1:] * more
         for k, p in enumerate(places):
             order = np.argsort(p)
             self.first[k], self.last[k] = p[order[bounds[:-1]]], p[order[bounds[1:] - 1]]
@@ -344,12 +345,12 @@ class CollisionIndex:
         """The best k of those found so far and of these rows, by exact inner product."""
         if not len(rows):
             return found, score, near
-        cos = self.unit.take(rows, 0) @ unit
+        cos = self.unit.take(rows, 0) @ unit.astype(np.float32)
         cos[self.ids[rows] == own] = -np.inf
         least = near.min() if len(found) >= k else -2.0
         if self.alone and len(cos) > k:
             least = max(least, np.partition(cos, len(cos) - k)[len(cos) - k])
-        pick = np.flatnonzero(cos >= max(-2.0, least - 1e-9))  # these are within rounding of the best k
+        pick = np.flatnonzero(cos >= max(-2.0, least - self.slack))  # the best k, and what rounding may hide
         if not len(pick):
             return found, score, near
         rows = rows[pick]

@@ -184,6 +184,15 @@ def test_collisions_equal_a_plain_count():
             assert (got[i, :n].astype(bool) == (count >= np.ceil(threshold * lines))).all()
 
 
+def test_nearest_that_single_precision_cannot_tell_apart():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=8) + np.append(rng.permutation(500), np.full(500, -1e10))[:, None] * 1e-10 * rng.normal(size=8)
+    found, score, _ = embeddings.CollisionIndex(np.arange(1000), x).search(x[:1] * 3, np.array([0]), 20)[0]
+    want = (x * (x[0] * 3)).sum(1)
+    order = [i for i in np.lexsort((np.arange(1000), -want)).tolist() if i][:20]
+    assert found.tolist() == order and score.tolist() == want[order].tolist()
+
+
 def test_searches_of_unrelated_vectors_cost_less_than_scans():
     """CPU seconds against an exact scan with the scores' own formula; one search took three scans before."""
     rng = np.random.default_rng(6)
